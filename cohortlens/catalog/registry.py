@@ -6,7 +6,7 @@ import importlib
 
 from . import tables
 
-MODULES = ("metric_queries",)
+MODULES = ("metric_queries", "detect_queries")
 
 
 def _load() -> None:

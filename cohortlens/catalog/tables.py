@@ -191,3 +191,115 @@ scored AS (
 def keep(df: DataFrame) -> DataFrame:
     """Alias used by the catalog for aggregated tables read more than once."""
     return materialize(df)
+
+
+# --------------------------------------------------------------------------------------------------------------
+# A planted cause, the same on both sides: gateway_C degrades in the current window, and one issuer a little.
+
+CAUSES = (("gateway", "gateway_C", 2.0, "incident-1"), ("sender_bank", "MACHINERY", 1.3, "incident-2"))
+P_BASE = 0.33
+
+
+def planted(t: Tables, causes=CAUSES) -> DataFrame:
+    from ..operators.whatif import stress
+
+    fact = payments(t).withColumn("overlaid", F.lit(False))
+    for dim, value, multiplier, key in causes:
+        fact = stress(
+            fact, PLANTED_FACT, {dim: value}, F.lit(P_BASE), multiplier, key, WINDOWS.current_start, WINDOWS.current_end
+        )
+    return fact
+
+
+def lane_sql(digest: str, lane: int) -> str:
+    return f"(('0x' || substr({digest}, {16 * lane + 1}, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+
+
+def planted_sql(causes=CAUSES) -> str:
+    """SQL text: `fact` and then one CTE per cause; the last is `planted`."""
+    text, source = FACT_SQL, "fact"
+    for i, (dim, value, multiplier, key) in enumerate(causes):
+        name = "planted" if i == len(causes) - 1 else f"planted_{i}"
+        digest = f"sha256('outcome-draw-1|' || txn_id || '|{key}')"
+        p_add = f"((least(1.0, {P_BASE}::DOUBLE * {multiplier}::DOUBLE) - {P_BASE}::DOUBLE) / (1.0::DOUBLE - {P_BASE}::DOUBLE))"
+        hit = (
+            f"(ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1998-01-01' AND {dim} = '{value}' "
+            f"AND status <> 'FAILED' AND {lane_sql(digest, 0)} < {p_add})"
+        )
+        text += f""",
+{name} AS (
+  SELECT * REPLACE (CASE WHEN {hit} THEN 'FAILED' ELSE status END AS status,
+    CASE WHEN {hit} THEN CASE WHEN {lane_sql(digest, 1)} < 0.6 THEN 'PROCESSING_ERROR' ELSE 'TIMEOUT' END
+    ELSE response_code END AS response_code)
+  FROM {source}
+)"""
+        source = name
+    return text
+
+
+IN_CURRENT = "CASE WHEN f.ts >= TIMESTAMP '1997-01-01' AND f.ts < TIMESTAMP '1998-01-01' THEN 1 ELSE 0 END"
+
+
+def planted_metrics_sql() -> str:
+    """WITH clause up to `scored` on the planted fact; the small tables are materialised for later joins."""
+    text = metrics_sql().replace("metrics AS (", "metrics AS MATERIALIZED (", 1)
+    return f"WITH {planted_sql()},{windowed_sql('planted', IN_CURRENT)},{text},{scored_sql()}"
+
+
+SUPPRESS_SQL = """
+cand AS (SELECT * EXCLUDE (verdict) FROM scored WHERE verdict = 'ANOMALOUS'),
+contains AS (
+  SELECT n.cohort_key, b.cohort_key AS p_key, b.depth AS p_depth, b.score AS p_score
+  FROM cand n JOIN cand b ON b.depth < n.depth AND n.sigma <= b.sigma + 2.0
+   AND len(list_filter(string_split(b.cohort_key, '|'), lambda x: NOT list_contains(string_split(n.cohort_key, '|'), x))) = 0
+),
+lost2 AS (SELECT DISTINCT c.cohort_key FROM contains c JOIN cand n USING (cohort_key) WHERE n.depth = 2),
+parent AS (
+  SELECT cohort_key, arg_min(p_key, (p_depth, -p_score, p_key)) AS suppressed_by
+  FROM contains WHERE p_key NOT IN (SELECT cohort_key FROM lost2) GROUP BY cohort_key
+),
+ranked AS (
+  SELECT cand.*, parent.suppressed_by, parent.suppressed_by IS NOT NULL AS suppressed,
+    row_number() OVER (ORDER BY parent.suppressed_by IS NOT NULL, score DESC, sigma DESC, cand.cohort_key) AS rank
+  FROM cand LEFT JOIN parent USING (cohort_key)
+),
+reported AS (SELECT * FROM ranked WHERE NOT suppressed)"""
+
+
+def residual_sql(pairs: str, source: str = "planted") -> str:
+    """SQL text: recompute each (subject, confounder) of `pairs` from the rows left after removing the confounder."""
+    member = " AND ".join(f"(p.s_{d} IS NULL OR f.{d} = p.s_{d})" for d in FACT.dims)
+    dim_of = " ".join(f"WHEN '{d}' THEN f.{d}" for d in FACT.dims)
+    z = z_sql("rb_failures", "rb_volume", "rc_failures", "rc_volume")
+    delta = "(rc_failures / rc_volume::DOUBLE - rb_failures / rb_volume::DOUBLE)"
+    return f"""
+residual_counts AS (
+  SELECT p.cohort_key, p.confounder_key, any_value(p.absolute_delta) AS absolute_delta,
+    count(*) FILTER (f.ts < TIMESTAMP '1997-01-01' AND other) AS rb_volume,
+    count(*) FILTER (f.ts < TIMESTAMP '1997-01-01' AND other AND status = 'FAILED') AS rb_failures,
+    count(*) FILTER (f.ts >= TIMESTAMP '1997-01-01' AND other) AS rc_volume,
+    count(*) FILTER (f.ts >= TIMESTAMP '1997-01-01' AND other AND status = 'FAILED') AS rc_failures
+  FROM {pairs} p JOIN {source} f ON f.ts < TIMESTAMP '1998-01-01' AND {member}
+  CROSS JOIN LATERAL (SELECT (CASE p.conf_dim {dim_of} END) <> p.conf_value AS other) o
+  GROUP BY p.cohort_key, p.confounder_key
+),
+residual AS (
+  SELECT *, rb_volume = 0 OR rc_volume = 0 AS residual_missing,
+    CASE WHEN rb_volume = 0 OR rc_volume = 0 THEN 0.0
+         ELSE greatest(0.0, {delta} / absolute_delta) END AS independence,
+    CASE WHEN rb_volume = 0 OR rc_volume = 0 THEN NULL ELSE {delta} END AS residual_delta,
+    CASE WHEN rb_volume = 0 OR rc_volume = 0 THEN NULL ELSE {z} END AS residual_sigma,
+    CASE WHEN rb_volume = 0 OR rc_volume = 0 THEN false
+         WHEN rc_volume < 100 OR rb_volume < 300 THEN true
+         WHEN {delta} < 0.02 THEN false ELSE {z} >= 3 END AS still_anomalous
+  FROM residual_counts
+)"""
+
+
+PAIRS_SQL = f"""
+pairs AS (
+  SELECT c.cohort_key, {', '.join(f'c.{d} AS s_{d}' for d in FACT.dims)}, c.absolute_delta, c.rank AS rank, p.rank AS conf_rank,
+    p.cohort_key AS confounder_key, p.dim_set AS conf_dim, string_split(p.cohort_key, '=')[2] AS conf_value
+  FROM reported c JOIN reported p ON p.depth = 1 AND p.rank < c.rank
+   AND NOT (c.depth = 1 AND c.dim_set = p.dim_set)
+)"""

@@ -226,5 +226,3 @@ def traffic_span(fact: DataFrame, spec: FactSpec, start, end) -> DataFrame:
         F.coalesce(F.max(spec.time), F.lit(end)).alias("span_end"),
     )
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["pair"]
