@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detect
 from ..plans import incident
 from ..spec import DetectionConfig
 from .tables import (
-    PAIRS_SQL, PLANTED_FACT, SUPPRESS_SQL, WINDOWS, planted, planted_metrics_sql, query, residual_sql,
+    PAIRS_SQL, PLANTED_FACT, SUPPRESS_SQL, WINDOWS, planted, planted_metrics_sql, query, residual_sql, shared,
 )
 
 CONFIG = DetectionConfig()
 DETECT_SQL = f"{planted_metrics_sql()},{SUPPRESS_SQL}"
 
 
-def _ranked(t):
-    _, table = incident.scan(planted(t), PLANTED_FACT, WINDOWS)
-    return incident.rank(table, PLANTED_FACT, CONFIG)
+@shared
+def _found(t):
+    return incident.detect_incident(planted(t), PLANTED_FACT, WINDOWS, CONFIG)
 
 
 @query(
@@ -25,8 +24,7 @@ def _ranked(t):
     f"""{DETECT_SQL} SELECT cohort_key, depth, round(sigma, 6) AS sigma, suppressed, suppressed_by FROM ranked""",
 )
 def _(t):
-    _, ranked = _ranked(t)
-    return ranked.select("cohort_key", "depth", F.round("sigma", 6).alias("sigma"), "suppressed", "suppressed_by")
+    return _found(t).ranked.select("cohort_key", "depth", F.round("sigma", 6).alias("sigma"), "suppressed", "suppressed_by")
 
 
 @query(
@@ -34,8 +32,7 @@ def _(t):
     f"""{DETECT_SQL} SELECT CAST(rank AS INTEGER) AS rank, cohort_key, severity, round(score, 6) AS score, suppressed FROM ranked""",
 )
 def _(t):
-    _, ranked = _ranked(t)
-    return ranked.select("rank", "cohort_key", "severity", F.round("score", 6).alias("score"), "suppressed")
+    return _found(t).ranked.select("rank", "cohort_key", "severity", F.round("score", 6).alias("score"), "suppressed")
 
 
 @query(
@@ -45,7 +42,7 @@ SELECT cohort_key, confounder_key, rb_volume, rb_failures, rc_volume, rc_failure
   round(independence, 6) AS independence, still_anomalous FROM residual""",
 )
 def _(t):
-    found = incident.detect_incident(planted(t), PLANTED_FACT, WINDOWS, CONFIG)
+    found = _found(t)
     return found.verdicts.select(
         "cohort_key", "confounder_key", "rb_volume", "rb_failures", "rc_volume", "rc_failures",
         F.round("independence", 6).alias("independence"), "still_anomalous",
@@ -92,7 +89,7 @@ ROLES_SQL = f"{DETECT_SQL},{PAIRS_SQL},{residual_sql('pairs')},{WALK_SQL}".repla
 FROM classified""",
 )
 def _(t):
-    found = incident.detect_incident(planted(t), PLANTED_FACT, WINDOWS, CONFIG)
+    found = _found(t)
     return found.classified.select(
         "rank", "cohort_key", "alert_role", "derived_from", F.round("independence", 6).alias("independence")
     )
@@ -105,7 +102,7 @@ def _(t):
   count(*) FILTER (alert_role = 'DERIVATIVE') AS derivative_alerts, max(CASE WHEN rank = 1 THEN cohort_key END) AS top FROM classified""",
 )
 def _(t):
-    found = incident.detect_incident(planted(t), PLANTED_FACT, WINDOWS, CONFIG)
+    found = _found(t)
     tall = (
         found.scored.select(F.lit("scanned").alias("kind"), "cohort_key")
         .unionByName(found.ranked.select(F.lit("candidate").alias("kind"), "cohort_key"))
@@ -122,5 +119,3 @@ def _(t):
         F.max(F.when(kind == "top", F.col("cohort_key"))).alias("top"),
     )
 
-
-__all__ = ["detect"]

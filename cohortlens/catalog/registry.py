@@ -6,7 +6,7 @@ import importlib
 
 from . import tables
 
-MODULES = ("metric_queries", "detect_queries")
+MODULES = ("metric_queries", "detect_queries", "evidence_queries")
 
 
 def _load() -> None:

@@ -7,7 +7,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import materialize
 from ..spec import FactSpec, Windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +44,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def shared(build):
+    """Run an analysis once per session and folder, and let every query that reports on it read the same tables."""
+    kept = {}
+
+    def once(t: Tables):
+        key = (t.spark.sparkContext.applicationId, t.folder)
+        if key not in kept:
+            kept[key] = build(t)
+        return kept[key]
+
+    once.clear = kept.clear
+    return once
+
+
 # --------------------------------------------------------------------------------------------------------------
 # The payment fact: line items with their order, customer and region.
 
@@ -188,11 +201,6 @@ scored AS (
 )"""
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Alias used by the catalog for aggregated tables read more than once."""
-    return materialize(df)
-
-
 # --------------------------------------------------------------------------------------------------------------
 # A planted cause, the same on both sides: gateway_C degrades in the current window, and one issuer a little.
 
@@ -301,5 +309,5 @@ pairs AS (
   SELECT c.cohort_key, {', '.join(f'c.{d} AS s_{d}' for d in FACT.dims)}, c.absolute_delta, c.rank AS rank, p.rank AS conf_rank,
     p.cohort_key AS confounder_key, p.dim_set AS conf_dim, string_split(p.cohort_key, '=')[2] AS conf_value
   FROM reported c JOIN reported p ON p.depth = 1 AND p.rank < c.rank
-   AND NOT (c.depth = 1 AND c.dim_set = p.dim_set)
+   AND (NOT contains('|' || c.cohort_key, '|' || p.dim_set || '=') OR list_contains(string_split(c.cohort_key, '|'), p.cohort_key))
 )"""

@@ -68,7 +68,7 @@ def candidates(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("verdict") == "ANOMALOUS").drop("verdict")
 
 
-def _broader_keys(spec: FactSpec) -> Column:
+def broader_keys(spec: FactSpec) -> Column:
     """Keys of every strict generalisation of a cohort that the scan also reports."""
     by_set = None
     for dims in spec.dimension_sets:
@@ -97,7 +97,7 @@ def suppress_redundant(found: DataFrame, spec: FactSpec, config: DetectionConfig
             F.col("score").alias("p_score"),
             F.col("sigma").alias("p_sigma"),
         )
-        asked = level.select("cohort_key", "sigma", F.explode(_broader_keys(spec)).alias("p_key"))
+        asked = level.select("cohort_key", "sigma", F.explode(broader_keys(spec)).alias("p_key"))
         covering = asked.join(parents, "p_key").where(F.col("sigma") <= F.col("p_sigma") + config.suppression_margin)
         first = covering.groupBy("cohort_key").agg(
             F.min_by("p_key", F.struct("p_depth", -F.col("p_score"), "p_key")).alias("suppressed_by")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import cohort_key, pair
+from ..functions.hashing import cohort_key
 from ..functions.stats import rate
 from ..spec import FactSpec, Windows
 
