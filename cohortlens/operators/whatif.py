@@ -167,7 +167,7 @@ def build_candidates(incidents: DataFrame, gateways: DataFrame) -> DataFrame:
     moves = (
         incidents.join(targets, "policy")
         .withColumn("target_gateway", F.explode("_targets"))
-        .where(F.col("target_gateway") != F.col("source_gateway"))
+        .where(~F.col("target_gateway").eqNullSafe(F.col("source_gateway")))
         .withColumn("traffic_percentage", F.explode(F.array(*[F.lit(p) for p in TRAFFIC_PERCENTAGES])))
         .withColumn("action_type", F.lit("REROUTE_TRAFFIC"))
         .withColumn(
@@ -368,7 +368,7 @@ def assess_risk(impact: DataFrame) -> DataFrame:
         "target_health_risk": F.when(idle | (F.coalesce(F.col("target_health"), F.lit("")) == "HEALTHY"), 0.0).otherwise(1.0),
         "latency_risk": clamp(F.greatest(F.col("latency_delta_ms"), F.lit(0.0)) / LATENCY_SATURATION_MS),
         "simulation_quality_risk": clamp(F.lit(1.0) - F.col("population") / COHORT_CONFIDENCE_SIZE),
-        "evidence_uncertainty_risk": F.coalesce(clamp(F.lit(1.0) - F.col("rca_confidence")), F.lit(0.5)),
+        "evidence_uncertainty_risk": F.when(F.col("rca_confidence").isNull(), 0.5).otherwise(clamp(F.lit(1.0) - F.col("rca_confidence"))),
         "routing_uncertainty_risk": F.lit(ROUTING_UNCERTAINTY),
     }
     assessed = impact.select("*", *[c.alias(n) for n, c in parts.items()])
