@@ -7,8 +7,9 @@ from pyspark.sql import Window, functions as F
 from ..functions.hashing import digest, lane_uniform, weighted_choice
 from ..functions.stats import rate
 from ..operators import metrics, ranking, whatif
+from ..session import materialize
 from .metric_queries import ASSIGNED_SQL, NOW_SQL, assigned
-from .tables import FACT, FACT_SQL, P_BASE, WINDOWS, lane_sql, payments, query
+from .tables import FACT, FACT_SQL, P_BASE, WINDOWS, lane_sql, payments, query, shared
 
 CURRENT = (WINDOWS.current_start, WINDOWS.current_end)
 MULTIPLIER = 2.0
@@ -32,6 +33,7 @@ def health(t):
     )
 
 
+@shared
 def gateways(t):
     """One row per gateway: traffic weight and calibrated failure probability from the baseline, and eligibility."""
     base = payments(t).where(F.col("ts") < F.lit(WINDOWS.current_start))
@@ -44,7 +46,7 @@ def gateways(t):
         (F.sum("f").over(every) / F.sum("n").over(every)).alias("observed_rate"),
     )
     eligible = t.supplier.groupBy(_letter(F.col("s_suppkey")).alias("gateway")).agg(F.bool_or(F.col("s_suppkey") % 5 != 1).alias("is_eligible"))
-    return whatif.calibrate_rates(inputs, "gateway").join(eligible, "gateway").withColumn("policy", F.lit("baseline"))
+    return materialize(whatif.calibrate_rates(inputs, "gateway").join(eligible, "gateway").withColumn("policy", F.lit("baseline")))
 
 
 GATEWAY_SQL = f"""{FACT_SQL},
@@ -81,9 +83,11 @@ def spanned(t, targets):
     return targets.withColumn("policy", F.lit("baseline")).join(span, "policy")
 
 
+@shared
 def target_health(t):
     targets = spanned(t, gateways(t).select("gateway"))
-    return whatif.health_over_span(targets, health(t), "gateway", "span_start", "span_end").select("gateway", "target_health")
+    judged_ = whatif.health_over_span(targets, health(t), "gateway", "span_start", "span_end")
+    return materialize(judged_.select("gateway", "target_health"))
 
 
 # -------------------------------------------------------------------------------------------------- calibration
@@ -143,8 +147,12 @@ def incidents(t):
     return per_gateway.unionByName(segment)
 
 
+@shared
 def cohort(t):
-    """Affected rows of every incident with their outcome under it. Each row names its incidents itself."""
+    """Affected rows of every incident with their outcome under it, written once: the one world all candidates share.
+
+    Each row names its incidents itself, so no incident table is joined.
+    """
     rows = payments(t).where(metrics.in_window(F.col("ts"), *CURRENT))
     p = gateways(t).select("gateway", "failure_probability")
     by_gateway = (F.ascii(F.substring("gateway", -1, 1)) - 64).cast("int")
@@ -153,11 +161,12 @@ def cohort(t):
     effective = whatif.effective_probability(F.col("failure_probability"), F.lit(MULTIPLIER))
     draw = lane_uniform(digest(whatif.OUTCOME_DOMAIN, F.col("txn_id"), F.concat(F.lit("incident-"), F.col("incident_id").cast("string"))), 0)
     hit = (F.col("status") != "FAILED") & (draw < whatif.added_probability(F.col("failure_probability"), effective))
-    return tagged.select(
+    rows = tagged.select(
         "incident_id", "txn_id", "amount", "gateway", F.col("status").alias("observed_status"),
         F.when(hit, "FAILED").otherwise(F.col("status")).alias("current_status"), effective.alias("p_current"),
         (F.col("incident_id") == 6).alias("degraded_elsewhere"), "latency_ms",
     )
+    return materialize(rows)
 
 
 def candidate_table(t):
@@ -403,8 +412,6 @@ def _(t):
 FROM option o JOIN choice c USING (incident_id) WHERE o.candidate_key <> c.chosen""",
 )
 def _(t):
-    from ..session import materialize
-
     options = materialize(judged(t))
     return whatif.rejected_options(options, whatif.choose(options))
 
