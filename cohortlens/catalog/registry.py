@@ -6,7 +6,7 @@ import importlib
 
 from . import tables
 
-MODULES = ("metric_queries", "detect_queries", "evidence_queries", "whatif_queries")
+MODULES = ("metric_queries", "detect_queries", "evidence_queries", "whatif_queries", "quality_queries")
 
 
 def _load() -> None:

@@ -19,7 +19,9 @@ def clean_text(c: Column) -> Column:
 
 def local_time(c: Column, zone: str = "Asia/Kolkata") -> Column:
     """Strictly parse a naive local timestamp (unpadded fields allowed) and move it to UTC."""
-    return F.to_utc_timestamp(F.try_to_timestamp(clean_text(c), F.lit("y-M-d H:m:s")), zone)
+    text = clean_text(c)
+    parsed = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), F.try_to_timestamp(text, F.lit("y-M-d H:m:s")))
+    return F.to_utc_timestamp(parsed, zone)
 
 
 def money(c: Column) -> Column:
