@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocabulary as v
 from ..operators import quality
-from ..session import materialize
+from ..session import stage
 from .tables import payments, query, shared
 
 NBSP = "\u00a0"
@@ -154,14 +154,14 @@ def normalized(t):
     return quality.normalize_rows(raw_rows(t), "lineitem_2024")
 
 
-def judged(t):
-    return quality.quarantine_duplicates(quality.judge_rows(normalized(t)))
+@shared
+def first_pass(t):
+    """Rows normalised and judged once and written; everything below reads columns of that copy."""
+    return stage(quality.judge_rows(normalized(t)), "judged")
 
 
-@shared
-def kept_judged(t):
-    """The judged rows written once: the single pass whose two filtered outputs are published."""
-    return materialize(judged(t))
+def judged(t):
+    return quality.quarantine_duplicates(first_pass(t))
 
 
 # ------------------------------------------------------------------------------------------------- normalisation
@@ -302,7 +302,7 @@ def _(t):
 
 @query("q11_all_failures_per_row", f"WITH {JUDGED_SQL} SELECT source_row_index, transaction_id, cat1 AS error_category, msg1 AS validation_error, fld1 AS offending_fields FROM judged1 WHERE cat1 IS NOT NULL")
 def _(t):
-    rows = quality.judge_rows(normalized(t)).where(F.col("error_category").isNotNull())
+    rows = first_pass(t).where(F.col("error_category").isNotNull())
     return rows.select("source_row_index", "transaction_id", "error_category", "validation_error", F.array_join("offending_fields", ",").alias("offending_fields"))
 
 
@@ -316,7 +316,7 @@ def _(t):
     f"""WITH {JUDGED_SQL} SELECT error_category IS NULL AS valid, count(*) AS rows, CAST(sum(amount) FILTER (error_category IS NULL) AS DOUBLE) AS amount FROM judged GROUP BY 1""",
 )
 def _(t):
-    valid, rejected = quality.split_rows(kept_judged(t))
+    valid, rejected = quality.split_rows(judged(t))
     both = valid.select(F.lit(True).alias("valid"), "amount").unionByName(
         rejected.select(F.lit(False).alias("valid"), F.lit(None).cast("decimal(12,2)").alias("amount"))
     )
@@ -325,7 +325,7 @@ def _(t):
 
 @query("q14_reject_summary", f"WITH {JUDGED_SQL} SELECT error_category, count(*) AS rows FROM judged WHERE error_category IS NOT NULL GROUP BY 1")
 def _(t):
-    _, rejected = quality.split_rows(kept_judged(t))
+    _, rejected = quality.split_rows(judged(t))
     return rejected.groupBy("error_category").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -383,7 +383,7 @@ def _(t):
     from ..session import scratch_path
     from ..sources import publish
 
-    valid, _ = quality.split_rows(kept_judged(t))
+    valid, _ = quality.split_rows(judged(t))
     return publish.stage_and_verify(valid, scratch_path(t.spark, "staging"), valid.count(), "transaction_id")
 
 

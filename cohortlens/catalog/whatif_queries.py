@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions.hashing import digest, lane_uniform, weighted_choice
 from ..functions.stats import rate
 from ..operators import metrics, ranking, whatif
-from ..session import materialize
+from ..session import materialize, stage
 from .metric_queries import ASSIGNED_SQL, NOW_SQL, assigned
 from .tables import FACT, FACT_SQL, P_BASE, WINDOWS, lane_sql, payments, query, shared
 
@@ -166,7 +166,7 @@ def cohort(t):
         F.when(hit, "FAILED").otherwise(F.col("status")).alias("current_status"), effective.alias("p_current"),
         (F.col("incident_id") == 6).alias("degraded_elsewhere"), "latency_ms",
     )
-    return materialize(rows)
+    return stage(rows, "cohort")
 
 
 def candidate_table(t):

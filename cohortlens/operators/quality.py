@@ -117,21 +117,32 @@ def collect_failures(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 def judge_rows(normalized: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Attach category, message and offending fields; NULL category means the row passed.
 
-    A row that could not be normalised is not validated further.
+    Category is the first failure's, messages keep rule order, fields are sorted and distinct. Plain CASE and
+    concat_ws expressions, which compile, rather than a filtered array of structs. A row that could not be
+    normalised is not validated further.
     """
-    checked = collect_failures(normalized, rules or payment_rules())
+    rules = rules or payment_rules()
+    flags = [f"_r{i}" for i in range(len(rules))]
+    checked = normalized.select("*", *[r.failing.alias(n) for n, r in zip(flags, rules)])
     stuck = F.col("normalization_error").isNotNull()
-    failed = F.size("failures") > 0
-    category = F.when(stuck, "NORMALIZATION").when(failed, F.col("failures")[0]["category"])
-    message = F.when(stuck, F.concat(F.lit("cannot convert "), F.col("normalization_error"))).when(
-        failed, F.array_join(F.transform("failures", lambda f: f["message"]), "; ")
-    )
-    fields = F.when(stuck, F.array("normalization_error")).when(
-        failed, F.array_sort(F.array_distinct(F.flatten(F.transform("failures", lambda f: f["fields"]))))
+
+    def first(of):
+        return F.coalesce(*[F.when(F.col(n), of(r)) for n, r in zip(flags, rules)])
+
+    def joined(separator, of):
+        return F.nullif(F.concat_ws(separator, *[F.when(F.col(n), of(r)) for n, r in zip(flags, rules)]), F.lit(""))
+
+    category = F.when(stuck, "NORMALIZATION").otherwise(first(lambda r: F.lit(r.category)))
+    message = F.when(stuck, F.concat(F.lit("cannot convert "), F.col("normalization_error"))).otherwise(
+        joined("; ", lambda r: r.message)
     )
+    fields = F.when(stuck, F.col("normalization_error")).otherwise(joined(",", lambda r: F.lit(",".join(r.fields))))
     return checked.select(
-        "*", category.alias("error_category"), message.alias("validation_error"), fields.alias("offending_fields")
-    ).drop("failures")
+        *normalized.columns,
+        category.alias("error_category"),
+        message.alias("validation_error"),
+        F.array_sort(F.array_distinct(F.split(fields, ","))).alias("offending_fields"),
+    )
 
 
 def quarantine_duplicates(judged: DataFrame, id_: str = "transaction_id") -> DataFrame:
