@@ -6,7 +6,7 @@ import importlib
 
 from . import tables
 
-MODULES = ("metric_queries", "detect_queries", "evidence_queries", "whatif_queries", "quality_queries")
+MODULES = ("metric_queries", "detect_queries", "evidence_queries", "whatif_queries", "quality_queries", "profile_queries", "decision_queries")
 
 
 def _load() -> None:

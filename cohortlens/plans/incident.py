@@ -92,3 +92,12 @@ def analyse_incident(
     )
     result = attribute.conclusion(hyps, wide)
     return Analysis(found, wide, tall, hyps, result, attribute.analysis_fingerprint(result, hyps, tall))
+
+
+def handoff(found: Detection, analysis: Analysis) -> DataFrame:
+    """One row per reported cohort for the next stage: role, parent and its evidence (at most eight items), in order."""
+    item = F.struct("evidence_id", "evidence_type", "metric_name", "baseline_value", "current_value", "delta", "sigma")
+    cited = analysis.evidence.groupBy("cohort_key").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    rows = found.classified.select("cohort_key", "rank", "severity", "alert_role", "derived_from", "independence")
+    none = F.array().cast(cited.schema["evidence"].dataType)
+    return rows.join(cited, "cohort_key", "left").withColumn("evidence", F.coalesce("evidence", none))
