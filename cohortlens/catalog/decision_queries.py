@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
+
+from pyspark.sql import Window, functions as F
 
 from ..operators import decide, ranking, whatif
 from ..plans import incident
-from ..session import materialize
-from .detect_queries import ROLES_SQL
-from .evidence_queries import EVIDENCE_SQL, _analysis
-from .detect_queries import _found
-from .tables import query, shared
-from .whatif_queries import NOW_SQL, SWEEP_SQL, cohort
+from .detect_queries import ROLES_SQL, _found
+from .evidence_queries import EVIDENCE_SQL, SUBJECT_SQL, _analysis
+from .tables import query
+from .whatif_queries import SWEEP_SQL, cohort
 
 VERSION = "policy-1"
 
@@ -339,8 +339,6 @@ def _(t):
     rows = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
     page = rows.limit(26)
     # One row more than shown tells whether anything was left out; the page is at most 26 rows.
-    from pyspark.sql import Window
-
     position = F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey"))
     size = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     return page.withColumn("n", position).withColumn("truncated", size > 25).where("n <= 25").select("o_orderkey", "o_totalprice", "truncated")
@@ -398,7 +396,7 @@ def _(t):
 
 @query(
     "j14_handoff",
-    ROLES_SQL + "," + EVIDENCE_SQL.split(",", 1)[1][EVIDENCE_SQL.split(",", 1)[1].index("\nbest AS ("):]
+    ROLES_SQL + "," + re.sub(r"\bresidual\b", "residual_e", SUBJECT_SQL.replace("residual_counts", "residual_counts_e"))
     + " SELECT c.cohort_key, c.alert_role, c.derived_from, coalesce(string_agg(e.evidence_id::VARCHAR, ',' ORDER BY e.evidence_id), '') AS evidence_ids FROM classified c LEFT JOIN evid e USING (cohort_key) GROUP BY ALL",
 )
 def _(t):

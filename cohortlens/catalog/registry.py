@@ -6,7 +6,16 @@ import importlib
 
 from . import tables
 
-MODULES = ("metric_queries", "detect_queries", "evidence_queries", "whatif_queries", "quality_queries", "profile_queries", "decision_queries")
+MODULES = (
+    "metric_queries",
+    "detect_queries",
+    "evidence_queries",
+    "whatif_queries",
+    "quality_queries",
+    "profile_queries",
+    "decision_queries",
+    "source_queries",
+)
 
 
 def _load() -> None:

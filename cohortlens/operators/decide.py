@@ -112,7 +112,7 @@ def recommendations(decided: DataFrame, now: Column) -> DataFrame:
 def expire_pending(approvals: DataFrame, now: Column) -> DataFrame:
     """Close pending approvals whose window has passed."""
     late = (F.col("status") == "PENDING") & (F.col("expires_at") < now)
-    return approvals.withColumn("status", F.when(late, "EXPIRED").otherwise(F.col("status"))).withColumn("expired_now", late)
+    return approvals.withColumn("expired_now", late).withColumn("status", F.when(F.col("expired_now"), "EXPIRED").otherwise(F.col("status")))
 
 
 def first_failure(checks: list[tuple[str, Column]]) -> Column:
