@@ -389,23 +389,23 @@ def _(t):
 def _stat_query(name, columns, sql_columns):
     @query(name, f"{BASE_SQL},{scored_sql()} SELECT cohort_key, {sql_columns} FROM scored")
     def _(t):
-        return detect.score_cohorts(cohort_table(t), FACT).select("cohort_key", *columns)
+        return detect.score_cohorts(cohort_table(t), FACT).select("cohort_key", *columns())
 
 
 _stat_query(
     "d01_two_proportion_z",
-    [F.round(stats.two_proportion_z(F.col("b_failures"), F.col("b_volume"), F.col("c_failures"), F.col("c_volume")), 6).alias("z"),
+    lambda: [F.round(stats.two_proportion_z(F.col("b_failures"), F.col("b_volume"), F.col("c_failures"), F.col("c_volume")), 6).alias("z"),
      stats.two_proportion_z(F.lit(0), F.col("b_volume"), F.lit(0), F.col("c_volume")).alias("z_degenerate")],
     f"round({z_sql('b_failures', 'b_volume', 'c_failures', 'c_volume')}, 6) AS z, 0.0::DOUBLE AS z_degenerate",
 )
 _stat_query(
-    "d02_effect_factor", [F.round(stats.effect_factor(F.col("absolute_delta")), 6).alias("effect")],
+    "d02_effect_factor", lambda: [F.round(stats.effect_factor(F.col("absolute_delta")), 6).alias("effect")],
     "round(CASE WHEN absolute_delta > 0 THEN least(1.0, absolute_delta / 0.15) ELSE 0.0 END, 6) AS effect",
 )
-_stat_query("d03_anomaly_score", [F.round("score", 6).alias("score")], "round(score, 6) AS score")
-_stat_query("d04_severity_bands", [stats.severity(F.abs(F.col("sigma")) * 4).alias("severity")],
+_stat_query("d03_anomaly_score", lambda: [F.round("score", 6).alias("score")], "round(score, 6) AS score")
+_stat_query("d04_severity_bands", lambda: [stats.severity(F.abs(F.col("sigma")) * 4).alias("severity")],
             "CASE WHEN abs(sigma) * 4 >= 9 THEN 'CRITICAL' WHEN abs(sigma) * 4 >= 6 THEN 'HIGH' WHEN abs(sigma) * 4 >= 4 THEN 'MEDIUM' WHEN abs(sigma) * 4 >= 3 THEN 'LOW' ELSE 'NONE' END AS severity")
-_stat_query("d05_relative_delta", [F.round("relative_delta", 6).alias("relative_delta"), stats.relative_delta(F.lit(0.0), F.col("c_failure_rate")).alias("on_zero")],
+_stat_query("d05_relative_delta", lambda: [F.round("relative_delta", 6).alias("relative_delta"), stats.relative_delta(F.lit(0.0), F.col("c_failure_rate")).alias("on_zero")],
             "round(relative_delta, 6) AS relative_delta, 0.0::DOUBLE AS on_zero")
 
 

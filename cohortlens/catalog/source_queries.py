@@ -339,7 +339,18 @@ def _(t):
     return fingerprint.content_fingerprint(_rendered(t))
 
 
-@query("a19_fingerprint_is_order_free")
+def _print_of(source: str, line: str) -> str:
+    return f"(WITH {_tree_sql(source, line)} SELECT digest FROM t0)"
+
+
+_EDITED = "(SELECT * REPLACE (o_totalprice + CASE WHEN o_orderkey = 1 THEN 1 ELSE 0 END AS o_totalprice) FROM orders)"
+
+
+@query(
+    "a19_fingerprint_is_order_free",
+    f"""SELECT version, (SELECT count(*) FROM orders) AS rows, fingerprint FROM (VALUES ('stored', {_print_of('orders', _LINE)}), ('shuffled', {_print_of('orders', _LINE)}),
+  ('edited', {_print_of(_EDITED, _LINE)})) v(version, fingerprint)""",
+)
 def _(t):
     """Same content in another order and partitioning, and once with one value edited."""
     rows = _rendered(t)
@@ -349,7 +360,10 @@ def _(t):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("c11_input_fingerprint")
+@query(
+    "c11_input_fingerprint",
+    f"""SELECT sha256('orders=' || {_print_of('orders', _LINE)} || '|supplier=' || {_print_of('supplier', "concat_ws('|', s_suppkey, s_nationkey)")} || '|policy=policy-1|seed=incident-1') AS input_fingerprint""",
+)
 def _(t):
     parts = {"orders": _rendered(t), "supplier": t.supplier.select("s_suppkey", "s_nationkey")}
     return fingerprint.input_fingerprint(parts, {"policy": "policy-1", "seed": "incident-1"})

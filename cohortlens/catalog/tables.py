@@ -11,6 +11,7 @@ from ..spec import FactSpec, Windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_SHARED: list[dict] = []
 
 FACT = FactSpec()
 PLANTED_FACT = FactSpec(simulated="overlaid")
@@ -54,10 +55,15 @@ def shared(build):
             kept[key] = build(t)
         return kept[key]
 
-    once.clear = kept.clear
+    _SHARED.append(kept)
     return once
 
 
+def forget_shared() -> None:
+    for kept in _SHARED:
+        kept.clear()
+
+
 # --------------------------------------------------------------------------------------------------------------
 # The payment fact: line items with their order, customer and region.
 

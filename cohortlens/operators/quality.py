@@ -180,18 +180,28 @@ def split_rows(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------------------------------------------ schema drift
-def header_drift(spark, observed: list[str]) -> DataFrame:
-    """Compare a header with the expected one. A header is a handful of names, already on the driver."""
-    names = [n.strip() for n in observed]
-    seen, expected, required = set(names), set(v.SOURCE_COLUMNS), set(v.REQUIRED_COLUMNS)
-    rows = [
-        ("missing_required", sorted(required - seen)),
-        ("missing_optional", sorted(expected - required - seen)),
-        ("unexpected", sorted(seen - expected)),
-        ("duplicated", sorted({n for n in names if names.count(n) > 1})),
-    ]
-    frame = spark.createDataFrame(rows, "kind string, names array<string>")
-    return frame.withColumn("fatal", F.col("kind").isin("missing_required", "duplicated") & (F.size("names") > 0))
+def header_drift(headers: DataFrame) -> DataFrame:
+    """Compare the header of every file (`file`, `names` array) with the expected one.
+
+    Missing required, missing optional, unexpected and duplicated names, each sorted. A missing required name or a
+    duplicate is fatal; a renamed column shows as missing plus unexpected, never as a guess.
+    """
+
+    def listed(names):
+        return F.array(*[F.lit(n) for n in names])
+
+    seen = F.transform("names", lambda n: F.trim(n))
+    rows = headers.select("file", seen.alias("_seen"))
+    once = F.array_distinct("_seen")
+    twice = F.filter(once, lambda n: F.size(F.filter("_seen", lambda m: m == n)) > 1)
+    judged = rows.select(
+        "file",
+        F.array_sort(F.array_except(listed(v.REQUIRED_COLUMNS), "_seen")).alias("missing_required"),
+        F.array_sort(F.array_except(listed(v.OPTIONAL_COLUMNS), "_seen")).alias("missing_optional"),
+        F.array_sort(F.array_except("_seen", listed(v.SOURCE_COLUMNS))).alias("unexpected"),
+        F.array_sort(twice).alias("duplicated"),
+    )
+    return judged.withColumn("fatal", (F.size("missing_required") > 0) | (F.size("duplicated") > 0))
 
 
 def type_drift(raw: DataFrame, checks: dict[str, Column], sample: int = 1000, threshold: float = 0.5) -> DataFrame:
