@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocabulary as v
 from ..operators import quality
-from ..session import stage
+from ..plans import ingest
 from .tables import payments, query, shared
 
 NBSP = "\u00a0"
@@ -157,7 +157,7 @@ def normalized(t):
 @shared
 def first_pass(t):
     """Rows normalised and judged once and written; everything below reads columns of that copy."""
-    return stage(quality.judge_rows(normalized(t)), "judged")
+    return ingest.judge_and_stage(raw_rows(t), "lineitem_2024")
 
 
 def judged(t):

@@ -141,7 +141,7 @@ def judge_rows(normalized: DataFrame, rules: list[Rule] | None = None) -> DataFr
         *normalized.columns,
         category.alias("error_category"),
         message.alias("validation_error"),
-        F.array_sort(F.array_distinct(F.split(fields, ","))).alias("offending_fields"),
+        F.sort_array(F.array_distinct(F.split(fields, ","))).alias("offending_fields"),
     )
 
 

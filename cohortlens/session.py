@@ -23,7 +23,27 @@ def build_session(app: str = "cohortlens", master: str | None = None, **conf: st
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session SQL settings the row-level jobs need, wherever the session came from; a value already set is kept.
+
+    The JVM never compiles methods above 8,000 bytecodes, and a fused stage of many rules easily exceeds that and then
+    runs interpreted. With this limit Spark falls back to smaller generated methods, which do get compiled.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for a CPU-bound projection over an input with too few splits; a no-op on a large input.
+
+    Without this, one large row group is one task. On a cluster reading many files the check fails and nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
