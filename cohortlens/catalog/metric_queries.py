@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.hashing import cohort_key
 from ..operators import detect, metrics, ranking, whatif
+from ..session import materialize
 from .tables import (
     FACT, FACT_SQL, IN_CURRENT, P_BASE, PLANTED_FACT, PRIOR_START, WINDOWS, lane_sql, metrics_sql, payments, planted, planted_sql,
     query, scored_sql, shared, windowed_sql, z_sql,
@@ -25,13 +26,11 @@ SHOWN = ", ".join(MEASURES)
 
 @shared
 def cohort_table(t):
-    from ..session import materialize
-
-    return materialize(metrics.cohort_metrics(metrics.cohort_cells(payments(t), FACT, WINDOWS), FACT))
+    return materialize(fresh_table(t))
 
 
 def fresh_table(t):
-    return metrics.cohort_metrics(metrics.cohort_cells(payments(t), FACT, WINDOWS), FACT)
+    return metrics.measure(payments(t), FACT, WINDOWS)[1]
 
 
 # ------------------------------------------------------------------------------------------------------- filters
@@ -219,8 +218,7 @@ def _(t):
 
 @query("a02_single_set_and_all", f"""{BASE_SQL} SELECT "window", cohort_key, {SHOWN} FROM metrics WHERE dim_set IN ('region', 'ALL')""")
 def _(t):
-    cells = metrics.cohort_cells(payments(t), FACT, WINDOWS)
-    return metrics.cohort_metrics(cells, FACT, sets=[("region",)]).selectExpr("window", "cohort_key", *MEASURES)
+    return metrics.measure(payments(t), FACT, WINDOWS, sets=[("region",)])[1].selectExpr("window", "cohort_key", *MEASURES)
 
 
 @query("a03_nine_sets_two_windows", f"""{BASE_SQL} SELECT dim_set, "window", count(*) AS cohorts, CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(failures) AS BIGINT) AS failures FROM metrics GROUP BY 1, 2""")
@@ -237,7 +235,7 @@ def _(t):
 )
 def _(t):
     rest = metrics.excluding(payments(t), {"gateway": "gateway_C"})
-    table = metrics.cohort_metrics(metrics.cohort_cells(rest, FACT, WINDOWS), FACT, sets=[("region",)], population=False)
+    _, table = metrics.measure(rest, FACT, WINDOWS, sets=[("region",)], population=False)
     return table.select("window", "region", "volume", "failures", "latency_p95")
 
 
@@ -427,7 +425,7 @@ def _(t):
 SELECT n.cohort_key, b.cohort_key AS broader_key FROM scored n JOIN scored b ON n.verdict = 'ANOMALOUS' AND b.verdict = 'ANOMALOUS' AND b.depth < n.depth
  AND len(list_filter(string_split(b.cohort_key, '|'), lambda x: NOT list_contains(string_split(n.cohort_key, '|'), x))) = 0""")
 def _(t):
-    table = metrics.cohort_metrics(metrics.cohort_cells(planted(t), PLANTED_FACT, WINDOWS), PLANTED_FACT)
+    _, table = metrics.measure(planted(t), PLANTED_FACT, WINDOWS)
     found = detect.candidates(detect.score_cohorts(table, PLANTED_FACT))
     asked = found.where("depth > 1").select("cohort_key", F.explode(detect.broader_keys(PLANTED_FACT)).alias("broader_key"))
     return asked.join(found.select(F.col("cohort_key").alias("broader_key")), "broader_key").select("cohort_key", "broader_key")

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import cohort_key
 from ..functions.stats import rate
+from ..session import materialize
 from ..spec import FactSpec, Windows
+from .ranking import exact_percentiles
 
+BUFFERED_VALUES = 50_000
 PERCENTILES = (("latency_p50", 0.50), ("latency_p95", 0.95), ("latency_p99", 0.99))
 
 
@@ -120,40 +123,66 @@ def _label(spec: FactSpec, sets, value_of) -> Column:
     return chosen
 
 
-def cohort_metrics(cells: DataFrame, spec: FactSpec, sets=None, population: bool = True) -> DataFrame:
+def many_latencies(cells: DataFrame, limit: int = BUFFERED_VALUES) -> bool:
+    """Whether a percentile buffer could hold too many distinct values. Reads materialised cells."""
+    return cells.agg(F.approx_count_distinct("latency_value")).first()[0] > limit
+
+
+def _distributed_latency(wide: DataFrame, spec: FactSpec, scanned) -> DataFrame:
+    """Exact percentiles per (window, cohort) for latencies with too many distinct values to buffer."""
+    keyed = wide.groupingSets([["window", "latency_value", *dims] for dims in scanned], "window", "latency_value", *spec.dims).agg(
+        F.grouping_id().alias("gid"), F.sum("n").alias("n")
+    )
+    named = keyed.select("window", _label(spec, scanned, cohort_key).alias("cohort_key"), "latency_value", "n")
+    return exact_percentiles(named, ["window", "cohort_key"], "latency_value", "n", dict(PERCENTILES))
+
+
+def cohort_metrics(cells: DataFrame, spec: FactSpec, sets=None, population: bool = True, buffered: bool = True) -> DataFrame:
     """The metric block for every cohort of every dimension set and window: one GROUPING SETS job over cells.
 
-    Latency percentiles are exact and interpolating; cells carry (value, count), so the percentile buffer
-    holds distinct latency values rather than rows.
+    Latency percentiles are exact and interpolating. Buffered, each group holds its distinct latency values, which
+    is the cheap plan while they are few (`many_latencies` checks); otherwise they are located by ranks over value
+    buckets and joined on.
     """
     sets = tuple(sets) if sets is not None else spec.dimension_sets
     for dims in sets:
         spec.check_dimensions(dims)
     scanned = tuple(sets) + (((),) if population else ())
     wide = with_windows(cells)
+    latency = [F.percentile("latency_value", [p for _, p in PERCENTILES], F.col("n")).alias("pct")] if buffered else []
     grouped = wide.groupingSets([["window", *dims] for dims in scanned], "window", *spec.dims).agg(
         F.grouping_id().alias("gid"),
         F.sum("n").alias("volume"),
         F.sum("n_failed").alias("failures"),
         F.sum("amount_total").alias("value_total"),
         F.sum("amount_failed").alias("value_at_risk"),
-        F.percentile("latency_value", [p for _, p in PERCENTILES], F.col("n")).alias("pct"),
         F.sum("n_timeout").alias("timeouts"),
         F.sum("n_infra").alias("infrastructure_side"),
         F.sum("n_simulated").alias("simulated_rows"),
+        *latency,
     )
-    volume = F.col("volume")
-    return grouped.select(
-        "window",
+    named = grouped.select(
+        "*",
         _label(spec, scanned, lambda d: F.lit(set_name(d))).alias("dim_set"),
         _label(spec, scanned, lambda d: F.lit(len(d))).alias("depth"),
         _label(spec, scanned, cohort_key).alias("cohort_key"),
+    )
+    if buffered:
+        named = named.select("*", *[F.col("pct")[i].alias(n) for i, (n, _) in enumerate(PERCENTILES)])
+    else:
+        named = named.join(_distributed_latency(wide, spec, scanned), ["window", "cohort_key"], "left")
+    volume = F.col("volume")
+    return named.select(
+        "window",
+        "dim_set",
+        "depth",
+        "cohort_key",
         *spec.dims,
         "volume",
         "failures",
         "value_total",
         "value_at_risk",
-        *[F.coalesce(F.col("pct")[i], F.lit(0.0)).alias(n) for i, (n, _) in enumerate(PERCENTILES)],
+        *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n, _ in PERCENTILES],
         "timeouts",
         "infrastructure_side",
         "simulated_rows",
@@ -164,6 +193,12 @@ def cohort_metrics(cells: DataFrame, spec: FactSpec, sets=None, population: bool
     )
 
 
+def measure(fact: DataFrame, spec: FactSpec, windows: Windows, sets=None, population: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Cells (materialised: the one pass over facts) and the metric table, with the percentile plan their size allows."""
+    cells = materialize(cohort_cells(fact, spec, windows))
+    return cells, cohort_metrics(cells, spec, sets, population, buffered=not many_latencies(cells))
+
+
 def population_metrics(fact: DataFrame, spec: FactSpec) -> DataFrame:
     """Whole-table metrics; an empty input still yields one row of zeros."""
     failed = F.col(spec.outcome) == F.lit(spec.failed_value)
@@ -175,13 +210,16 @@ def population_metrics(fact: DataFrame, spec: FactSpec) -> DataFrame:
         F.sum(F.when(failed, amount)).alias("amount_failed"),
     )
     zero = F.lit(0).cast("decimal(32,2)")
-    return histogram.agg(
+    totals = histogram.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("volume"),
         F.coalesce(F.sum("n_failed"), F.lit(0)).alias("failures"),
         F.coalesce(F.sum("amount_total"), zero).alias("value_total"),
         F.coalesce(F.sum("amount_failed"), zero).alias("value_at_risk"),
-        F.coalesce(F.percentile("latency_value", 0.95, F.col("n")), F.lit(0.0)).alias("latency_p95"),
     ).withColumn("failure_rate", rate(F.col("failures"), F.col("volume")))
+    # An empty table has no percentile row; stacking the two one-row results keeps the zeros.
+    p95 = exact_percentiles(histogram, [], "latency_value", "n", {"latency_p95": 0.95})
+    both = totals.unionByName(p95, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in totals.columns], F.coalesce(F.max("latency_p95"), F.lit(0.0)).alias("latency_p95"))
 
 
 def control_totals(metrics: DataFrame) -> DataFrame:

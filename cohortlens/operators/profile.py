@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.stats import rate
 from ..functions.text import is_placeholder
+from .ranking import exact_percentiles
 
 PERCENTS = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 TOP_VALUES = 15
@@ -90,7 +91,7 @@ def candidate_keys(profile: DataFrame, least: float = 99.0) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """Count, mean, std, extremes, percentiles, negatives and zeros of numeric columns.
 
-    Percentiles are exact over value counts, so the buffers hold distinct values.
+    Percentiles are exact, located by rank over value counts, so a column of all-distinct values is never buffered.
     """
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
     counts = df.select(F.explode(items).alias("x")).groupBy("x.column", "x.v").agg(F.count(F.lit(1)).alias("n"))
@@ -102,10 +103,11 @@ def numeric_profile(df: DataFrame, columns: list[str], digits: int = 6) -> DataF
         F.sum((v * v * n).cast("decimal(38,8)")).alias("_q"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
-        F.percentile("v", list(PERCENTS), n).alias("_p"),
         F.sum(F.when(v < 0, n).otherwise(0)).alias("negatives"),
         F.sum(F.when(v == 0, n).otherwise(0)).alias("zeros"),
     )
+    names = {f"p{int(p * 100)}": p for p in PERCENTS}
+    out = out.join(exact_percentiles(some, ["column"], "v", "n", names), "column")
     mean = F.col("_s").cast("double") / F.col("count")
     spread = (F.col("_q").cast("double") - F.col("count") * mean * mean) / (F.col("count") - 1)
     return out.select(
@@ -115,7 +117,7 @@ def numeric_profile(df: DataFrame, columns: list[str], digits: int = 6) -> DataF
         F.round(F.when(F.col("count") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))), digits).alias("std"),
         "min",
         "max",
-        *[F.round(F.col("_p")[i], digits).alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTS)],
+        *[F.round(p, digits).alias(p) for p in names],
         "negatives",
         "zeros",
     )
@@ -177,17 +179,15 @@ def group_latency(df: DataFrame, keys: list[str], latency: str, failed: Column)
     """Volume, failure share and latency mean and percentiles per group, from a (group, latency) histogram."""
     counts = df.groupBy(*keys, F.col(latency).cast("double").alias("_l")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(failed).alias("_f"))
     out = counts.groupBy(*keys).agg(
-        F.sum("_n").alias("rows"),
-        F.sum("_f").alias("failures"),
-        F.sum((F.col("_l") * F.col("_n")).cast("decimal(38,6)")).alias("_s"),
-        F.percentile("_l", [0.5, 0.95, 0.99], F.col("_n")).alias("_p"),
+        F.sum("_n").alias("rows"), F.sum("_f").alias("failures"), F.sum((F.col("_l") * F.col("_n")).cast("decimal(38,6)")).alias("_s")
     )
-    return out.select(
+    names = {"latency_p50": 0.5, "latency_p95": 0.95, "latency_p99": 0.99}
+    return out.join(exact_percentiles(counts, keys, "_l", "_n", names), keys, "left").select(
         *keys,
         "rows",
         F.round(100.0 * rate(F.col("failures"), F.col("rows")), 4).alias("failure_pct"),
         F.round(F.col("_s").cast("double") / F.col("rows"), 4).alias("latency_mean"),
-        *[F.round(F.col("_p")[i], 4).alias(f"latency_{p}") for i, p in enumerate(("p50", "p95", "p99"))],
+        *[F.round(n, 4).alias(n) for n in names],
     )
 
 

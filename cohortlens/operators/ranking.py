@@ -124,15 +124,62 @@ def sample_cutoffs(rows: DataFrame, group: list[str], digest: str, id_: str, per
     return hit.select(*group, "percent", "take", "population", F.col("_d").alias("cut_digest"), F.col("_i").alias("cut_id"))
 
 
-def nearest_rank_low(df: DataFrame, keys: list[str], value: str, fraction: float, weight: Column | None = None) -> DataFrame:
-    """`sorted[int(f * (n - 1))]` per key, from value counts: the first value whose running count passes the rank.
+def _coarse(v: Column) -> Column:
+    """A bucket number that never decreases as the value grows: 1,024 buckets per doubling, both signs."""
+    steps, offset = 1024, 1024 * 1100
+    size = F.floor(F.log2(F.abs(v)) * steps) + offset
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
+
 
-    Value counts bound the window by distinct values, not rows.
+def values_at(counts: DataFrame, keys: list[str], value: str, weight: str, ranks) -> DataFrame:
+    """Values at exact 0-based ranks per key, from (key, value, weight) counts.
+
+    `ranks` is a list of (name, n -> rank). Bucket totals locate the coarse bucket that holds each rank, and only
+    those buckets are sorted. A key with a third of all rows and as many distinct values is therefore never sorted or
+    buffered whole; the number of buckets per key is bounded by the float range.
     """
+    k = F.struct(*[F.col(c) for c in keys]).alias("_k") if keys else F.struct(F.lit(1).alias("one")).alias("_k")
+    rows = counts.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(
+        k, F.col(value).cast("double").alias("_v"), F.col(weight).alias("_w")
+    ).withColumn("_b", _coarse(F.col("_v")))
+    sums = rows.groupBy("_k", "_b").agg(F.sum("_w").alias("_c"))
+    running, whole = Window.partitionBy("_k").orderBy("_b"), Window.partitionBy("_k")
+    placed = sums.withColumn("_end", F.sum("_c").over(running)).withColumn("_n", F.sum("_c").over(whole))
+    asks = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks])
+    start = F.col("_end") - F.col("_c")
+    holding = placed.withColumn("_ask", F.explode(asks)).where((F.col("_ask.rank") >= start) & (F.col("_ask.rank") < F.col("_end")))
+    holding = holding.select("_k", "_b", "_n", F.col("_ask.name").alias("_name"), (F.col("_ask.rank") - start).alias("_off"))
+    edge = rows.join(holding.select("_k", "_b").distinct(), ["_k", "_b"], "left_semi")
+    inside = Window.partitionBy("_k", "_b").orderBy("_v")
+    upto = edge.groupBy("_k", "_b", "_v").agg(F.sum("_w").alias("_w")).withColumn("_cum", F.sum("_w").over(inside))
+    hit = upto.join(holding, ["_k", "_b"]).where((F.col("_off") < F.col("_cum")) & (F.col("_off") >= F.col("_cum") - F.col("_w")))
+    out = hit.groupBy("_k").agg(
+        F.max("_n").alias("_n"), *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name, _ in ranks]
+    )
+    return out.select(*[F.col("_k")[c].alias(c) for c in keys], "_n", *[name for name, _ in ranks])
+
+
+def nearest_rank_low(df: DataFrame, keys: list[str], value: str, fraction: float, weight: Column | None = None) -> DataFrame:
+    """`sorted[int(f * (n - 1))]` per key: always a value that occurs, never an average of two."""
     amount = F.sum(weight) if weight is not None else F.count(F.lit(1))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("_c"))
-    running = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    placed = counts.withColumn("_cum", F.sum("_c").over(running)).withColumn("_n", F.sum("_c").over(whole))
-    target = F.floor(F.lit(float(fraction)) * (F.col("_n") - 1))
-    return placed.where(F.col("_cum") > target).groupBy(*keys).agg(F.min(value).alias("percentile_value"))
+    found = values_at(counts, keys, value, "_c", [("percentile_value", lambda n: F.floor(F.lit(float(fraction)) * (n - 1)))])
+    return found.drop("_n")
+
+
+def exact_percentiles(counts: DataFrame, keys: list[str], value: str, weight: str, fractions: dict[str, float]) -> DataFrame:
+    """Interpolating percentiles per key, equal to a buffered exact percentile but without holding a key's values."""
+
+    def at(fraction, side):
+        return lambda n: side(F.lit(float(fraction)) * (n - 1))
+
+    ranks = [(f"{n}_{t}", at(f, side)) for n, f in fractions.items() for t, side in (("lo", F.floor), ("hi", F.ceil))]
+    found = values_at(counts, keys, value, weight, ranks)
+
+    def between(name, fraction):
+        position = F.lit(float(fraction)) * (F.col("_n") - 1)
+        low, high = F.floor(position), F.ceil(position)
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return F.when(low == high, lo).otherwise((high - position) * lo + (position - low) * hi).alias(name)
+
+    return found.select(*keys, *[between(n, f) for n, f in fractions.items()])

@@ -41,8 +41,8 @@ class Detection:
 
 def scan(fact: DataFrame, spec: FactSpec, windows: Windows) -> tuple[DataFrame, DataFrame]:
     """Cells and metrics. Cells are the only intermediate whose size follows the data's dimensions; both are kept."""
-    cells = materialize(metrics.cohort_cells(fact, spec, windows))
-    return cells, materialize(metrics.cohort_metrics(cells, spec))
+    cells, table = metrics.measure(fact, spec, windows)
+    return cells, materialize(table)
 
 
 def rank(table: DataFrame, spec: FactSpec, config: DetectionConfig) -> tuple[DataFrame, DataFrame]:

@@ -129,3 +129,14 @@ def test_interpolated_percentile(spark):
     )
     table = metrics.cohort_metrics(metrics.cohort_cells(df, SPEC, WINDOWS), SPEC, sets=[("gateway",)])
     assert {r["latency_p95"] for r in table.collect()} == {10.5}
+
+
+def test_distributed_percentiles_equal_buffered_ones(fact):
+    spread = fact.withColumn("latency_ms", F.col("latency_ms") * (F.rand(3) - 0.2)).cache()
+    cells = metrics.cohort_cells(spread, SPEC, WINDOWS).cache()
+    columns = ["window", "cohort_key", "latency_p50", "latency_p95", "latency_p99"]
+    one = {tuple(r)[:2]: tuple(r)[2:] for r in metrics.cohort_metrics(cells, SPEC).select(*columns).collect()}
+    two = {tuple(r)[:2]: tuple(r)[2:] for r in metrics.cohort_metrics(cells, SPEC, buffered=False).select(*columns).collect()}
+    assert one.keys() == two.keys() and len(one) > 100
+    assert all(two[k] == pytest.approx(v, abs=1e-9) for k, v in one.items())
+    assert metrics.many_latencies(cells, 100) and not metrics.many_latencies(cells)
