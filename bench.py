@@ -51,7 +51,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
     names = sys.argv[1:] or HEADLINE
-    spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    # One untimed run compiles the shared code paths, so the first query is not charged for starting the JVM.
+    queries["d06_scored_cohorts"](spark, folder).write.format("noop").mode("overwrite").save()
     taken = {}
     for name in names:
         tables.forget_shared()  # every query pays for its own analysis

@@ -100,9 +100,9 @@ def payments(t: Tables) -> DataFrame:
     geo = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     buyer = t.customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "r_name")
     line = F.col("l_linenumber") % 4
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        buyer, F.col("o_custkey") == F.col("c_custkey")
-    )
+    # Orders meet their customers first, so line items, the large side, move once.
+    order = t.orders.join(buyer, F.col("o_custkey") == F.col("c_custkey")).drop("o_totalprice", "o_orderstatus")
+    rows = t.lineitem.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
     failed = F.col("l_returnflag") == "R"
     return rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("txn_id"),

@@ -1,4 +1,4 @@
-"""Session set-up and the two ways this library cuts lineage."""
+"""Session set-up, and the written tables this library cuts lineage with."""
 
 from __future__ import annotations
 
@@ -61,25 +61,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut lineage with a reliable checkpoint, so a lost executor costs a re-read, not a rerun.
-
-    Used only for aggregated tables (metric, candidate and verdict tables) that several later steps read.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate, under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a row-level intermediate as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write an intermediate as Parquet in the shared folder and read it back.
 
-    For tables that several steps read in part: later steps prune columns and push filters into the written copy.
+    Lineage ends there, so a lost executor costs a re-read. Later steps prune columns and push filters into the copy,
+    and Catalyst knows its size: joins against small results are broadcast because they were measured, not hinted.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Stage an aggregated table (metrics, candidates, verdicts) that several later steps read."""
+    return stage(df)
