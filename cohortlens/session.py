@@ -27,11 +27,13 @@ def build_session(app: str = "cohortlens", master: str | None = None, **conf: st
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Session SQL settings the row-level jobs need, wherever the session came from; a value already set is kept.
+    """Session SQL settings the jobs need, wherever the session came from: the UTC clock and a codegen limit.
 
     The JVM never compiles methods above 8,000 bytecodes, and a fused stage of many rules easily exceeds that and then
     runs interpreted. With this limit Spark falls back to smaller generated methods, which do get compiled.
     """
+    # Windows, source-local times and stored timestamps are all compared in UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
