@@ -153,7 +153,7 @@ class Filter:
     @staticmethod
     def place(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
         """Bit of one probe inside a region of 2**bits bits."""
-        y = mixed(mixed(keys) + np.uint64(level) * _NEXT)
+        y = mixed(mixed(keys) + np.uint64(level * int(_NEXT) % (1 << 64)))
         y = (y & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((y >> np.uint64(32)) | np.uint64(1))
         return (y & np.uint64((1 << bits) - 1)).astype(np.int64)
 
