@@ -348,12 +348,7 @@ def _(t):
 SELECT gateway, max(latency_ms) FILTER (rn = floor(0.95 * (n - 1)) + 1) AS p95, max(latency_ms) FILTER (rn = floor(0.5 * (n - 1)) + 1) AS p50 FROM r GROUP BY 1""",
 )
 def _(t):
-    counts = payments(t).groupBy("gateway", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
-    p95, p50 = (
-        ranking.nearest_rank_low(counts, ["gateway"], "latency_ms", f, F.col("n")).withColumnRenamed("percentile_value", name)
-        for f, name in ((0.95, "p95"), (0.5, "p50"))
-    )
-    return p95.join(p50, "gateway")
+    return ranking.nearest_rank_low(payments(t), ["gateway"], "latency_ms", {"p95": 0.95, "p50": 0.5})
 
 
 @query(

@@ -353,7 +353,7 @@ def run_metrics(calls: DataFrame, runs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("tool") == "run_counterfactual", F.col("n")).otherwise(0)).alias("simulations"),
         F.sum("ms").alias("_ms"),
     )
-    p95 = nearest_rank_low(calls, ["run_id"], "latency_ms", 0.95)
+    p95 = nearest_rank_low(calls, ["run_id"], "latency_ms", {"p95": 0.95})
     joined = runs.join(used, "run_id", "left").join(p95, "run_id", "left")
     calls_n = F.coalesce("tool_calls", F.lit(0))
     within = (F.col("turns") <= MAX_TURNS) & (calls_n <= MAX_TOOL_CALLS) & (F.coalesce("simulations", F.lit(0)) <= MAX_SIMULATIONS)
@@ -364,7 +364,7 @@ def run_metrics(calls: DataFrame, runs: DataFrame) -> DataFrame:
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unique_tools", "failed_calls", "repeated_calls", "simulations")],
         F.round(F.when(calls_n > 0, (calls_n - F.col("repeated_calls")) / calls_n).otherwise(1.0), 4).alias("tool_efficiency"),
         F.when(calls_n > 0, F.round(F.col("_ms") / calls_n, 1)).alias("mean_latency_ms"),
-        F.round("percentile_value", 1).alias("p95_latency_ms"),
+        F.round("p95", 1).alias("p95_latency_ms"),
         (within & (F.col("elapsed_ms") <= TOTAL_BUDGET_MS + TURN_GRACE_MS)).alias("budget_compliant"),
     )
 

@@ -108,13 +108,12 @@ def suppress_redundant(found: DataFrame, spec: FactSpec, config: DetectionConfig
 
 def rank_candidates(marked: DataFrame) -> DataFrame:
     """Reported first, then score, sigma and key; suppressed ones keep a rank after everything reported."""
-    by_score = F.when(F.col("suppressed"), 1e12).otherwise(0.0) - F.col("score")
     order = [F.col("suppressed").asc(), F.col("score").desc(), F.col("sigma").desc(), F.col("cohort_key").asc()]
-    return global_rank(marked, by_score, order)
+    return global_rank(marked, order)
 
 
 def _dimension_cells(cells: DataFrame, spec: FactSpec) -> DataFrame:
-    """Cells without latency, with baseline and current counts side by side."""
+    """Cells with baseline and current counts side by side."""
     base, current = F.col("slice") != "current", F.col("slice") == "current"
 
     def part(test, column):

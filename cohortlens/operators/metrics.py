@@ -8,9 +8,8 @@ from ..functions.hashing import cohort_key
 from ..functions.stats import rate
 from ..session import materialize
 from ..spec import FactSpec, Windows
-from .ranking import exact_percentiles
+from .ranking import coarse_bucket, exact_percentiles, holding_buckets, interpolated, open_buckets, percentile_ranks, settle_ranks
 
-BUFFERED_VALUES = 50_000
 PERCENTILES = (("latency_p50", 0.50), ("latency_p95", 0.95), ("latency_p99", 0.99))
 
 
@@ -68,25 +67,31 @@ def _slice(spec: FactSpec, windows: Windows) -> Column:
     )
 
 
-def cohort_cells(fact: DataFrame, spec: FactSpec, windows: Windows, latency: bool = True) -> DataFrame:
-    """Collapse the fact table to one row per (slice, all dimensions[, latency value]).
+def _scanned_rows(fact: DataFrame, spec: FactSpec, windows: Windows) -> DataFrame:
+    time = F.col(spec.time)
+    rows = fact.where(time < F.lit(windows.current_end))
+    if windows.baseline_start is not None:
+        rows = rows.where(time >= F.lit(windows.baseline_start))
+    return rows.withColumn("slice", _slice(spec, windows))
+
+
+def scanned_rows(fact: DataFrame, spec: FactSpec, windows: Windows) -> DataFrame:
+    """The narrow rows both passes of `measure` read: slice, dimensions, outcome, amount, latency, code."""
+    columns = [*spec.dims, spec.outcome, spec.amount, spec.latency, spec.code, *([spec.simulated] if spec.simulated else [])]
+    return _scanned_rows(fact, spec, windows).select("slice", *columns)
+
 
-    This is the only pass over fact rows and the only shuffle whose input grows with them; partial
-    aggregation runs before it, so a hot cohort travels as a few rows. Everything downstream (grouping
-    sets, windows, residuals) expands cells, not facts.
+def cohort_cells(rows: DataFrame, spec: FactSpec) -> DataFrame:
+    """Collapse scanned rows to one row per (slice, all dimensions).
+
+    Partial aggregation runs before the only shuffle, so a hot cohort travels as a few rows. Everything downstream (grouping
+    sets, windows, residuals) expands cells, not facts. Latency is not part of the key: it would make nearly every fact a cell.
     """
     failed = F.col(spec.outcome) == F.lit(spec.failed_value)
     amount = F.col(spec.amount).cast("decimal(12,2)")
     zero = F.lit(0).cast("decimal(12,2)")
     simulated = F.count_if(F.col(spec.simulated)) if spec.simulated else F.lit(0).cast("long")
-    time = F.col(spec.time)
-    rows = fact.where(time < F.lit(windows.current_end))
-    if windows.baseline_start is not None:
-        rows = rows.where(time >= F.lit(windows.baseline_start))
-    keys = [_slice(spec, windows).alias("slice"), *spec.dims]
-    if latency:
-        keys.append(F.col(spec.latency).cast("double").alias("latency_value"))
-    return rows.groupBy(*keys).agg(
+    return rows.groupBy("slice", *spec.dims).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(failed).alias("n_failed"),
         F.sum(amount).alias("amount_total"),
@@ -123,34 +128,32 @@ def _label(spec: FactSpec, sets, value_of) -> Column:
     return chosen
 
 
-def many_latencies(cells: DataFrame, limit: int = BUFFERED_VALUES) -> bool:
-    """Whether a percentile buffer could hold too many distinct values. Reads materialised cells."""
-    return cells.agg(F.approx_count_distinct("latency_value")).first()[0] > limit
-
+def cohort_latency(rows: DataFrame, spec: FactSpec, sets) -> DataFrame:
+    """Exact interpolating latency percentiles per (window, cohort_key).
 
-def _distributed_latency(wide: DataFrame, spec: FactSpec, scanned) -> DataFrame:
-    """Exact percentiles per (window, cohort) for latencies with too many distinct values to buffer."""
-    keyed = wide.groupingSets([["window", "latency_value", *dims] for dims in scanned], "window", "latency_value", *spec.dims).agg(
-        F.grouping_id().alias("gid"), F.sum("n").alias("n")
-    )
-    named = keyed.select("window", _label(spec, scanned, cohort_key).alias("cohort_key"), "latency_value", "n")
-    return exact_percentiles(named, ["window", "cohort_key"], "latency_value", "n", dict(PERCENTILES))
-
-
-def cohort_metrics(cells: DataFrame, spec: FactSpec, sets=None, population: bool = True, buffered: bool = True) -> DataFrame:
-    """The metric block for every cohort of every dimension set and window: one GROUPING SETS job over cells.
-
-    Latency percentiles are exact and interpolating. Buffered, each group holds its distinct latency values, which
-    is the cheap plan while they are few (`many_latencies` checks); otherwise they are located by ranks over value
-    buckets and joined on.
+    A histogram over coarse buckets, for all dimension sets at once, says which bucket holds each rank. Rows are aggregated before they
+    move, so its size follows cohorts and buckets. Buckets with one value are settled by it; values of the others are read in
+    a second pass, in which a row only survives the join with those buckets.
     """
-    sets = tuple(sets) if sets is not None else spec.dimension_sets
-    for dims in sets:
-        spec.check_dimensions(dims)
-    scanned = tuple(sets) + (((),) if population else ())
-    wide = with_windows(cells)
-    latency = [F.percentile("latency_value", [p for _, p in PERCENTILES], F.col("n")).alias("pct")] if buffered else []
-    grouped = wide.groupingSets([["window", *dims] for dims in scanned], "window", *spec.dims).agg(
+    keys = ["window", "cohort_key"]
+    value = F.col(spec.latency).cast("double")
+    rows = rows.where(value.isNotNull()).select("slice", *spec.dims, value.alias("_v"), coarse_bucket(value).alias("_b"))
+    histogram = rows.groupingSets([["slice", "_b", *dims] for dims in sets], "slice", "_b", *spec.dims).agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    named = with_windows(histogram).withColumn("cohort_key", _label(spec, sets, cohort_key))
+    buckets = named.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    holding = materialize(holding_buckets(buckets, keys, percentile_ranks(dict(PERCENTILES))))
+    wide = with_windows(rows).withColumn("cohort_key", F.explode(F.array(*[cohort_key(dims) for dims in sets])))
+    edge = wide.join(materialize(open_buckets(holding, keys)), [*keys, "_b"], "left_semi").withColumn("_w", F.lit(1))
+    found = settle_ranks(holding, edge, keys, [n for n, _ in percentile_ranks(dict(PERCENTILES))])
+    return found.select(*keys, *[interpolated(n, p) for n, p in PERCENTILES])
+
+
+def cohort_metrics(cells: DataFrame, latency: DataFrame, spec: FactSpec, sets=None, population: bool = True) -> DataFrame:
+    """The metric block for every cohort of every dimension set and window: one GROUPING SETS job over cells, and the latencies."""
+    scanned = scanned_sets(spec, sets, population)
+    grouped = with_windows(cells).groupingSets([["window", *dims] for dims in scanned], "window", *spec.dims).agg(
         F.grouping_id().alias("gid"),
         F.sum("n").alias("volume"),
         F.sum("n_failed").alias("failures"),
@@ -159,7 +162,6 @@ def cohort_metrics(cells: DataFrame, spec: FactSpec, sets=None, population: bool
         F.sum("n_timeout").alias("timeouts"),
         F.sum("n_infra").alias("infrastructure_side"),
         F.sum("n_simulated").alias("simulated_rows"),
-        *latency,
     )
     named = grouped.select(
         "*",
@@ -167,12 +169,8 @@ def cohort_metrics(cells: DataFrame, spec: FactSpec, sets=None, population: bool
         _label(spec, scanned, lambda d: F.lit(len(d))).alias("depth"),
         _label(spec, scanned, cohort_key).alias("cohort_key"),
     )
-    if buffered:
-        named = named.select("*", *[F.col("pct")[i].alias(n) for i, (n, _) in enumerate(PERCENTILES)])
-    else:
-        named = named.join(_distributed_latency(wide, spec, scanned), ["window", "cohort_key"], "left")
     volume = F.col("volume")
-    return named.select(
+    return named.join(latency, ["window", "cohort_key"], "left").select(
         "window",
         "dim_set",
         "depth",
@@ -193,10 +191,19 @@ def cohort_metrics(cells: DataFrame, spec: FactSpec, sets=None, population: bool
     )
 
 
+def scanned_sets(spec: FactSpec, sets=None, population: bool = True):
+    sets = tuple(sets) if sets is not None else spec.dimension_sets
+    for dims in sets:
+        spec.check_dimensions(dims)
+    return sets + (((),) if population else ())
+
+
 def measure(fact: DataFrame, spec: FactSpec, windows: Windows, sets=None, population: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Cells (materialised: the one pass over facts) and the metric table, with the percentile plan their size allows."""
-    cells = materialize(cohort_cells(fact, spec, windows))
-    return cells, cohort_metrics(cells, spec, sets, population, buffered=not many_latencies(cells))
+    """Cells (materialised) and the metric table. The fact may be a join, so its rows are computed once and kept narrow."""
+    rows = materialize(scanned_rows(fact, spec, windows))
+    cells = materialize(cohort_cells(rows, spec))
+    latency = cohort_latency(rows, spec, scanned_sets(spec, sets, population))
+    return cells, cohort_metrics(cells, latency, spec, sets, population)
 
 
 def population_metrics(fact: DataFrame, spec: FactSpec) -> DataFrame:

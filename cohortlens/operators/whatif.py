@@ -328,9 +328,8 @@ def impact_of_pairs(paired: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.sum(F.when(then, F.col("amount"))), none).alias("projected_at_risk"),
     )
     for column, tag in (("current_latency_ms", "baseline"), ("projected_latency_ms", "projected")):
-        for label, fraction in (("p50", 0.50), ("p95", 0.95)):
-            found = nearest_rank_low(paired, keys, column, fraction)
-            totals = totals.join(found.withColumnRenamed("percentile_value", f"{tag}_latency_{label}"), keys, "left")
+        found = nearest_rank_low(paired, keys, column, {f"{tag}_latency_p50": 0.50, f"{tag}_latency_p95": 0.95})
+        totals = totals.join(found, keys, "left")
     return totals.withColumn("latency_delta_ms", F.col("projected_latency_p95") - F.col("baseline_latency_p95")).withColumn(
         "success_delta", rate(F.col("baseline_failures") - F.col("projected_failures"), F.col("population"))
     )
@@ -339,9 +338,11 @@ def impact_of_pairs(paired: DataFrame, keys: list[str]) -> DataFrame:
 def traffic_distribution(fact: DataFrame, column: str, source: str, target: str, moved: Column) -> DataFrame:
     """Counts and shares per value before and after moving rows from source to target."""
     counts = fact.groupBy(column).agg(F.count(F.lit(1)).alias("before"), F.count_if(moved).alias("_moved"))
-    everyone = Window.partitionBy(F.lit(1))
-    shift = F.sum(F.when(F.col(column) == source, F.col("_moved")).otherwise(0)).over(everyone)
-    total = F.sum("before").over(everyone)
+    totals = counts.agg(
+        F.sum("before").alias("_total"), F.coalesce(F.sum(F.when(F.col(column) == source, F.col("_moved"))), F.lit(0)).alias("_shift")
+    )
+    counts = counts.crossJoin(totals)  # one row
+    shift, total = F.col("_shift"), F.col("_total")
     after = (
         F.when(F.col(column) == source, F.col("before") - shift)
         .when(F.col(column) == target, F.col("before") + shift)

@@ -112,7 +112,7 @@ def test_residuals_match_filtering_even_with_null_dimensions(fact):
 
 def test_cohort_absent_from_baseline_is_not_scanned(fact):
     new = fact.withColumn("network", F.when(metrics.in_window(F.col("ts"), *NOW), F.lit("6G")).otherwise(F.col("network")))
-    scored = detect.score_cohorts(metrics.cohort_metrics(metrics.cohort_cells(new, SPEC, WINDOWS), SPEC), SPEC)
+    scored = detect.score_cohorts(metrics.measure(new, SPEC, WINDOWS)[1], SPEC)
     assert scored.where("cohort_key LIKE 'network=%'").count() == 0
 
 
@@ -127,16 +127,21 @@ def test_interpolated_percentile(spark):
         F.lit("SUCCESS").alias("status"), "latency_ms", F.lit("APPROVED").alias("response_code"), F.lit(False).alias("overlaid"),
         *[F.lit("x").alias(d) for d in SPEC.dims],
     )
-    table = metrics.cohort_metrics(metrics.cohort_cells(df, SPEC, WINDOWS), SPEC, sets=[("gateway",)])
+    table = metrics.measure(df, SPEC, WINDOWS, sets=[("gateway",)])[1]
     assert {r["latency_p95"] for r in table.collect()} == {10.5}
 
 
-def test_distributed_percentiles_equal_buffered_ones(fact):
+def test_located_percentiles_equal_buffered_ones(fact):
     spread = fact.withColumn("latency_ms", F.col("latency_ms") * (F.rand(3) - 0.2)).cache()
-    cells = metrics.cohort_cells(spread, SPEC, WINDOWS).cache()
+    cells, table = metrics.measure(spread, SPEC, WINDOWS)
     columns = ["window", "cohort_key", "latency_p50", "latency_p95", "latency_p99"]
-    one = {tuple(r)[:2]: tuple(r)[2:] for r in metrics.cohort_metrics(cells, SPEC).select(*columns).collect()}
-    two = {tuple(r)[:2]: tuple(r)[2:] for r in metrics.cohort_metrics(cells, SPEC, buffered=False).select(*columns).collect()}
-    assert one.keys() == two.keys() and len(one) > 100
-    assert all(two[k] == pytest.approx(v, abs=1e-9) for k, v in one.items())
-    assert metrics.many_latencies(cells, 100) and not metrics.many_latencies(cells)
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in table.select(*columns).collect()}
+    rows = metrics.with_windows(metrics.scanned_rows(spread, SPEC, WINDOWS))
+    buffered = F.percentile("latency_ms", [0.5, 0.95, 0.99])
+    want = {}
+    for dims in (*SPEC.dimension_sets, ()):
+        for r in rows.groupBy("window", metrics.cohort_key(dims).alias("k")).agg(buffered.alias("p")).collect():
+            want[(r["window"], r["k"])] = tuple(r["p"])
+    assert got.keys() == want.keys() and len(want) > 100
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+    assert cells.columns[0] == "slice" and "latency_value" not in cells.columns

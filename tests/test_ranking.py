@@ -9,14 +9,33 @@ from pyspark.sql import functions as F
 from cohortlens.operators import fingerprint, ranking
 
 
-def test_global_rank_beyond_one_task(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 10)
+def test_global_rank_with_ties_of_the_leading_key(spark):
     random.seed(1)
-    values = [(i, random.choice([0.0, 1.5, 1.5, 2.0, random.random()])) for i in range(500)]
-    df = spark.createDataFrame(values, "id int, score double")
-    got = ranking.global_rank(df, -F.col("score"), [F.desc("score"), F.asc("id")])
+    values = [(i, random.choice([0.0, 1.5, 1.5, 1.5, 2.0, random.random()])) for i in range(500)]
+    df = spark.createDataFrame(values, "id int, score double").repartition(7)
+    got = ranking.global_rank(df, [F.desc("score"), F.asc("id")])
     want = {i: r for r, (i, _) in enumerate(sorted(values, key=lambda x: (-x[1], x[0])), start=1)}
     assert {r["id"]: r["rank"] for r in got.collect()} == want
+    assert ranking.global_rank(df.where("id < 0"), [F.asc("id")]).count() == 0
+
+
+def test_percentiles_equal_the_buffered_ones_with_nan_and_infinity(spark):
+    odd = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e-320, -1e300, 1e300]
+    random.seed(5)
+    groups = {
+        "nan": [1.0, 3.0, 5.0, 7.0, 2.0, 9.0, 4.0, 8.0, 6.0] + [float("nan")] * 4,
+        "inf": odd + [random.uniform(-50, 50) for _ in range(60)],
+        "dense": [random.uniform(100, 101) for _ in range(400)],
+        "one": [3.5],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    fractions = {"p50": 0.5, "p84": 0.84, "p95": 0.95}
+    counts = df.groupBy("k", "v").agg(F.count("*").alias("w"))
+    got = {r["k"]: r for r in ranking.exact_percentiles(counts, ["k"], "v", "w", fractions).collect()}
+    want = {r["k"]: r for r in df.groupBy("k").agg(*[F.percentile("v", f).alias(n) for n, f in fractions.items()]).collect()}
+    for k in groups:
+        for n in fractions:
+            assert got[k][n] == pytest.approx(want[k][n], rel=1e-12, nan_ok=True), (k, n)
 
 
 def test_running_total_over_blocks(spark):
@@ -62,15 +81,15 @@ def test_sample_cutoffs(spark, n):
 
 def test_nearest_rank_low(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0)] + [("b", float(i)) for i in range(1, 12)], "k string, v double")
-    got = {r["k"]: r["percentile_value"] for r in ranking.nearest_rank_low(df, ["k"], "v", 0.95).collect()}
-    assert got == {"a": 1.0, "b": 10.0}
+    got = {r["k"]: (r["p95"], r["p0"]) for r in ranking.nearest_rank_low(df, ["k"], "v", {"p95": 0.95, "p0": 0.0}).collect()}
+    assert got == {"a": (1.0, 1.0), "b": (10.0, 1.0)}
 
 
 def test_claims_and_latest(spark):
-    df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "c"), ("k", 1, "a"), ("m", 5, "z")], "key string, at int, id string")
+    df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "c"), ("k", 1, "a"), ("m", 5, "z"), (None, 1, "n"), (None, 2, "o")], "key string, at int, id string")
     got = {r["id"]: r["claim"] for r in ranking.claim_winners(df, "key", "at", "id").collect()}
-    assert got == {"a": "CLAIMED", "b": "DUPLICATE_EXECUTION", "c": "DUPLICATE_EXECUTION", "z": "CLAIMED"}
-    last = {r["key"]: r["id"] for r in ranking.latest_per_key(df, ["key"], ["at", "id"]).collect()}
+    assert got == {"a": "CLAIMED", "b": "DUPLICATE_EXECUTION", "c": "DUPLICATE_EXECUTION", "z": "CLAIMED", "n": "CLAIMED", "o": "CLAIMED"}
+    last = {r["key"]: r["id"] for r in ranking.latest_per_key(df.where("key IS NOT NULL"), ["key"], ["at", "id"]).collect()}
     assert last == {"k": "b", "m": "z"}
 
 
