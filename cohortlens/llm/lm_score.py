@@ -9,7 +9,7 @@ The probability of w after v interpolates the two: weight(v) * c(v w) / c(v) + (
 level of c(v). It is the one that makes the training text most probable when the token at hand is taken out of the counts; a pass over all training
 documents gathers what is needed as a small table. An unseen context has weight 0.
 
-Filters have a fixed size each, which bounds what is broadcast. If the counts outgrow a filter (more than half of its bits would be
+Filters are as large as their counts need, up to a fixed size each, which bounds what is broadcast. If the counts outgrow a filter (more than half of its bits would be
 set), n-grams of the lowest levels stay out of it, as many levels as needed: rare bigrams then back off to their words. The counts
 behind it are complete at any size.
 
@@ -45,9 +45,9 @@ _SHORT = np.uint64(0xFFFF_FFFF_FFFF_0000)
 class Rules:
     base: float = 1.5
     probes: int = 3
-    #: log2 of the bits of the filters: 16 MB and 64 MB.
+    #: log2 of the most bits of the filters: 16 MB and 32 MB. Smaller inputs take as many as they need.
     unigram_bits: int = 27
-    bigram_bits: int = 29
+    bigram_bits: int = 28
     #: Words whose exact counts are broadcast: 16 MB.
     frequent: int = 1 << 20
     #: Tokens counted in memory before they are handed on.
@@ -190,8 +190,10 @@ def build_filter(merged: DataFrame, n: int, bits: int, log2: int, rules: Rules)
     types = dict.fromkeys(range(LEVELS), 0) | {r["q"]: r["types"] for r in levels}
     # An n-gram of level q has q - least + 1 entries; at half of the bits set, ln 2 * bits probes have been put in.
     least = 1
-    while least < LEVELS - 1 and rules.probes * sum(t * (q - least + 1) for q, t in types.items() if q >= least) > 0.69 * (1 << bits):
+    needed = lambda: rules.probes * sum(t * (q - least + 1) for q, t in types.items() if q >= least) / 0.69
+    while least < LEVELS - 1 and needed() > 1 << bits:
         least += 1
+    bits = min(bits, max(log2 + 6, int(needed()).bit_length()))
     inside = bits - log2
 
     def run(batches):
@@ -262,10 +264,10 @@ _RATIOS, _ZERO = 160, 80
 
 
 class Model:
-    """What a worker needs to score a text."""
+    """What a worker needs to score a text; tables holds both filters."""
 
-    def __init__(self, one: Filter, two: Filter, total: int, types: int, weights: np.ndarray):
-        self.one, self.two, self.total, self.types, self.weights = one, two, total, types, weights
+    def __init__(self, tables: tuple[Filter, Filter], total: int, types: int, weights: np.ndarray):
+        (self.one, self.two), self.total, self.types, self.weights = tables, total, types, weights
 
     def levels(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Levels of the token, its context and the bigram; each different n-gram is looked up once."""
@@ -285,12 +287,11 @@ class Model:
         return weight * np.minimum(1, self.two.means[vw] / context) + (1 - weight) * word
 
 
-def fit_weights(docs: DataFrame, model: Model, rules: Rules) -> np.ndarray:
-    """Weight of the bigram estimate for each level of the context."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def fit_weights(docs: DataFrame, tables, total: int, types: int, rules: Rules) -> np.ndarray:
+    """Weight of the bigram estimate for each level of the context. tables: the filters, broadcast."""
 
     def run(batches):
-        model, means = shared.value, level_means(rules.base)
+        model, means = Model(tables.value, total, types, np.zeros(LEVELS)), level_means(rules.base)
         seen = np.zeros(LEVELS * _RATIOS, np.int64)
         for batch in batches:
             tokens, before, _ = tokens_of(texts_of(batch))
@@ -329,8 +330,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     docs = columns_of(docs, id_col, text_col).withColumn("held_out", held_out("doc_id"))
     train = docs.where("NOT held_out")
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # A region of the larger filter has 8 bits at least.
-    log2 = min(max(4, (size // rules.segment_bytes).bit_length()), rules.unigram_bits - 3)
+    log2 = min(max(4, (size // rules.segment_bytes).bit_length()), rules.unigram_bits - 6)
     merged = stage(count_ngrams(train, rules, log2), "ngrams")
     totals = merged.where("n = 1").agg(F.sum("total"), F.sum("types")).first()
     total, types = int(totals[0] or 0), int(totals[1] or 0)
@@ -338,15 +338,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     exact, others = _frequent(merged, rules, {r["q"]: r["t"] for r in by_level})
     one = build_filter(merged, 1, rules.unigram_bits, log2, rules)
     two = build_filter(merged, 2, rules.bigram_bits, log2, rules)
-    model = Model(one, two, total, types, np.zeros(LEVELS))
-    model.weights = fit_weights(train, model, rules)
-    shared = spark.sparkContext.broadcast((model, exact))
+    tables = spark.sparkContext.broadcast((one, two))
+    weights = fit_weights(train, tables, total, types, rules)
+    frequent = spark.sparkContext.broadcast(exact)
     per_token = np.log10(total + types + 1)
 
     def run(batches):
         from pyspark import TaskContext
 
-        model, exact = shared.value
+        model, exact = Model(tables.value, total, types, weights), frequent.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             texts = texts_of(batch)
