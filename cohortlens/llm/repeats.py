@@ -123,7 +123,11 @@ def repeated_anchors(docs: DataFrame, rules: Rules, log2: int) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, rules: Rules, table: np.ndarray) -> DataFrame:
-    """(anchor, context, doc_id, place, first, last) of contexts whose anchor may be repeated; context is a digest."""
+    """(anchor, context, doc_id, place, ahead, more) of contexts whose anchor may be repeated.
+
+    context is a 64-bit digest, which with the anchor's makes 128 bits. The first window starts `ahead` bytes before the
+    anchor's place, and `more` windows follow it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -137,17 +141,16 @@ def occurrences(docs: DataFrame, rules: Rules, table: np.ndarray) -> DataFrame:
                     anchor, place, first, last = anchor[own], place[own], first[own], last[own]
                     # The anchor's place in the context is part of what makes it.
                     digests = [
-                        xxhash.xxh3_128_digest(data[a:b], p)
+                        xxhash.xxh3_64_intdigest(data[a:b], p)
                         for a, b, p in zip(first.tolist(), (last + rules.size).tolist(), (place - first).tolist(), strict=True)
                     ]
-                    out.append((np.full(len(own), doc), anchor.view(np.int64), place, first, last, digests))
+                    out.append((np.full(len(own), doc), anchor.view(np.int64), place, place - first, last - first, np.array(digests, np.uint64).view(np.int64)))
             if out:
-                doc, anchor, place, first, last = (np.concatenate([x[i] for x in out]) for i in range(5))
-                digests = pa.array([d for x in out for d in x[5]], pa.binary())
-                cols = [pa.array(anchor), digests, pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (place, first, last))]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "doc_id", "place", "first", "last"])
+                doc, anchor, place, ahead, more, digests = (np.concatenate([x[i] for x in out]) for i in range(6))
+                cols = [pa.array(x) for x in (anchor, digests, doc)] + [pa.array(x.astype(np.int32)) for x in (place, ahead, more)]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "doc_id", "place", "ahead", "more"])
 
-    return map_rows(docs, run, "anchor long, context binary, doc_id long, place int, first int, last int")
+    return map_rows(docs, run, "anchor long, context long, doc_id long, place int, ahead int, more int")
 
 
 class RunIndex:
@@ -256,19 +259,20 @@ def repeated_windows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log2 = min(max(4, (size // rules.segment_bytes).bit_length()), rules.bits - 3)
     found = stage(occurrences(docs, rules, repeated_anchors(docs, rules, log2)), "occurrences")
-    place = F.struct("doc_id", "place", "first", "last")
+    place = F.struct("doc_id", "place", "ahead", "more")
     kinds = stage(found.groupBy("anchor", "context").agg(F.min(place).alias("at"), F.count("*").alias("n")), "contexts")
 
     # All but the first of equal contexts.
     again = kinds.where("n > 1").select("anchor", "context", F.col("at.doc_id").alias("d"), F.col("at.place").alias("p"))
     later = (F.col("doc_id") > F.col("d")) | ((F.col("doc_id") == F.col("d")) & (F.col("place") > F.col("p")))
-    whole = found.join(again, ["anchor", "context"]).where(later).select("doc_id", F.col("first").alias("from"), F.col("last").alias("to"))
+    first = F.col("place") - F.col("ahead")
+    whole = found.join(again, ["anchor", "context"]).where(later).select("doc_id", first.alias("from"), (first + F.col("more")).alias("to"))
 
     # The first of each, for anchors that have several.
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    several = kinds.select("anchor").groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
     firsts = stage(kinds.join(several, "anchor").select("anchor", "m", "at.*"), "firsts")
     buckets = max(1, firsts.where(F.col("m") <= rules.hot).count() // rules.bucket)
-    by_doc = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "m", "place", "first", "last")).alias("own"))
+    by_doc = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "m", "place", "ahead", "more")).alias("own"))
     by_doc = stage(by_doc, "firsts-by-document")
     texts = maybe(docs, "doc_id", by_doc.select("doc_id")).where("maybe").drop("maybe").join(by_doc, "doc_id")
 
@@ -277,7 +281,8 @@ def repeated_windows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             out = []
             for doc, data, own in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("own").to_pylist(), strict=True):
                 for x in own:
-                    a, b = x["first"], x["last"]
+                    a = x["place"] - x["ahead"]
+                    b = a + x["more"]
                     if b + rules.size > len(data):
                         continue  # another text under the same id
                     if x["m"] <= rules.hot:
@@ -309,8 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = columns_of(docs, id_col, text_col)
     nothing = -(1 << 63)
     keyed = docs.select(F.coalesce("doc_id", F.lit(nothing)).alias("doc_id"), "text")
-    marks = stage(repeated_windows(keyed, rules), "windows")
-    by_doc = stage(marks.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("marks")), "windows-by-document")
+    by_doc = stage(repeated_windows(keyed, rules).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("marks")), "windows-by-document")
     split = maybe(keyed, "doc_id", by_doc.select("doc_id"))
     kept = ", kept binary" if keep_bytes else ""
 
