@@ -114,10 +114,10 @@ def _(t):
 @query(
     "p08_duplicate_rows",
     """SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates, round(100.0 * sum(n - 1) / sum(n), 4) AS duplicate_pct
-FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag)""",
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)""",
 )
 def _(t):
-    return profile.duplicate_rows(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag"))
+    return profile.duplicate_rows(t.lineitem)
 
 
 @query("p09_candidate_keys", f"""{TALL_SQL} SELECT "column", round(100.0 * count(DISTINCT value) / count(value), 4) AS distinct_pct FROM tall GROUP BY 1 HAVING count(value) = count(*) AND 100.0 * count(DISTINCT value) / count(value) >= 99""")

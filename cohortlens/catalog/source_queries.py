@@ -85,24 +85,31 @@ def _(t):
 
 
 def _table_files(t):
-    found = files.file_fingerprints(t.spark, t.folder)
-    return found.where(F.col("name").endswith(".parquet"))
+    """Every page as one file: its id as the name, its html as the content."""
+    return files.content_fingerprints(t.pages.select(F.col("page_id").cast("string").alias("name"), F.encode("html", "UTF-8").alias("content")))
 
 
-@query("s07_file_fingerprints")
+_FILES_SQL = """files AS (SELECT page_id::VARCHAR AS name, CAST(octet_length(encode(html)) AS BIGINT) AS length, sha256(html) AS sha256,
+  CASE WHEN html = '' THEN 'EMPTY' ELSE 'OK' END AS state FROM pages)"""
+_REGISTRY_SQL = """registry AS (SELECT DISTINCT sha256, sha256 AS dataset, CASE WHEN substr(sha256, 1, 1) IN ('c', 'd') THEN '0.9.0' ELSE '1.0.0' END AS version
+  FROM files WHERE substr(sha256, 1, 1) < 'e')"""
+
+
+@query("s07_file_fingerprints", f"WITH {_FILES_SQL} SELECT name, length, sha256, state FROM files")
 def _(t):
     return _table_files(t).select("name", "length", "sha256", "state")
 
 
 def _registry(t):
-    """Every second table is registered, one of those under an older schema version."""
-    order = F.crc32("name") % 4
-    return _table_files(t).where(order < 3).select(
-        "sha256", F.regexp_replace("name", ".parquet$", "").alias("dataset_name"), F.when(order == 2, "0.9.0").otherwise("1.0.0").alias("schema_version")
-    )
+    """Most contents are registered under their hash, some of those with an older schema version."""
+    lead = F.substring("sha256", 1, 1)
+    version = F.when(lead.isin("c", "d"), "0.9.0").otherwise("1.0.0")
+    known = _table_files(t).where(lead < "e").select("sha256", F.col("sha256").alias("dataset_name"), version.alias("schema_version"))
+    return known.distinct()
 
 
-@query("s08_dataset_identity")
+@query("s08_dataset_identity", f"""WITH {_FILES_SQL}, {_REGISTRY_SQL} SELECT name, dataset,
+  CASE WHEN dataset IS NULL THEN 'UNKNOWN' WHEN version <> '1.0.0' THEN 'SCHEMA_MISMATCH' ELSE 'RESOLVED' END AS identity FROM files LEFT JOIN registry USING (sha256)""")
 def _(t):
     return publish.resolve_identity(_table_files(t), _registry(t), "1.0.0").select("name", "dataset", "identity")
 
@@ -136,13 +143,15 @@ def _(t):
 
 @query(
     "s12_atomic_replace",
-    """SELECT o_orderstatus AS source_dataset, count(*) AS rows, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS replaced FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 2 = 0 GROUP BY 1""",
+    """SELECT o_orderstatus AS source_dataset, count(*) AS rows, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS replaced FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_orderkey % 2 = 0) GROUP BY 1""",
 )
 def _(t):
     target = scratch_path(t.spark, "published")
     rows = t.orders.select("o_orderkey", F.lit(0).alias("version"), F.col("o_orderstatus").alias("source_dataset"))
-    publish.publish(rows, target)
-    publish.publish(rows.where("source_dataset = 'F' AND o_orderkey % 2 = 0").withColumn("version", F.lit(1)), target)
+    for name in ("F", "O", "P"):
+        publish.publish(rows.where(F.col("source_dataset") == name), target, name)
+    publish.publish(rows.where("source_dataset = 'F' AND o_orderkey % 2 = 0").withColumn("version", F.lit(1)), target, "F")
+    publish.publish(rows.where("1 = 0"), target, "P")
     stored = t.spark.read.schema("o_orderkey bigint, version int, source_dataset string").parquet(target)
     return stored.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("version").alias("replaced"))
 
@@ -314,13 +323,13 @@ def _(t):
 
 
 # ----------------------------------------------------------------------------------------------------- fingerprints
-def _tree_sql(source: str, line: str, depth: int = 3) -> str:
+def _tree_sql(source: str, line: str, levels=(6, 3, 0)) -> str:
     """SQL text of the digest tree over `source`, ending in one row."""
     text_ = f"""d AS (SELECT sha256({line}) AS d, count(*) AS n FROM {source} GROUP BY 1),
-t{depth} AS (SELECT substr(d, 1, {depth}) AS prefix, sum(n) AS n, sha256(string_agg(d || ':' || n, chr(10) ORDER BY d || ':' || n)) AS digest FROM d GROUP BY 1)"""
-    for i in range(depth - 1, -1, -1):
+t{levels[0]} AS (SELECT substr(d, 1, {levels[0]}) AS prefix, sum(n) AS n, sha256(string_agg(d || ':' || n, chr(10) ORDER BY d || ':' || n)) AS digest FROM d GROUP BY 1)"""
+    for below, i in zip(levels, levels[1:]):
         text_ += f""",
-t{i} AS (SELECT substr(prefix, 1, {i}) AS prefix, sum(n) AS n, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix || ':' || digest)) AS digest FROM t{i + 1} GROUP BY 1)"""
+t{i} AS (SELECT substr(prefix, 1, {i}) AS prefix, sum(n) AS n, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix || ':' || digest)) AS digest FROM t{below} GROUP BY 1)"""
     return text_
 
 

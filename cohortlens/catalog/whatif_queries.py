@@ -38,12 +38,12 @@ def gateways(t):
     """One row per gateway: traffic weight and calibrated failure probability from the baseline, and eligibility."""
     base = payments(t).where(F.col("ts") < F.lit(WINDOWS.current_start))
     counts = base.groupBy("gateway").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "FAILED").alias("f"))
-    every = Window.partitionBy(F.lit(1))
+    counts = counts.crossJoin(counts.agg(F.sum("n").alias("all_n"), F.sum("f").alias("all_f")))  # one row
     inputs = counts.select(
         "gateway",
-        (F.col("n") / F.sum("n").over(every)).alias("weight"),
+        (F.col("n") / F.col("all_n")).alias("weight"),
         (100.0 * F.col("f") / F.col("n")).alias("reference_rate"),
-        (F.sum("f").over(every) / F.sum("n").over(every)).alias("observed_rate"),
+        (F.col("all_f") / F.col("all_n")).alias("observed_rate"),
     )
     eligible = t.supplier.groupBy(_letter(F.col("s_suppkey")).alias("gateway")).agg(F.bool_or(F.col("s_suppkey") % 5 != 1).alias("is_eligible"))
     return materialize(whatif.calibrate_rates(inputs, "gateway").join(eligible, "gateway").withColumn("policy", F.lit("baseline")))
@@ -94,9 +94,10 @@ def target_health(t):
 @query("c01_rate_calibration", f"""WITH {GATEWAY_SQL} SELECT gateway, round(relative, 6) AS relative, round(failure_probability, 6) AS failure_probability,
   abs((SELECT sum(weight * failure_probability) FROM gw) - observed_rate) < 1e-9 AS mean_preserved FROM gw""")
 def _(t):
-    every = Window.partitionBy(F.lit(1))
-    mean = F.sum(F.col("weight") * F.col("failure_probability")).over(every)
-    return gateways(t).select(
+    table = gateways(t)
+    table = table.crossJoin(table.agg(F.sum(F.col("weight") * F.col("failure_probability")).alias("_mean")))  # one row
+    mean = F.col("_mean")
+    return table.select(
         "gateway", F.round("relative", 6).alias("relative"), F.round("failure_probability", 6).alias("failure_probability"),
         (F.abs(mean - F.col("observed_rate")) < 1e-9).alias("mean_preserved"),
     )
@@ -178,7 +179,7 @@ def candidate_table(t):
 
 def swept(t):
     traffic = payments(t).where(metrics.in_window(F.col("ts"), *CURRENT)).groupBy("gateway").agg(F.count(F.lit(1)).alias("window_rows"))
-    traffic = traffic.withColumn("window_total", F.sum("window_rows").over(Window.partitionBy(F.lit(1))))
+    traffic = traffic.crossJoin(traffic.agg(F.sum("window_rows").alias("window_total")))  # one row
     return whatif.sweep(cohort(t), candidate_table(t), traffic)
 
 
@@ -444,7 +445,8 @@ routing AS (SELECT gateway, share, is_eligible, target_health, failure_probabili
 
 def routing(t):
     counts = payments(t).where(metrics.in_window(F.col("ts"), *CURRENT)).groupBy("gateway").agg(F.count(F.lit(1)).alias("n"))
-    shares = counts.select("gateway", rate(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share"))
+    total = counts.agg(F.sum("n").alias("all_n"))  # one row
+    shares = counts.crossJoin(total).select("gateway", rate(F.col("n"), F.col("all_n")).alias("share"))
     viable = (F.col("gateway") != "gateway_C") & F.col("is_eligible") & (F.col("target_health") == "HEALTHY")
     return gateways(t).join(target_health(t), "gateway").join(shares, "gateway", "left").withColumn("viable", viable)
 

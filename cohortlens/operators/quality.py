@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text, vocabulary as v
 from ..functions.stats import binomial_error, rate
+from ..session import stage
 
 
 # ---------------------------------------------------------------------------------------------- normalisation
@@ -153,8 +154,11 @@ def quarantine_duplicates(judged: DataFrame, id_: str = "transaction_id") -> Dat
     """
     valid = F.col("error_category").isNull()
     repeated = judged.where(valid).groupBy(id_).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    joined = judged.join(repeated, id_, "left")
-    copied = valid & F.col("_copies").isNotNull()
+    # Only passing rows with an id can be copies; all others, however many have no id, stay where they are.
+    asked = valid & F.col(id_).isNotNull()
+    joined = judged.where(asked).join(stage(repeated, "repeated-ids"), id_, "left").select(*judged.columns, "_copies")
+    joined = joined.unionByName(judged.where(~asked).withColumn("_copies", F.lit(None).cast("long")))
+    copied = F.col("_copies").isNotNull()
     text_ = F.format_string("transaction_id %s appears %d times", F.col(id_), F.col("_copies"))
     return joined.select(
         *[c for c in judged.columns if c not in ("error_category", "validation_error", "offending_fields")],
@@ -204,20 +208,24 @@ def header_drift(headers: DataFrame) -> DataFrame:
     return judged.withColumn("fatal", (F.size("missing_required") > 0) | (F.size("duplicated") > 0))
 
 
-def type_drift(raw: DataFrame, checks: dict[str, Column], sample: int = 1000, threshold: float = 0.5) -> DataFrame:
-    """Share of a bounded sample that no longer parses, per critical column, with up to five examples."""
-    head = raw.limit(sample)
+def type_drift(raw: DataFrame, checks: dict[str, Column], threshold: float = 0.5) -> DataFrame:
+    """Share of all rows that no longer parse, per critical column, with the first five such values as examples.
+
+    Values are counted before anything else, so neither a common value nor a column full of different ones is gathered.
+    """
     parts = F.array(
         *[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("value"), parsed.isNull().alias("bad")) for n, parsed in checks.items()]
     )
-    tall = head.select(F.explode(parts).alias("p")).select("p.*")
-    share = F.avg(F.col("bad").cast("double"))
-    return tall.groupBy("column").agg(
-        F.count(F.lit(1)).alias("sampled"),
-        F.round(share, 6).alias("bad_share"),
-        (share > threshold).alias("changed"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("value")))), 1, 5).alias("examples"),
-    )
+    tall = raw.select(F.explode(parts).alias("p")).select("p.*")
+    values = stage(tall.groupBy("column", "bad", F.when(F.col("bad"), F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n")), "drift")
+    rows = F.sum("n")
+    share = F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)) / rows
+    shares = values.groupBy("column").agg(rows.alias("sampled"), F.round(share, 6).alias("bad_share"), (share > threshold).alias("changed"))
+    first = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    few = values.where(F.col("bad") & F.col("value").isNotNull()).withColumn("_at", first).where("_at <= 5")
+    few = few.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+    none = F.array().cast("array<string>")
+    return shares.join(few, "column", "left").withColumn("examples", F.coalesce("examples", none))
 
 
 # ----------------------------------------------------------------------------------------------- verification

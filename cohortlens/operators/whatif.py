@@ -46,14 +46,15 @@ def added_probability(p: Column, effective: Column) -> Column:
 def calibrate_rates(groups: DataFrame, group: str, damping: float = SPREAD_DAMPING) -> DataFrame:
     """Damped relative failure rates per group, rescaled so their weighted mean is the observed rate.
 
-    `groups` has one row per group with `weight`, `reference_rate` and the dataset's `observed_rate`. Means are
-    windows over one row per group, so no single-row frame has to be crossed back in.
+    `groups` has one row per group with `weight`, `reference_rate` and the dataset's `observed_rate`. Both sums come from one
+    aggregation without a key: the mean of the relative rates follows from them, since they are linear in the reference rates.
     """
-    everyone = Window.partitionBy(F.lit(1))
-    mean = F.sum(F.col("reference_rate") * F.col("weight")).over(everyone) / F.sum("weight").over(everyone)
-    relative = groups.withColumn("relative", F.lit(1.0) + F.lit(damping) * (F.col("reference_rate") / mean - F.lit(1.0)))
-    scale = F.col("observed_rate") * F.sum("weight").over(everyone) / F.sum(F.col("relative") * F.col("weight")).over(everyone)
-    return relative.withColumn("failure_probability", F.col("relative") * scale)
+    sums = groups.agg(F.sum("weight").alias("_w"), F.sum(F.col("reference_rate") * F.col("weight")).alias("_rw"))
+    mean = F.col("_rw") / F.col("_w")
+    relative = F.lit(1.0) + F.lit(damping) * (F.col("reference_rate") / mean - F.lit(1.0))
+    # Weighted, the bracket sums to zero, so the relative rates have the mean 1.
+    placed = groups.crossJoin(sums).withColumn("relative", relative)  # one row
+    return placed.withColumn("failure_probability", F.col("relative") * F.col("observed_rate")).drop("_w", "_rw")
 
 
 def split_weights(failed: Column, options) -> list[tuple[str, Column]]:
@@ -144,17 +145,17 @@ def health_over_span(targets: DataFrame, health: DataFrame, key: str, start: str
 
 
 def health_at(points: DataFrame, health: DataFrame, key: str, at: str) -> DataFrame:
-    """Health state at an instant, the key's last window where none covers it."""
+    """Health state at an instant, the key's last window where none covers it, `none` for a key without any."""
     covers = (F.col("valid_from") <= F.col(at)) & (F.col("valid_to") >= F.col(at))
     order = F.struct("valid_from", "valid_to")
     return (
-        points.join(health, key)
+        points.join(health, key, "left")
         .groupBy(key, at)
         .agg(
             F.min_by(F.when(covers, F.col("health_state")), F.when(covers, order)).alias("_covering"),
             F.max_by("health_state", order).alias("_last"),
         )
-        .select(key, at, F.coalesce("_covering", "_last").alias("health_state"))
+        .select(key, at, F.coalesce("_covering", "_last", F.lit("none")).alias("health_state"))
     )
 
 

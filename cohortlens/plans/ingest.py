@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import quality
-from ..session import scratch_path, spread, stage
+from ..session import scratch_path, stage
 from ..sources import publish
 
 
 def judge_and_stage(raw: DataFrame, dataset: str) -> DataFrame:
     """Normalise and judge every raw row once, and write the result; later steps prune columns of that copy."""
-    return stage(quality.judge_rows(quality.normalize_rows(spread(raw), dataset)), "judged")
+    return stage(quality.judge_rows(quality.normalize_rows(raw, dataset)), "judged")
 
 
 @dataclass(frozen=True)
@@ -30,12 +30,13 @@ def ingest(raw: DataFrame, dataset: str, target: str, quarantine_path: str, run_
     """
     judged = quality.quarantine_duplicates(judge_and_stage(raw, dataset))
     valid, rejected = quality.split_rows(judged)
-    rejected.withColumn("ingestion_run_id", F.lit(run_id)).write.mode("append").parquet(quarantine_path)
+    # One folder per run: a retry replaces what it wrote before.
+    rejected.write.mode("overwrite").parquet(f"{quarantine_path.rstrip('/')}/ingestion_run_id={run_id}")
     staging = scratch_path(raw.sparkSession, "staging")
     record = publish.run_record(judged, F.lit(run_id))
     counters = record.first()
     verdict = publish.stage_and_verify(valid, staging, counters["rows_valid"], "transaction_id").first()
     passed = bool(verdict["passed"]) and bool(counters["accounted"])
     if passed:
-        publish.publish(raw.sparkSession.read.parquet(staging), target)
+        publish.publish(raw.sparkSession.read.parquet(staging), target, dataset)
     return Ingestion(passed, raw.sparkSession.read.parquet(quarantine_path), record)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,15 +41,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a CPU-bound projection over an input with too few splits; a no-op on a large input.
-
-    Without this, one large row group is one task. On a cluster reading many files the check fails and nothing moves.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one only on a local master, where nothing else is possible."""
     context = spark.sparkContext
@@ -59,7 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-"))
+        own = tempfile.mkdtemp(prefix="cohortlens-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ranking import latest_per_key
@@ -57,14 +59,13 @@ def run_record(judged: DataFrame, run_id: Column) -> DataFrame:
     return counted.select(run_id.alias("run_id"), "*", (F.col("rows_valid") + F.col("rows_rejected") == F.col("rows_read")).alias("accounted"))
 
 
-def publish(staging: DataFrame, target: str, dataset_column: str = "source_dataset") -> None:
-    """Replace exactly the datasets present in staging; every other partition of the target stays as it is."""
-    (
-        staging.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(dataset_column)
-        .parquet(target)
-    )
+def publish(staging: DataFrame, target: str, dataset: str, dataset_column: str = "source_dataset") -> None:
+    """Replace one dataset's partition by the rows of staging, which are all of that dataset; the others stay as they are.
+
+    The partition is written by its own path, so a dataset without rows ends up empty instead of keeping its old rows.
+    """
+    name = quote(dataset, safe=" ._-")
+    staging.drop(dataset_column).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{dataset_column}={name}")
 
 
 def stage_and_verify(valid: DataFrame, staging_path: str, expected_rows: int, key: str) -> DataFrame:

@@ -75,10 +75,12 @@ def test_header_drift(spark):
     assert got["twice"]["duplicated"] == ["amount (INR)"] and got["twice"]["fatal"]
 
 
-def test_type_drift_needs_half_the_sample(spark):
-    rows = raw(spark, [{"amount (INR)": "abc" if i % 3 else "1"} for i in range(30)])
+def test_type_drift_needs_half_of_all_rows(spark):
+    rows = raw(spark, [{"amount (INR)": f"abc{i % 7}" if i % 3 else "1"} for i in range(42)] + [{"amount (INR)": None}])
     got = quality.type_drift(rows, {"amount (INR)": text.money(F.col("`amount (INR)`"))}).first()
-    assert got["changed"] and got["examples"] == ["abc"]
+    assert got["changed"] and got["examples"] == [f"abc{i}" for i in range(5)] and got["sampled"] == 43
+    late = raw(spark, [{}] * 1500 + [{"amount (INR)": "abc"}] * 1600)
+    assert quality.type_drift(late, {"amount (INR)": text.money(F.col("`amount (INR)`"))}).first()["changed"]
 
 
 def test_ingest_publishes_only_its_partition(spark):
@@ -90,6 +92,27 @@ def test_ingest_publishes_only_its_partition(spark):
     counts = {r["source_dataset"]: r["count"] for r in spark.read.parquet(target).groupBy("source_dataset").count().collect()}
     assert first.published and counts == {"one": 5, "two": 4}
     assert spark.read.parquet(bad).count() == 1
+    ingest.ingest(raw(spark, [{}, {}, {"sender_bank": "Canara"}]), "one", target, bad, 1)  # a retry
+    assert spark.read.parquet(bad).count() == 1
+    ingest.ingest(raw(spark, [{"sender_bank": "Canara"}]), "two", target, bad, 4)
+    assert {r["source_dataset"] for r in spark.read.parquet(target).select("source_dataset").distinct().collect()} == {"one"}
+
+
+def test_files_are_read_by_their_own_headers(spark):
+    folder = tempfile.mkdtemp(prefix="csv-")
+    for name, lines in (("a.csv", " x ,y\n1,2\n3,4\n"), ("b.csv", "y,x,z\n20,10,30\n"), ("c.csv", "x,y\n")):
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as out:
+            out.write(lines)
+    rows = files.read_text_csv(spark, folder).orderBy("source_row_index").collect()
+    assert [(r["x"], r["y"], r["z"], r["source_row_index"]) for r in rows] == [("1", "2", None, 0), ("3", "4", None, 1), ("10", "20", "30", 2)]
+
+
+def test_stacked_headers_go_by_position(spark):
+    path = tempfile.mkdtemp(prefix="stack-") + "/f.csv"
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("title,,\nBank,UPI,\nname,count,value\nSBI,1,2\nname,count,value\ntitle,,\n")
+    rows = files.read_stacked_header_csv(spark, path)
+    assert rows.columns == ["Bank_name", "UPI_count", "UPI_value"] and rows.count() == 3
 
 
 def test_staging_mismatch_is_seen(spark):
