@@ -122,20 +122,16 @@ def _(t):
     )
 
 
-OVERLAY_SQL = f"""{FACT_SQL},
-overlay AS (
-  SELECT txn_id, status AS observed_status, gateway = 'gateway_C' AS in_affected_cohort,
-    gateway = 'gateway_C' AND status <> 'FAILED' AND {lane_sql("sha256('outcome-draw-1|' || txn_id || '|incident-1')", 0)} < (0.66::DOUBLE - 0.33::DOUBLE) / (1.0::DOUBLE - 0.33::DOUBLE) AS outcome_changed
-  FROM fact WHERE {NOW_SQL})"""
-
 
 @query(
     "c04_stress_overlay",
-    f"""WITH {OVERLAY_SQL} SELECT in_affected_cohort, observed_status, CASE WHEN outcome_changed THEN 'FAILED' ELSE observed_status END AS status, outcome_changed, count(*) AS rows FROM overlay GROUP BY ALL""",
+    f"""WITH {FACT_SQL} SELECT gateway = 'gateway_C' AS in_affected_cohort, status AS observed_status, count(*) AS rows,
+  sum(CASE WHEN status = 'FAILED' THEN 1.0::DOUBLE WHEN gateway = 'gateway_C' THEN (0.66::DOUBLE - 0.33::DOUBLE) / (1.0::DOUBLE - 0.33::DOUBLE) ELSE 0.0 END) AS expected_failures
+FROM fact WHERE {NOW_SQL} GROUP BY 1, 2""",
 )
 def _(t):
-    overlay = whatif.stress_overlay(payments(t), FACT, {"gateway": "gateway_C"}, F.lit(P_BASE), MULTIPLIER, "incident-1", *CURRENT)
-    return overlay.groupBy("in_affected_cohort", "observed_status", "status", "outcome_changed").agg(F.count(F.lit(1)).alias("rows"))
+    """The stress in expectation; nothing is drawn."""
+    return whatif.expected_failures(payments(t), FACT, {"gateway": "gateway_C"}, F.lit(P_BASE), MULTIPLIER, *CURRENT)
 
 
 # ----------------------------------------------------------------------------------------------------- incidents
@@ -213,9 +209,9 @@ paired AS (
     c.action_type <> 'NO_ACTION' AND r.pos <= floor(r.population * c.pct / 100.0) AS moved,
     1.0::DOUBLE - r.p_current AS p_now,
     CASE WHEN c.action_type <> 'NO_ACTION' AND r.pos <= floor(r.population * c.pct / 100.0) THEN
-      CASE WHEN r.observed_status = 'FAILED' OR (r.elsewhere AND {lane_sql("sha256('outcome-draw-1|' || r.txn_id || '|' || c.incident_id || '|' || c.candidate_key)", 0)}
-        < (least(1.0::DOUBLE, c.p_target * 2.0::DOUBLE) - c.p_target) / (1.0::DOUBLE - c.p_target)) THEN 'FAILED' ELSE 'SUCCESS' END
-      ELSE r.current_status END AS projected_status,
+      CASE WHEN r.observed_status = 'FAILED' THEN 1.0::DOUBLE
+        WHEN r.elsewhere THEN (least(1.0::DOUBLE, c.p_target * 2.0::DOUBLE) - c.p_target) / (1.0::DOUBLE - c.p_target) ELSE 0.0::DOUBLE END
+      ELSE CASE WHEN r.current_status = 'FAILED' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS p_fails,
     1.0::DOUBLE - CASE WHEN r.elsewhere THEN least(1.0::DOUBLE, c.p_target * 2.0::DOUBLE) ELSE c.p_target END AS p_then
   FROM candidate c JOIN cohort r USING (incident_id)
 ),
@@ -223,9 +219,9 @@ traffic AS (SELECT gateway, count(*) AS rows, sum(count(*)) OVER ()::DOUBLE AS t
 impact AS MATERIALIZED (
   SELECT c.incident_id, c.candidate_key, any_value(c.action_type) AS action_type, any_value(c.source_gateway) AS source_gateway, any_value(c.target_gateway) AS target_gateway,
     any_value(c.pct) AS pct, count(*) AS population, count(*) FILTER (p.moved) AS rerouted,
-    count(*) FILTER (p.current_status = 'FAILED') AS baseline_failures, count(*) FILTER (p.projected_status = 'FAILED') AS projected_failures,
+    count(*) FILTER (p.current_status = 'FAILED') AS baseline_failures, sum(p.p_fails) AS projected_failures,
     CAST(sum(p.amount) AS DOUBLE) AS value_total, CAST(sum(p.amount) FILTER (p.current_status = 'FAILED') AS DOUBLE) AS baseline_at_risk,
-    CAST(sum(p.amount) FILTER (p.projected_status = 'FAILED') AS DOUBLE) AS projected_at_risk,
+    sum(p.amount::DOUBLE * p.p_fails) AS projected_at_risk,
     round(coalesce(sum(p.amount::DOUBLE * (p.p_then - p.p_now)) FILTER (p.moved), 0.0), 2) AS expected_retained
   FROM candidate c JOIN paired p USING (incident_id, candidate_key) GROUP BY 1, 2
 ),
@@ -279,16 +275,17 @@ def _(t):
 
 @query(
     "c05_reroute_whatif",
-    f"""WITH {SWEEP_SQL} SELECT incident_id, candidate_key, count(*) FILTER (moved) AS moved, count(*) FILTER (moved AND current_status = 'FAILED' AND projected_status = 'SUCCESS') AS rescued,
-  count(*) FILTER (moved AND current_status = 'SUCCESS' AND projected_status = 'FAILED') AS lost FROM paired WHERE candidate_key <> 'NO_ACTION' GROUP BY 1, 2""",
+    f"""WITH {SWEEP_SQL} SELECT incident_id, candidate_key, count(*) FILTER (moved) AS moved, round(coalesce(sum(1.0 - p_fails) FILTER (moved AND current_status = 'FAILED'), 0.0), 6) AS rescued,
+  round(coalesce(sum(p_fails) FILTER (moved AND current_status = 'SUCCESS'), 0.0), 6) AS lost FROM paired WHERE candidate_key <> 'NO_ACTION' GROUP BY 1, 2""",
 )
 def _(t):
-    moved = whatif.moved_rows(cohort(t), candidate_table(t))
-    now, then = F.col("current_status"), F.col("projected_status")
+    """Failures a move avoids and causes, in expectation; nothing is drawn."""
+    moved = whatif.moved_groups(cohort(t), candidate_table(t))
+    failed, n, p = F.col("current_status") == "FAILED", F.col("n"), F.col("p_fails")
     return moved.groupBy("incident_id", "candidate_key").agg(
-        F.count(F.lit(1)).alias("moved"),
-        F.count_if((now == "FAILED") & (then == "SUCCESS")).alias("rescued"),
-        F.count_if((now == "SUCCESS") & (then == "FAILED")).alias("lost"),
+        F.sum("n").alias("moved"),
+        F.round(F.coalesce(F.sum(F.when(failed, n * (1 - p))), F.lit(0.0)), 6).alias("rescued"),
+        F.round(F.coalesce(F.sum(F.when(~failed, n * p)), F.lit(0.0)), 6).alias("lost"),
     )
 
 
@@ -352,12 +349,12 @@ def _(t):
 
 @query(
     "c10_candidate_sweep",
-    f"""WITH {SWEEP_SQL} SELECT incident_id, candidate_key, population, rerouted, baseline_failures, projected_failures, round(success_delta, 6) AS success_delta,
+    f"""WITH {SWEEP_SQL} SELECT incident_id, candidate_key, population, rerouted, baseline_failures, round(projected_failures, 6) AS projected_failures, round(success_delta, 6) AS success_delta,
   value_total, baseline_at_risk, projected_at_risk, expected_retained, round(concentration_after, 6) AS concentration_after, invalid_reason FROM option""",
 )
 def _(t):
     return judged(t).select(
-        "incident_id", "candidate_key", "population", "rerouted", "baseline_failures", "projected_failures", F.round("success_delta", 6).alias("success_delta"),
+        "incident_id", "candidate_key", "population", "rerouted", "baseline_failures", F.round("projected_failures", 6).alias("projected_failures"), F.round("success_delta", 6).alias("success_delta"),
         *[F.col(c).cast("double").alias(c) for c in ("value_total", "baseline_at_risk", "projected_at_risk")], "expected_retained",
         F.round("concentration_after", 6).alias("concentration_after"), "invalid_reason",
     )
@@ -383,7 +380,7 @@ def _(t):
 
 CHOICE_SQL = f"""{SWEEP_SQL},
 opt_rank AS (
-  SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY expected_retained DESC, success_delta DESC, pct, candidate_key) AS option_rank,
+  SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY expected_retained DESC, round(success_delta, 9) DESC, pct, candidate_key) AS option_rank,
     max(expected_retained) OVER (PARTITION BY incident_id) AS best FROM option WHERE action_type <> 'NO_ACTION' AND invalid_reason IS NULL
 ),
 pick AS (SELECT incident_id, candidate_key, expected_retained, best FROM opt_rank WHERE expected_retained >= best * 0.95

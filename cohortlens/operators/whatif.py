@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import digest, lane_uniform, weighted_choice
 from ..functions.stats import clamp, rate
+from ..session import stage
 from ..spec import FactSpec
 from .metrics import in_window, member_of
 from .ranking import nearest_rank_low, sample_cutoffs
@@ -101,6 +102,17 @@ def stress_overlay(
     )
 
 
+def expected_failures(fact: DataFrame, spec: FactSpec, definition: dict[str, str], p_base: Column, multiplier: float, start, end) -> DataFrame:
+    """Rows of one window slice by membership and outcome, and how many of them fail in expectation under the stress."""
+    member = member_of(definition)
+    p_added = added_probability(p_base, effective_probability(p_base, F.lit(float(multiplier))))
+    p_fails = F.when(F.col(spec.outcome) == F.lit(spec.failed_value), 1.0).when(member, p_added).otherwise(0.0)
+    rows = fact.where(in_window(F.col(spec.time), start, end))
+    return rows.groupBy(member.alias("in_affected_cohort"), F.col(spec.outcome).alias("observed_status")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(p_fails).alias("expected_failures")
+    )
+
+
 def stress(
     fact: DataFrame, spec: FactSpec, definition: dict[str, str], p_base: Column, multiplier: float, key: str, start, end
 ) -> DataFrame:
@@ -212,11 +224,13 @@ def selection_digest(id_: Column, incident: Column) -> Column:
     return digest(SELECTION_DOMAIN, id_, incident)
 
 
-def moved_rows(cohort: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Rows each candidate moves. Samples nest, so only rows inside the largest one are expanded to candidates.
+def moved_groups(cohort: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What each candidate moves, as groups of equal rows: n, amount, p_fails (expected failure of a moved row), gain.
 
-    `cohort` has incident_id, txn_id, amount, observed_status, current_status, gateway, p_current, degraded_elsewhere;
-    `candidates` also carries p_target and multiplier.
+    `cohort` has incident_id, txn_id, amount, observed_status, current_status, p_current, degraded_elsewhere; `candidates` also
+    carries p_target and multiplier. Samples nest, so a row has the smallest percentage that includes it as its tier. All figures
+    depend on tier, outcome and probability only, so rows are aggregated to those before candidates are joined: nothing is
+    expanded by candidate but a few dozen groups. Outcomes are expected values; nothing is drawn.
     """
     keyed = cohort.withColumn("_digest", selection_digest(F.col("txn_id"), F.col("incident_id").cast("string")))
     cuts = sample_cutoffs(keyed, ["incident_id"], "_digest", "txn_id", TRAFFIC_PERCENTAGES)
@@ -227,32 +241,26 @@ def moved_rows(cohort: DataFrame, candidates: DataFrame) -> DataFrame:
     for p in TRAFFIC_PERCENTAGES:
         inside = F.col("_digest") <= F.col(f"_cut{int(p)}")
         tier = F.when(inside, F.lit(p)) if tier is None else tier.when(inside, F.lit(p))
-    largest = f"_cut{int(TRAFFIC_PERCENTAGES[-1])}"
-    sampled = keyed.join(wide, "incident_id").where(F.col("_digest") <= F.col(largest)).withColumn("_tier", tier)
+    # One row per incident: written, so that its size is known and the cohort isn't shuffled on so few keys.
+    tiers = keyed.join(stage(wide, "cut-offs"), "incident_id").withColumn("_tier", tier).where(F.col("_tier").isNotNull())
+    groups = tiers.groupBy("incident_id", "_tier", "observed_status", "current_status", "p_current", "degraded_elsewhere").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")
+    )
     moves = candidates.where(F.col("action_type") != "NO_ACTION").select(
-        "incident_id", "candidate_key", "target_gateway", "traffic_percentage", "p_target", "multiplier"
+        "incident_id", "candidate_key", "traffic_percentage", "p_target", "multiplier"
     )
-    paired = sampled.join(moves, "incident_id").where(F.col("traffic_percentage") >= F.col("_tier"))
+    paired = groups.join(moves, "incident_id").where(F.col("traffic_percentage") >= F.col("_tier"))
     # Membership is asked again with the new gateway: a segment incident follows the row, a gateway one does not.
-    p_target = F.when(
-        F.col("degraded_elsewhere"), effective_probability(F.col("p_target"), F.col("multiplier"))
-    ).otherwise(F.col("p_target"))
-    redraw = lane_uniform(digest(OUTCOME_DOMAIN, F.col("txn_id"), F.col("incident_id").cast("string"), F.col("candidate_key")), 0)
-    fails = (F.col("observed_status") == "FAILED") | (redraw < added_probability(F.col("p_target"), p_target))
+    effective = effective_probability(F.col("p_target"), F.col("multiplier"))
+    p_target = F.when(F.col("degraded_elsewhere"), effective).otherwise(F.col("p_target"))
+    fails = F.when(F.col("observed_status") == "FAILED", 1.0).otherwise(added_probability(F.col("p_target"), p_target))
     return paired.select(
-        "incident_id",
-        "candidate_key",
-        "txn_id",
-        "amount",
-        "current_status",
-        F.when(fails, "FAILED").otherwise("SUCCESS").alias("projected_status"),
-        (F.lit(1.0) - F.col("p_current")).alias("p_success_current"),
-        (F.lit(1.0) - p_target).alias("p_success_projected"),
+        "incident_id", "candidate_key", "current_status", "n", "amount", fails.alias("p_fails"), (F.col("p_current") - p_target).alias("gain")
     )
 
 
 def sweep(cohort: DataFrame, candidates: DataFrame, window_traffic: DataFrame) -> DataFrame:
-    """Every candidate of every incident in one job: shared totals once, plus what the moved rows change.
+    """Every candidate of every incident in one job: shared totals once, plus what the moved rows change in expectation.
 
     `window_traffic` has one row per gateway (all in-window traffic, `window_rows` and the same `window_total`).
     """
@@ -263,31 +271,23 @@ def sweep(cohort: DataFrame, candidates: DataFrame, window_traffic: DataFrame) -
         F.sum("amount").alias("value_total"),
         F.coalesce(F.sum(F.when(failed, F.col("amount"))), F.lit(0).cast("decimal(22,2)")).alias("baseline_at_risk"),
     )
-    flip = (F.col("projected_status") == "FAILED").cast("int") - (F.col("current_status") == "FAILED").cast("int")
-    gain = F.col("p_success_projected") - F.col("p_success_current")
+    flip = F.col("p_fails") - (F.col("current_status") == "FAILED").cast("double")
+    amount = F.col("amount").cast("double")
     change = (
-        moved_rows(cohort, candidates)
-        .groupBy("incident_id", "candidate_key", gain.alias("_gain"))
-        .agg(
-            F.count(F.lit(1)).alias("_moved"),
-            F.sum(flip).alias("_flips"),
-            F.sum(F.col("amount") * flip).alias("_risk"),
-            F.sum("amount").alias("_amount"),
-        )
+        moved_groups(cohort, candidates)
         .groupBy("incident_id", "candidate_key")
         .agg(
-            F.sum("_moved").alias("rerouted"),
-            F.sum("_flips").alias("_flips"),
-            F.sum("_risk").alias("_risk"),
-            F.sum(F.col("_amount").cast("double") * F.col("_gain")).alias("_retained"),
+            F.sum("n").alias("rerouted"),
+            F.sum(F.col("n") * flip).alias("_flips"),
+            F.sum(amount * flip).alias("_risk"),
+            F.sum(amount * F.col("gain")).alias("_retained"),
         )
     )
     zero = F.lit(0)
     joined = candidates.join(base, "incident_id", "left").join(change, ["incident_id", "candidate_key"], "left")
     target = window_traffic.select(F.col("gateway").alias("target_gateway"), F.col("window_rows").alias("_target_rows"))
     joined = joined.join(target, "target_gateway", "left")
-    largest = window_traffic.groupBy("window_total").agg(F.max("window_rows").alias("_largest")).withColumn("policy", F.lit("baseline"))
-    joined = joined.join(largest, "policy", "left")
+    joined = joined.crossJoin(window_traffic.agg(F.max("window_rows").alias("_largest"), F.max("window_total").alias("window_total")))  # one row
     rerouted = F.coalesce(F.col("rerouted"), zero)
     failures = F.col("baseline_failures") + F.coalesce(F.col("_flips"), zero)
     idle = F.col("action_type") == "NO_ACTION"
@@ -383,7 +383,7 @@ def rank_options(options: DataFrame) -> DataFrame:
 
     Windows run per incident over its candidates, a set bounded by eligible targets x percentages.
     """
-    order = [F.col("expected_retained").desc(), F.col("success_delta").desc(), F.col("traffic_percentage"), F.col("candidate_key")]
+    order = [F.col("expected_retained").desc(), F.round("success_delta", 9).desc(), F.col("traffic_percentage"), F.col("candidate_key")]
     usable = options.where((F.col("action_type") != "NO_ACTION") & F.col("invalid_reason").isNull())
     return usable.withColumn("option_rank", F.row_number().over(Window.partitionBy("incident_id").orderBy(*order)))
 

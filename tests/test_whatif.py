@@ -68,7 +68,7 @@ def test_sweep_against_brute_force(spark):
         moved = order[: int(len(rows) * percent / 100)]
         row = got[f"REROUTE_TRAFFIC:gateway_A:{percent}"]
         fixed = sum(r["current_status"] == "FAILED" and r["observed_status"] == "SUCCESS" for r in moved)
-        assert row["rerouted"] == len(moved) and row["projected_failures"] == now - fixed
+        assert row["rerouted"] == len(moved) and row["projected_failures"] == pytest.approx(now - fixed)
         assert row["expected_retained"] == pytest.approx(sum(float(r["amount"]) for r in moved) * 0.25, abs=0.01)
         assert row["concentration_after"] == pytest.approx((2000 + len(moved)) / 5000)
     idle = got["NO_ACTION"]
@@ -81,8 +81,13 @@ def test_a_segment_incident_follows_the_moved_rows(spark):
     row = {r["candidate_key"]: r for r in whatif.sweep(cohort, options, traffic).collect()}["REROUTE_TRAFFIC:gateway_A:30"]
     assert row["expected_retained"] == pytest.approx(float(row["expected_retained"]))
     p_then = 1 - 0.05 * 4
-    moved = whatif.moved_rows(cohort, options).where("candidate_key = 'REROUTE_TRAFFIC:gateway_A:30'").collect()
-    assert {round(r["p_success_projected"], 6) for r in moved} == {round(p_then, 6)} and any(r["projected_status"] == "FAILED" and r["current_status"] == "SUCCESS" for r in moved)
+    moved = whatif.moved_groups(cohort, options).where("candidate_key = 'REROUTE_TRAFFIC:gateway_A:30'").collect()
+    assert sum(r["n"] for r in moved) == 300 and {round(r["gain"], 6) for r in moved} == {round(0.3 - (1 - p_then), 6)}
+    added = (0.05 * 4 - 0.05) / (1 - 0.05)
+    lost = sum(r["n"] * r["p_fails"] for r in moved if r["current_status"] == "SUCCESS")
+    assert lost == pytest.approx(added * sum(r["n"] for r in moved if r["current_status"] == "SUCCESS"))
+    flips = sum(r["n"] * (r["p_fails"] - (r["current_status"] == "FAILED")) for r in moved)
+    assert row["projected_failures"] == pytest.approx(row["baseline_failures"] + flips)
 
 
 def choice(spark, rows):
@@ -113,5 +118,5 @@ def test_health_intervals(spark):
     spans = spark.createDataFrame([(x, 10, 60) for x in "abcdef"], "g string, s int, e int")
     got = {r["g"]: r["target_health"] for r in whatif.health_over_span(spans, health, "g", "s", "e").collect()}
     assert got == {"a": "HEALTHY", "b": "NOT_HEALTHY", "c": "NO_HEALTH_RECORD", "d": "NOT_HEALTHY", "e": "HEALTHY", "f": "NO_HEALTH_RECORD"}
-    at = whatif.health_at(spark.createDataFrame([("b", 45), ("c", 20), ("c", 50)], "g string, t int"), health, "g", "t")
-    assert {(r["g"], r["t"]): r["health_state"] for r in at.collect()} == {("b", 45): "HEALTHY", ("c", 20): "HEALTHY", ("c", 50): "HEALTHY"}
+    at = whatif.health_at(spark.createDataFrame([("b", 45), ("c", 20), ("c", 50), ("z", 1)], "g string, t int"), health, "g", "t")
+    assert {(r["g"], r["t"]): r["health_state"] for r in at.collect()} == {("b", 45): "HEALTHY", ("c", 20): "HEALTHY", ("c", 50): "HEALTHY", ("z", 1): "none"}
