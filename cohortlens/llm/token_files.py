@@ -23,6 +23,7 @@ spaces and newlines are independent, and a worker keeps the ids of words in a ta
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import struct
@@ -64,7 +65,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.by_word = _independent_words(json.load(f))
+            spec = json.load(f)
+        self.by_word = _independent_words(spec)
+        self.by_letters = self.by_word and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\")
+        self.lower = "'Lowercase'" in str(spec.get("normalizer")) and all(x["content"].startswith("<|") for x in spec.get("added_tokens", []))
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
@@ -73,19 +77,46 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words: many are encoded as one text, and tokens go to words by their offsets."""
+        out = []
+        for start in range(0, len(words), 512):
+            some = words[start : start + 512]
+            encoded = self.model.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            begins = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+            at = np.fromiter((x[0] for x in encoded.offsets), np.int64, len(ids) // 4)
+            ends = np.append(np.searchsorted(at, begins[1:]), len(at)) * 4
+            first = 0
+            for end in ends.tolist():
+                out.append(ids[first:end])
+                first = end
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian 32-bit integers."""
         if not self.by_word:
-            return self._ids(texts)
+            return self._ids([x.decode() for x in texts])
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        missing = list(set().union(*parts) - known.keys())
-        for start in range(0, len(missing), 4096):
-            some = missing[start : start + 4096]
-            known.update(zip(some, self._ids(some), strict=True))
-        return [b"".join(map(known.__getitem__, x)) for x in parts]
+        known[""] = b""
+        if self.lower:
+            # Fewer different words; a special token's string must not come about by it.
+            texts = [x if b"<|" in x else x.lower() for x in texts]
+        parts = [x.decode().replace("\n", " ").split(" ") for x in texts]
+        words = list(itertools.chain.from_iterable(parts))
+        found = list(map(known.get, words))
+        missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
+        if missing:
+            # A full stop or comma behind a letter is split off by the pattern, so the word before it may be known already.
+            ended = [w for w in missing if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()] if self.by_letters else []
+            wanted = list((missing.difference(ended) | {w[:-1] for w in ended} | {".", ","}).difference(known))
+            known.update(zip(wanted, self._words(wanted), strict=True))
+            known.update((w, known[w[:-1]] + known[w[-1]]) for w in ended)
+            found = [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        ids = iter(found)
+        return [b"".join(itertools.islice(ids, len(x))) for x in parts]
 
 
 @functools.lru_cache(maxsize=2)
@@ -209,7 +240,7 @@ def write_ids(
     def run(batches):
         model, out = encoder(tokenizer), FileWriter(bits, block)
         for batch in batches:
-            encoded = [x + end for x in model.encode([x.decode() for x in texts_of(batch)])]
+            encoded = [x + end for x in model.encode(texts_of(batch))]
             yield _records(out.add(batch.column("doc_id").to_pylist(), encoded))
         yield _records(out.close())
 

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from cohortlens.llm.token_files import FileReader, FileWriter, encoder, ids_of, planes_of, read_digests, read_ids, write_ids
 from cohortlens.session import scratch_path
 
-TEXTS = ["The Quick  brown\tfox's 123 jumps.\n", "<|startoftext|>x <|endoftext|>", "é é 日本語😀", "a b c\x1fd", "word " * 5000, "I'M they'Re"]
+TEXTS = ["The Quick  brown\tfox's 123 jumps.\n", "<|startoftext|>x <|endoftext|>", "é é 日本語😀", "a b c\x1fd", "word " * 5000, "I'M they'Re", "<|STARTOFTEXT|> A<|endoftext|>B", "ΣΑΣ Σ İstanbul A\u0301 e\u0301\u00a0x\u2003y", "\u0301 \u0301a \u200b"]
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -42,7 +42,7 @@ def test_word_table_gives_the_ids_of_whole_texts(spark, files):
     model, whole = encoder(path), Tokenizer.from_file(path)
     assert model.by_word and not encoder(files("byte_bpe_50k.json")).by_word
     texts = TEXTS + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    for text, ids in zip(texts, model.encode(texts), strict=True):
+    for text, ids in zip(texts, model.encode([x.encode() for x in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
