@@ -39,7 +39,7 @@ peer AS (
   SELECT s.cohort_key, count(*) FILTER (o.b_volume > 0) AS comparable, count(*) FILTER (o.absolute_delta >= 0.02) AS moved
   FROM subj s JOIN scored o ON o.dim_set = s.dim_set AND o.cohort_key <> s.cohort_key GROUP BY s.cohort_key
 ),
-wide AS (
+wide AS MATERIALIZED (
   SELECT s.*, round(ctl.b_failures / ctl.b_volume::DOUBLE, 6) AS ctl_b, round(ctl.c_failures / ctl.c_volume::DOUBLE, 6) AS ctl_c,
     {z_sql('ctl.b_failures', 'ctl.b_volume', 'ctl.c_failures', 'ctl.c_volume')} AS ctl_z,
     ctl.c_volume AS ctl_volume, ctl.c_failures AS ctl_failures,

@@ -69,7 +69,7 @@ def forget_shared() -> None:
 # The payment fact: line items with their order, customer and region.
 
 FACT_SQL = """
-fact AS (
+fact AS MATERIALIZED (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS txn_id,
          l_shipdate AS ts,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS amount,
@@ -131,7 +131,7 @@ def payments(t: Tables) -> DataFrame:
 def windowed_sql(fact: str = "fact", simulated: str = "0") -> str:
     """SQL text that puts each fact row into every window it belongs to."""
     return f"""
-windowed AS (
+windowed AS MATERIALIZED (
   SELECT w.name AS "window", f.*, {simulated} AS is_simulated
   FROM {fact} f JOIN (VALUES
     ('baseline', TIMESTAMP '1900-01-01 00:00:00', TIMESTAMP '1997-01-01 00:00:00'),
@@ -167,7 +167,7 @@ def metrics_sql(source: str = "windowed", name: str = "metrics") -> str:
   CASE WHEN sum(is_simulated) > 0 THEN 'SIMULATED' ELSE 'OBSERVED' END AS source_layer
   FROM {source} GROUP BY {group}"""
         )
-    return f"{name} AS (\n" + "\nUNION ALL\n".join(blocks) + "\n)"
+    return f"{name} AS MATERIALIZED (\n" + "\nUNION ALL\n".join(blocks) + "\n)"
 
 
 def z_sql(f0: str, n0: str, f1: str, n1: str) -> str:
@@ -184,7 +184,7 @@ def scored_sql(source: str = "metrics") -> str:
     """SQL text of the scored cohort table (baseline against current, inner join)."""
     z = z_sql("b.failures", "b.volume", "c.failures", "c.volume")
     return f"""
-compared AS (
+compared AS MATERIALIZED (
   SELECT c.dim_set, c.depth, c.cohort_key, {', '.join('c.' + d for d in FACT.dims)},
          b.volume AS b_volume, b.failures AS b_failures, b.failure_rate AS b_failure_rate, b.value_at_risk AS b_value_at_risk,
          b.latency_p95 AS b_latency_p95, b.infrastructure_side AS b_infra, b.infrastructure_rate AS b_infra_rate,
@@ -197,7 +197,7 @@ compared AS (
   FROM {source} c JOIN {source} b ON b.dim_set = c.dim_set AND b.cohort_key = c.cohort_key
   WHERE c."window" = 'current' AND b."window" = 'baseline' AND c.depth > 0
 ),
-scored AS (
+scored AS MATERIALIZED (
   SELECT *, CASE WHEN sigma > 0 AND absolute_delta > 0 THEN sigma * least(1.0, absolute_delta / 0.15) ELSE 0.0 END AS score,
          CASE WHEN sigma >= 9 THEN 'CRITICAL' WHEN sigma >= 6 THEN 'HIGH' WHEN sigma >= 4 THEN 'MEDIUM'
               WHEN sigma >= 3 THEN 'LOW' ELSE 'NONE' END AS severity,
@@ -242,7 +242,7 @@ def planted_sql(causes=CAUSES) -> str:
             f"AND status <> 'FAILED' AND {lane_sql(digest, 0)} < {p_add})"
         )
         text += f""",
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT * REPLACE (CASE WHEN {hit} THEN 'FAILED' ELSE status END AS status,
     CASE WHEN {hit} THEN CASE WHEN {lane_sql(digest, 1)} < 0.6 THEN 'PROCESSING_ERROR' ELSE 'TIMEOUT' END
     ELSE response_code END AS response_code)
@@ -257,7 +257,7 @@ IN_CURRENT = "CASE WHEN f.ts >= TIMESTAMP '1997-01-01' AND f.ts < TIMESTAMP '199
 
 def planted_metrics_sql() -> str:
     """WITH clause up to `scored` on the planted fact; the small tables are materialised for later joins."""
-    text = metrics_sql().replace("metrics AS (", "metrics AS MATERIALIZED (", 1)
+    text = metrics_sql()
     return f"WITH {planted_sql()},{windowed_sql('planted', IN_CURRENT)},{text},{scored_sql()}"
 
 
