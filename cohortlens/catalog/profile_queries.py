@@ -9,7 +9,6 @@ from ..operators import profile
 from .quality_queries import INSTITUTION_SQL
 from .tables import FACT, FACT_SQL, payments, query
 
-COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "note"]
 _NOTE = (
     "CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 9 = 1 THEN 'N/A' WHEN c_custkey % 9 = 2 THEN '-' "
     "WHEN c_custkey % 9 = 3 THEN ' vip ' WHEN c_custkey % 9 = 4 THEN 'VIP' WHEN c_custkey % 9 = 5 THEN 'vip' ELSE c_mktsegment END"
@@ -23,7 +22,7 @@ def customers(t):
 
 
 CUST_SQL = f"cust AS (SELECT *, {_NOTE} AS note, {_CODE.format('VARCHAR')} AS code FROM customer)"
-TEXT_COLUMNS = ["c_name", "c_mktsegment", "note", "code"]
+TEXT_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "note", "code"]
 
 
 def _tall(columns) -> str:
@@ -46,7 +45,7 @@ def _(t):
     return profile.column_profile(counts(t)).select("column", "rows", "nulls", "null_pct", "distinct_values", "distinct_pct")
 
 
-NUMERIC = ["l_quantity", "l_discount", "l_linenumber"]
+NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query(
