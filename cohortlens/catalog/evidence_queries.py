@@ -294,7 +294,21 @@ def _(t):
     return scored.agg(F.count_if(F.col("verdict") == "ANOMALOUS").alias("candidates"), F.count(F.lit(1)).alias("scanned"))
 
 
-@query("r04_analysis_fingerprint")
+def _six(x: str) -> str:
+    return f"coalesce(CAST(CAST({x} AS DECIMAL(30,6)) AS VARCHAR), 'NULL')"
+
+
+@query(
+    "r04_analysis_fingerprint",
+    f"""{HYPS_SQL}, judged AS (SELECT *, {VERDICT_SQL} AS verdict, coalesce(subject_value, '(no candidate)') AS subject FROM final_h WHERE h_rank = 1),
+lines AS (
+  SELECT '0' AS k, concat_ws('|', verdict, CASE WHEN verdict = 'INSUFFICIENT_EVIDENCE' THEN 'None' WHEN hypothesis_type = 'gateway_degradation' THEN 'Gateway ' || subject || ' is degraded'
+    WHEN hypothesis_type = 'issuer_degradation' THEN 'Issuer ' || subject || ' is failing transactions' WHEN hypothesis_type = 'payment_method_degradation' THEN 'Payment method ' || subject || ' is degraded'
+    WHEN hypothesis_type = 'network_segment_degradation' THEN 'Network ' || subject || ' is degraded' ELSE 'The whole system is degraded' END, {_six('confidence')}) AS line FROM judged
+  UNION ALL SELECT printf('1%02d', h_rank), concat_ws('|', hypothesis_type, coalesce(subject_value, 'None'), {_six('h_score')}) FROM final_h
+  UNION ALL SELECT concat_ws('|', '2', cohort_key, evidence_type), concat_ws('|', evidence_type, metric_name, cohort_key, {', '.join(_six(v) for v in ('baseline_value', 'current_value', 'delta', 'sigma'))}, source_layer) FROM evid)
+SELECT sha256(string_agg(line, chr(10) ORDER BY k, line)) AS analysis_fingerprint FROM lines""",
+)
 def _(t):
     return _analysis(t).fingerprint
 
