@@ -4,16 +4,17 @@ A document's set holds its distinct shingles of `width` words (A-Z lower-cased,
 is one shingle, a text without words has an empty set and is linked with nothing. Two documents are linked if the
 intersection of their sets is at least `percent` hundredths of the union.
 
-1. Each set gives a digest, `hashes` minima of universal hash functions (a * x + b, the upper half) and one key for each band of
-   `rows` minima. Documents of equal digests are one class, represented by the smallest id: copies don't go further.
+1. Each set gives a digest, and `hashes` minima of universal hash functions (a * x + b, the upper half), of which each band of
+   `rows` gives a key. Documents of equal digests are one class, represented by the smallest id: copies don't go further.
 2. Representatives that share a band key are candidates. Each is paired with the smallest of its bucket: links in
    number of the documents, not of their pairs.
 3. Pairs are confirmed on full sets, and confirmed links give components.
-4. Buckets that still hold more than one component are compared block by block: signatures first, then full sets, for pairs of different
-   components only, since a pair inside one component adds nothing. So no pair that shares a bucket is left open.
+4. Buckets that still hold more than one component are compared block by block, by minima first and then by the sets with shingles
+   cut to 32 bits. Only pairs of different components count, and a link found joins two for the rest of the block, so a block hands on
+   links in number of its documents; these are confirmed like the others. So no pair that shares a bucket is left open.
 
-With 32 bands of 4, a pair at 0.8 misses all buckets with probability 5e-8. The signature check of step 4 asks for an estimate
-of at least the threshold less 0.16, which is over four standard deviations of 128 minima.
+With 32 bands of 4, a pair at 0.8 misses all buckets with probability 5e-8. Step 4 asks for an estimate from the minima of at least the
+threshold less 0.16, which is over four standard deviations, and allows for two chance matches among the cut shingles.
 
 A null text is empty. A document without an id is never linked: its component is null and it is kept. Rows that share an id
 count as one document with all their texts; each gives a row. Column names other than id and text are of no importance.
@@ -40,8 +41,9 @@ class Rules:
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    #: Representatives of a block in step 4.
-    block: int = 512
+    #: Representatives of a block in step 4, and shingles, about.
+    block: int = 2048
+    block_shingles: int = 1 << 20
 
     @property
     def hashes(self) -> int:
@@ -81,29 +83,32 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(doc_id, n_shingles, digest, minima, bands): digest, minima and bands are null for empty sets. docs: doc_id, text."""
+    """(doc_id, n_shingles, digest, bands): digest and bands are null for empty sets. docs: doc_id, text."""
     size = 4 * rules.rows
 
     def run(batches):
         for batch in batches:
-            n, digests, lows, keys = [], [], [], []
+            n, digests, keys = [], [], []
             words, ends = hashed_words(texts_of(batch))
             for own in np.split(words, ends[:-1]):
                 own = np.unique(roll(own, rules.width))
                 n.append(len(own))
                 if not len(own):
                     digests.append(None)
-                    lows.append(None)
                     keys.append(None)
                     continue
                 low = minima(own, rules).tobytes()
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                lows.append(low)
                 keys.append([xxhash.xxh3_64_intdigest(low[i * size : i * size + size], i) - (1 << 63) for i in range(rules.bands)])
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(lows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "minima", "bands"])
+            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
 
-    return map_rows(docs, run, "doc_id long, n_shingles long, digest binary, minima binary, bands array<long>")
+    return map_rows(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+
+
+def _texts_of_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    ids = stage(nodes.select(nodes[nodes.columns[0]].alias("id")).distinct(), "nodes")
+    return maybe(docs, "doc_id", ids).where("maybe").drop("maybe").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
@@ -111,9 +116,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
 
     Only texts of documents in pairs are moved: once to gather them, then from that copy to their pairs.
     """
-    ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "paired")
-    texts = maybe(docs, "doc_id", ids).where("maybe").drop("maybe").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    texts = stage(texts, "paired-texts")
+    texts = stage(_texts_of_nodes(pairs.select(F.explode(F.array("u", "v")).alias("id")), docs), "paired-texts")
     of = lambda node: texts.select(F.col("doc_id").alias(node), F.col("text").alias(f"text_{node}"))
     rows = pairs.join(of("v"), "v").join(of("u"), "u")
 
@@ -136,33 +139,76 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
     return map_rows(rows.select("u", "v", "text_u", "text_v"), run, "u long, v long")
 
 
-def _open_pairs(buckets: DataFrame, nodes: DataFrame, rules: Rules) -> DataFrame:
-    """Pairs (u, v) of different components that share a bucket and whose signatures are close. buckets: key, node, component."""
-    mixed = buckets.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a < b")
-    rows = buckets.join(mixed.select("key", "size"), "key").join(nodes.select("node", "minima"), "node")
-    # A bucket of many blocks is spread over pairs of blocks, each of bounded size.
-    n = F.ceil(F.col("size") / rules.block)
-    own = F.pmod(F.xxhash64("node"), n)
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    spread = spread.select("key", "node", "component", "minima", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _sketches(nodes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
+    """(node, size, minima, cut): what step 4 compares. An id with several texts has several rows."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(data, rules.width) for data in texts_of(batch)]
+            some = [i for i, own in enumerate(sets) if len(own)]
+            sets = [sets[i] for i in some]
+            cols = [
+                batch.column("doc_id").take(pa.array(some, pa.int64())),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([minima(x, rules).tobytes() for x in sets], pa.binary()),
+                pa.array([np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "size", "minima", "cut"])
+
+    return map_rows(_texts_of_nodes(nodes, docs), run, "node long, size long, minima binary, cut binary")
+
+
+def _compare_block(table: pa.Table, rules: Rules) -> tuple[list[int], list[int]]:
+    """Links (u, v) between different components in a pair of blocks, no more than join them."""
+    part, node, comp, size = (table[c].to_numpy() for c in ("own", "node", "component", "size"))
+    low = np.frombuffer(b"".join(table["minima"].to_pylist()), "<u4").reshape(len(part), -1)
+    cut = [np.frombuffer(x, "<u4") for x in table["cut"].to_pylist()]
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
     close = (rules.percent / 100 - 0.16) * rules.hashes
+    names, comp = np.unique(comp, return_inverse=True)
+    home = np.arange(len(names))  # component -> the one it has been joined to
+    us, vs = [], []
+    for x in left.tolist():
+        ys = right[home[comp[right]] != home[comp[x]]]
+        if i == j:
+            ys = ys[ys > x]
+        ys = ys[(100 * np.minimum(size[ys], size[x]) >= rules.percent * np.maximum(size[ys], size[x])) & ((low[ys] == low[x]).sum(axis=1) >= close)]
+        for y in ys.tolist():
+            a, b = home[comp[x]], home[comp[y]]
+            if a == b:
+                continue
+            both = len(np.intersect1d(cut[x], cut[y], assume_unique=True))
+            total = int(size[x] + size[y])
+            if 100 * (both + 2) >= rules.percent * (total - both - 2):
+                us.append(max(int(node[x]), int(node[y])))
+                vs.append(min(int(node[x]), int(node[y])))
+                if 100 * (both - 2) >= rules.percent * (total - both + 2):
+                    home[home == a] = b
+    return us, vs
+
+
+def _open_links(buckets: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
+    """Candidate links (u, v) of different components that share a bucket. buckets: key, node, component, n_shingles."""
+    mixed = buckets.groupBy("key").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")
+    )
+    blocks = F.ceil(F.greatest(F.col("n") / rules.block, F.col("shingles") / rules.block_shingles))
+    mixed = mixed.where("a < b").select("key", blocks.alias("blocks"))
+    rows = stage(buckets.join(mixed, "key").select("key", "node", "component", "blocks"), "mixed-buckets")
+    sketches = stage(_sketches(rows.select("node"), docs, rules), "sketches")
+    # A bucket of many blocks is spread over pairs of blocks, each of bounded size.
+    spread = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    )
+    spread = spread.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(_, table):
-        part = table["own"].to_numpy()
-        low = np.frombuffer(b"".join(table["minima"].to_pylist()), "<u4").reshape(len(part), -1)
-        node, comp = table["node"].to_numpy(), table["component"].to_numpy()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        us, vs = [], []
-        for x in left.tolist():
-            ys = right[(comp[right] != comp[x]) & (node[right] > node[x] if i == j else True)]
-            ys = ys[(low[ys] == low[x]).sum(axis=1) >= close]
-            us.append(np.full(len(ys), node[x]))
-            vs.append(node[ys])
-        u, v = (np.concatenate([np.empty(0, np.int64), *z]) for z in (us, vs))
-        return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
-
-    return spread.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+        us, vs = _compare_block(table, rules)
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    found = spread.join(sketches, "node").groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
+    return found.where("u <> v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -171,17 +217,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stage(signatures(docs, rules), "signatures")
     named = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = stage(named.join(classes, "digest").where("doc_id = node").select("node", "minima", "bands"), "nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node")
+    nodes = stage(named.join(classes, "digest").where("doc_id = node").select("node", "n_shingles", "bands"), "nodes")
+    keyed = nodes.select(F.explode("bands").alias("key"), "node", "n_shingles")
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     buckets = stage(keyed.join(hubs, "key"), "buckets")
     pairs = stage(buckets.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
     links = stage(confirmed(pairs, docs, rules), "links")
-    stars = connected(links)
-    labelled = buckets.select("key", "node").join(stars, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    more = stage(_open_pairs(stage(labelled.distinct(), "labelled"), nodes.select("node", "minima").dropDuplicates(["node"]), rules), "open")
-    more = more.join(pairs, ["u", "v"], "left_anti")
-    found = stage(confirmed(more, docs, rules), "links")
+    labelled = buckets.drop("hub").join(connected(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = stage(confirmed(stage(_open_links(stage(labelled, "labelled"), docs, rules), "open-links"), docs, rules), "links")
     stars = connected(links.union(found))
     member = classes.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     # Documents without a shingle, however many, don't take part in the join.
