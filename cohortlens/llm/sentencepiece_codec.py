@@ -17,8 +17,8 @@ prefix and kept white space; other normalisers are refused. A character that no
 Decoding joins pieces, turns byte pieces into bytes (malformed ones into U+FFFD) and marks into spaces, and removes the first
 space. A text that holds the mark itself comes back with a space in its place; all others come back as they were.
 
-No piece has the mark behind another character, and some characters are in no piece of two or more: paths always meet there.
-The stretches between such points repeat a lot, so a worker keeps their ids in a table of fixed size.
+No piece has the mark behind another character, and many pairs of characters stand side by side in no piece: paths always meet
+there. The stretches between such points repeat a lot, so a worker keeps their ids in a table of fixed size.
 
 Null and empty texts have no ids and decode to the empty text. Every input row gives one row.
 """
@@ -37,7 +37,7 @@ from .common import columns_of, map_rows, texts_of
 
 MARK = "▁"
 #: Stretches a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_200_000
 
 
 class Codec:
@@ -65,6 +65,7 @@ class Codec:
         self.longest = max(map(len, self.ids))
         self.lowest = min(self.score.values()) - 10
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.raw = [b""] * len(spec.pieces)
         for p, i in self.ids.items():
             self.raw[i] = p.replace(MARK, " ").encode()
@@ -177,8 +178,14 @@ class Codec:
         """Ids of a stretch between two sure boundaries, as 32-bit integers."""
         got = self.known.get(stretch)
         if got is None:
-            ids = [i for pieces in self.stream(stretch) for piece in pieces for i in self._ids(piece)]
-            got = np.array(ids, "<i4").tobytes()
+            # Two neighbours that stand side by side in no piece have a boundary between them, too.
+            inside = self.inside
+            cuts = [i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in inside]
+            if cuts:
+                got = b"".join([self._of(stretch[i:j]) for i, j in zip([0, *cuts], [*cuts, len(stretch)], strict=True)])
+            else:
+                ids = [i for pieces in self.stream(stretch) for piece in pieces for i in self._ids(piece)]
+                got = np.array(ids, "<i4").tobytes()
             if len(stretch) <= 64:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
@@ -188,8 +195,11 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<i4")
-        marked = MARK + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self._of, self.stretch.findall(marked))), "<i4")
+        stretches = self.stretch.findall(MARK + text.replace(" ", MARK))
+        found = list(map(self.known.get, stretches))
+        if None in found:
+            found = [self._of(x) if ids is None else ids for x, ids in zip(stretches, found, strict=True)]
+        return np.frombuffer(b"".join(found), "<i4")
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
