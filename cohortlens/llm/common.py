@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -33,11 +34,35 @@ def columns_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with batches bounded by rows and bytes, so that long texts don't add up in a worker."""
+_held: list[Callable[[], None] | None] = [None]
+
+
+def hold(forget: Callable[[], None] | None) -> None:
+    """A Python worker serves one task after another: what it keeps for one operator goes before another one's task runs."""
+    if _held[0] is not None and _held[0] is not forget:
+        _held[0]()
+        gc.collect()
+    _held[0] = forget
+
+
+def map_rows(
+    df: DataFrame,
+    fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema,
+    forget: Callable[[], None] | None = None,
+) -> DataFrame:
+    """mapInArrow with batches bounded by rows and bytes, so that long texts don't add up in a worker.
+
+    forget: a function of a module that empties what its tasks keep in the worker.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(fn, schema)
+
+    def task(batches):
+        hold(forget)
+        yield from fn(batches)
+
+    return df.mapInArrow(task, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -45,7 +45,7 @@ _STRIP = "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…"
 _SENTENCE = (b".", b"!", b"?", b":", b'."', b'!"', b'?"')
 _CAPITAL, _ENDS, _NUMBER, _UNIT, _SKIP = 1, 2, 4, 8, 16
 _SLOT = np.array([0x6E756D62, 0x756E6974, 0x6E616D65], np.uint64)
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 @dataclass(frozen=True)
@@ -100,6 +100,10 @@ def plain(word: bytes) -> bytes:
 _known: list[_Words] = []
 
 
+def forget() -> None:
+    _known.clear()
+
+
 def windows(data: bytes, widths: list[int], rules: Rules) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], int]]:
     """For each width and variant: (hashes, starts among the words, slot mask of all words, words, width)."""
     if not _known:
@@ -153,7 +157,7 @@ def item_windows(items: DataFrame, rules: Rules, id_col: str = "item_id", text_c
                         out.append((item, h, width, i, _slot_values(words, slots, i, width), n))
             yield _rows(out, ["item_id", "window", "width", "item_at", "item_slots", "n_windows"], 4)
 
-    return map_rows(rows, run, "item_id long, window long, width long, item_at long, item_slots array<string>, n_windows long")
+    return map_rows(rows, run, "item_id long, window long, width long, item_at long, item_slots array<string>, n_windows long", forget)
 
 
 def _rows(out: list[tuple], names: list[str], text_at: int) -> pa.RecordBatch:
@@ -182,7 +186,7 @@ def doc_windows(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
                         out.append((doc, int(hashes[k].astype(np.int64)), i, _slot_values(words, slots, i, width)))
             yield _rows(out, ["doc_id", "window", "doc_at", "doc_slots"], 3)
 
-    return map_rows(docs.where("doc_id IS NOT NULL"), run, "doc_id long, window long, doc_at long, doc_slots array<string>")
+    return map_rows(docs.where("doc_id IS NOT NULL"), run, "doc_id long, window long, doc_at long, doc_slots array<string>", forget)
 
 
 def consistent_windows(matches: list[dict]) -> set[int]:

@@ -36,8 +36,9 @@ from pyspark.sql import DataFrame, types as T
 from .common import columns_of, map_rows, texts_of
 
 MARK = "▁"
-#: Stretches a worker remembers.
-REMEMBERED = 1_200_000
+#: Stretches, and pairs of pieces, that a worker remembers.
+REMEMBERED = 500_000
+REMEMBERED_PAIRS = 200_000
 
 
 class Codec:
@@ -97,7 +98,7 @@ class Codec:
         key = (a, b)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > REMEMBERED_PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(a + b) == [a, b]
         return known
@@ -210,6 +211,10 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def forget() -> None:
+    codec.cache_clear()
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): one row per input row."""
 
@@ -219,7 +224,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = [model.encode(x.decode()) for x in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return map_rows(columns_of(docs, id_col, text_col), run, "doc_id long, ids array<int>")
+    return map_rows(columns_of(docs, id_col, text_col), run, "doc_id long, ids array<int>", forget)
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -233,7 +238,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
             texts = [model.decode([i for i in x or [] if i in known]) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return map_rows(rows, run, "doc_id long, text string")
+    return map_rows(rows, run, "doc_id long, text string", forget)
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,4 +274,4 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], list(kinds))
 
     schema = T.StructType([T.StructField(k, kind) for k, (kind, _) in kinds.items()])
-    return map_rows(columns_of(docs, id_col, text_col), run, schema)
+    return map_rows(columns_of(docs, id_col, text_col), run, schema, forget)

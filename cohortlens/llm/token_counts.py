@@ -77,6 +77,10 @@ def counter(path: str):
     return _Pieces(path) if path.endswith(".model") else _Json(path)
 
 
+def forget() -> None:
+    counter.cache_clear()
+
+
 def lengths_of(texts: list[bytes], path: str, most_bytes: int = MOST_BYTES) -> list[int]:
     """Tokens of each text."""
     model = counter(path)
@@ -105,4 +109,4 @@ def count_tokens(
             size = pa.array([len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, n, over], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_rows(columns_of(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_rows(columns_of(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", forget)

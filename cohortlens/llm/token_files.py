@@ -124,6 +124,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    encoder.cache_clear()
+
+
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
     """The planes of a block of unsigned 32-bit ids, lowest first."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
@@ -245,7 +249,7 @@ def write_ids(
         yield _records(out.close())
 
     # The cast keeps the bytes as they are.
-    map_rows(rows, run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(folder)
+    map_rows(rows, run, "value binary", forget).select(F.col("value").cast("string")).write.option("lineSep", "\n").text(folder)
 
 
 def _records(values: list[bytes]) -> pa.RecordBatch:

@@ -96,3 +96,17 @@ def test_round_trip_of_a_table(make, odd, files):
 def test_unknown_ids_decode_to_nothing(spark, files):
     rows = spark.createDataFrame([(1, [999_999, -1, 0, 1]), (2, None)], "doc_id long, ids array<int>")
     assert {r["text"] for r in decode_documents(rows, files("piece_bpe_32k.model")).collect()} == {""}
+
+
+def test_a_worker_keeps_one_operators_tables():
+    from cohortlens.llm import common
+
+    gone = []
+    first, second = (lambda: gone.append(1)), (lambda: gone.append(2))
+    common.hold(first)
+    common.hold(first)
+    assert gone == []
+    common.hold(second)
+    common.hold(None)
+    common.hold(None)
+    assert gone == [1, 2]
