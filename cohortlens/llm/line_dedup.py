@@ -70,7 +70,8 @@ def dedup_lines(
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.struct("*").alias("row"))
     lost = stage(dropped_keys(columns_of(docs, id_col, text_col), min_chars, min_docs), "lost-lines")
-    lost = lost.withColumnRenamed("doc_id", "lost_id")
+    # A sort-merge join at any size: what documents lose grows with them, so a plan that broadcasts it holds for small inputs only.
+    lost = lost.withColumnRenamed("doc_id", "lost_id").hint("merge")
     marked = rows.join(lost, F.col("doc_id") == F.col("lost_id"), "left").drop("lost_id")
 
     def drop(batches):
