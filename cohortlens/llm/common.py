@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import re
@@ -39,12 +40,22 @@ _held: list[Callable[[], None] | None] = [None]
 
 def hold(forget: Callable[[], None] | None) -> None:
     """A Python worker serves one task after another: what it keeps for one operator goes before another one's task runs."""
-    if _held[0] is not None and _held[0] is not forget:
-        _held[0]()
+    if _held[0] is not forget:
+        if _held[0] is not None:
+            _held[0]()
         gc.collect()
+        _give_back()
     _held[0] = forget
 
 
+def _give_back() -> None:
+    """Freed memory that the allocators keep goes back to the system, since a worker shares its machine with others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],

@@ -37,8 +37,8 @@ from .common import columns_of, map_rows, texts_of
 
 MARK = "▁"
 #: Stretches, and pairs of pieces, that a worker remembers.
-REMEMBERED = 500_000
-REMEMBERED_PAIRS = 200_000
+REMEMBERED = 300_000
+REMEMBERED_PAIRS = 100_000
 
 
 class Codec:
