@@ -37,12 +37,13 @@ from .common import columns_of, map_rows, texts_of
 
 MARK = "▁"
 #: Stretches, and pairs of pieces, that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 REMEMBERED_PAIRS = 100_000
 
 
 class Codec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -188,7 +189,7 @@ class Codec:
                 ids = [i for pieces in self.stream(stretch) for piece in pieces for i in self._ids(piece)]
                 got = np.array(ids, "<i4").tobytes()
             if len(stretch) <= 64:
-                if len(self.known) >= REMEMBERED:
+                if len(self.known) >= self.remembered:
                     self.known.clear()
                 self.known[stretch] = got
         return got
@@ -207,8 +208,8 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, remembered: int = REMEMBERED) -> Codec:
+    return Codec(path, remembered)
 
 
 def forget() -> None:
@@ -241,7 +242,9 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     return map_rows(rows, run, "doc_id long, text string", forget)
 
 
-def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_and_decode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED
+) -> DataFrame:
     """(doc_id, n_chars, n_pieces, ids_crc32, ids, decoded, same): both ways in one pass; one row per input row.
 
     ids_crc32 is that of the ids as little-endian 32-bit integers; same says whether the decoded text is the input's.
@@ -257,7 +260,7 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     }
 
     def run(batches):
-        model = codec(path)
+        model = codec(path, remembered)
         for batch in batches:
             texts = [x.decode() for x in texts_of(batch)]
             ids = [model.encode(x) for x in texts]

@@ -12,6 +12,9 @@ from cohortlens.llm import decontaminate, line_dedup, minhash, quality_rules, se
 from cohortlens.llm.common import read_table, stage
 from cohortlens.llm.queries import PIECES, tokenizer
 
+#: Stretches a worker remembers in the last stage, which shares its executors' memory with the stages before it.
+REMEMBERED = 250_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cleaned documents that pass the quality rules (operator 10)."""
@@ -39,7 +42,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, text, ids): SentencePiece ids, and the text as they decode (operator 3)."""
-    return sentencepiece_codec.encode_and_decode(docs, tokenizer(PIECES)).select("doc_id", F.col("decoded").alias("text"), "ids")
+    return sentencepiece_codec.encode_and_decode(docs, tokenizer(PIECES), remembered=REMEMBERED).select("doc_id", F.col("decoded").alias("text"), "ids")
 
 
 STAGES = [

@@ -5,7 +5,6 @@ import numpy as np
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 
-from cohortlens.llm import sentencepiece_codec
 from cohortlens.llm.sentencepiece_codec import MARK, Codec, codec, decode_documents, encode_and_decode, encode_documents
 
 
@@ -68,7 +67,7 @@ def test_unigram_paths_have_the_best_score():
 
 def test_table_is_bounded(files, monkeypatch):
     model, library = load(files)
-    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 50)
+    monkeypatch.setattr(model, "remembered", 50)
     model.known.clear()
     for i in range(500):
         assert model.encode(f"word{i} other") is not None
