@@ -9,9 +9,11 @@ The probability of w after v interpolates the two: weight(v) * c(v w) / c(v) + (
 level of c(v). It is the one that makes the training text most probable when the token at hand is taken out of the counts; a pass over all training
 documents gathers what is needed as a small table. An unseen context has weight 0.
 
-Filters are as large as their counts need, up to a fixed size each, which bounds what is broadcast. If the counts outgrow a filter (more than half of its bits would be
-set), n-grams of the lowest levels stay out of it, as many levels as needed: rare bigrams then back off to their words. The counts
-behind it are complete at any size.
+Filters are as large as their counts need and hold every n-gram. They are broadcast in slices of the hash space of a fixed size. A task
+holds one slice at a time: it looks up the n-grams of many texts at once, sorted, slice by slice. So neither a task nor the driver
+holds more than a slice of each filter, whatever the corpus.
+
+The levels of a document's tokens are written once; the weights are fitted on them and the scores summed from them.
 
 The base score needs exact unigram counts: the most frequent words (at most `frequent`) are broadcast with their counts, all other
 words of a document are joined with theirs.
@@ -30,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import columns_of, hashed_words, is_set, map_rows, mixed, pack, pack_sorted, segment_bounds, stage, texts_of, unpack, unpack_sorted
@@ -45,7 +48,7 @@ _SHORT = np.uint64(0xFFFF_FFFF_FFFF_0000)
 class Rules:
     base: float = 1.5
     probes: int = 3
-    #: log2 of the most bits of the filters: 16 MB and 32 MB. Smaller inputs take as many as they need.
+    #: log2 of the most bits of a slice of the filters: 16 MB and 32 MB. Smaller inputs take as many as they need.
     unigram_bits: int = 27
     bigram_bits: int = 28
     #: Words whose exact counts are broadcast: 16 MB.
@@ -54,6 +57,8 @@ class Rules:
     chunk: int = 3_000_000
     #: Bytes of text for each segment of the hash space.
     segment_bytes: int = 1 << 24
+    #: Bytes of text that are looked up at once when a filter has several slices.
+    lookup_bytes: int = 1 << 22
 
 
 LEVELS = 64  # more than any count below 2^63 / base 1.5 needs up to 10^11
@@ -168,10 +173,10 @@ class Filter:
                 flags[cls.place(own, q, probe, bits)] = True
         return np.packbits(flags, bitorder="little").tobytes()
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key, 0 if it is not there."""
+    def level(self, keys: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Level of each key, 0 if it is not there. skip: top bits that chose this filter as a slice of a larger one."""
         inside = self.bits - self.log2
-        region = (keys >> np.uint64(64 - self.log2)).astype(np.int64) << inside if self.log2 else np.zeros(len(keys), np.int64)
+        region = (keys << np.uint64(skip) >> np.uint64(64 - self.log2)).astype(np.int64) << inside if self.log2 else np.zeros(len(keys), np.int64)
         out = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
         for q in range(self.least, LEVELS):
@@ -183,31 +188,57 @@ class Filter:
         return out
 
 
-def build_filter(merged: DataFrame, n: int, bits: int, log2: int, rules: Rules) -> Filter:
-    """Regions are built in tasks and put together on the driver: 2**bits bits, whatever the corpus."""
-    rows = merged.where(F.col("n") == n)
-    levels = rows.select(F.posexplode("levels").alias("q", "types")).groupBy("q").agg(F.sum("types").alias("types")).collect()
-    types = dict.fromkeys(range(LEVELS), 0) | {r["q"]: r["types"] for r in levels}
-    # An n-gram of level q has q - least + 1 entries; at half of the bits set, ln 2 * bits probes have been put in.
-    least = 1
-    needed = lambda: rules.probes * sum(t * (q - least + 1) for q, t in types.items() if q >= least) / 0.69
-    while least < LEVELS - 1 and needed() > 1 << bits:
-        least += 1
-    bits = min(bits, max(log2 + 6, int(needed()).bit_length()))
-    inside = bits - log2
+def bits_needed(merged: DataFrame, n: int, log2: int, rules: Rules) -> int:
+    """log2 of the bits that leave at most half of them set when all n-grams are in."""
+    rows = merged.where(F.col("n") == n).select(F.posexplode("levels").alias("q", "types")).groupBy("q").agg(F.sum("types").alias("types")).collect()
+    # An n-gram of level q has q entries; at half of the bits set, ln 2 * bits probes have been put in.
+    needed = rules.probes * sum(r["types"] * r["q"] for r in rows) / 0.69
+    return max(log2 + 6, int(needed).bit_length())
+
+
+class Slices:
+    """A filter in slices by the top bits of the hash, each broadcast on its own."""
+
+    def __init__(self, slices: list, log2: int):
+        self.slices, self.log2 = slices, log2
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each of the sorted keys, 0 if it is not there."""
+        bounds = segment_bounds(keys, self.log2)
+        out = np.zeros(len(keys), np.int64)
+        for shared, (a, b) in zip(self.slices, itertools.pairwise(bounds), strict=True):
+            if b > a:
+                out[a:b] = shared.value.level(keys[a:b], self.log2)
+                if len(self.slices) > 1:
+                    vars(shared).pop("_value", None)  # a worker would keep each slice that it has read
+        return out
+
+
+def build_filter(merged: DataFrame, n: int, log2: int, most: int, rules: Rules) -> Slices:
+    """Regions are built in tasks and put together on the driver, a slice of 2**most bits at a time."""
+    bits = bits_needed(merged, n, log2, rules)
+    # A slice is a region at least.
+    cut = min(max(0, bits - most), log2)
+    inside, own = bits - log2, log2 - cut
 
     def run(batches):
         for batch in batches:
             out = []
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                out.append(Filter.region(unpack_sorted(keys), unpack(counts), inside, rules, least))
+                out.append(Filter.region(unpack_sorted(keys), unpack(counts), inside, rules, 1))
             yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(out, pa.binary())], ["segment", "bits"])
 
-    table = np.zeros(1 << (bits - 3), np.uint8)
+    rows = merged.where(F.col("n") == n).select("segment", "keys", "counts")
     size = 1 << (inside - 3)
-    for row in map_rows(rows.select("segment", "keys", "counts"), run, "segment long, bits binary").toLocalIterator():
-        table[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(table, bits, log2, rules, least)
+    slices = []
+    for i in range(1 << cut):
+        table = np.zeros(size << own, np.uint8)
+        regions = rows.where(F.col("segment").between(i << own, (i + 1 << own) - 1))
+        for row in map_rows(regions, run, "segment long, bits binary").toLocalIterator():
+            at = row["segment"] - (i << own)
+            table[at * size : (at + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+        slices.append(merged.sparkSession.sparkContext.broadcast(Filter(table, bits - cut, own, rules, 1)))
+    return Slices(slices, cut)
 
 
 class Exact:
@@ -263,49 +294,59 @@ def _frequent(merged: DataFrame, rules: Rules, types: dict[int, int]) -> tuple[E
 _RATIOS, _ZERO = 160, 80
 
 
+def levels_of(one: Slices, two: Slices, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of the token, its context and the bigram; each different n-gram is looked up once."""
+    words, at = np.unique(tokens, return_inverse=True)
+    own = one.level(words)
+    # Contexts are tokens of the same batch, but for the start of a text, which every text has.
+    found = np.searchsorted(words, before)
+    found[found == len(words)] = 0
+    known = np.where(words[found] == before, own[found], 0)
+    pairs, back = np.unique(bigrams_of(before, tokens), return_inverse=True)
+    return own[at], known, two.level(pairs)[back]
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of the tokens, contexts and bigrams of all documents of a batch, and where each document starts."""
+    shared = zstandard.ZstdDecompressor()
+    rows = [np.frombuffer(shared.decompress(x), np.uint8).reshape(3, -1) for x in batch.column("levels").to_pylist()]
+    w, v, vw = np.concatenate(rows, axis=1).astype(np.int64)
+    return w, v, vw, np.concatenate([[0], np.cumsum([r.shape[1] for r in rows])[:-1]]).astype(np.int64)
+
+
 class Model:
-    """What a worker needs to score a text; tables holds both filters."""
-
-    def __init__(self, tables: tuple[Filter, Filter], total: int, types: int, weights: np.ndarray):
-        (self.one, self.two), self.total, self.types, self.weights = tables, total, types, weights
-
-    def levels(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Levels of the token, its context and the bigram; each different n-gram is looked up once."""
-        words, at = np.unique(tokens, return_inverse=True)
-        own = self.one.level(words)
-        # Contexts are tokens of the same batch, but for the start of a text, which every text has.
-        found = np.searchsorted(words, before)
-        found[found == len(words)] = 0
-        known = np.where(words[found] == before, own[found], 0)
-        pairs, back = np.unique(bigrams_of(before, tokens), return_inverse=True)
-        return own[at], known, self.two.level(pairs)[back]
+    """What a worker needs to score the levels of a text."""
+
+    def __init__(self, rules: Rules, total: int, types: int, weights: np.ndarray):
+        self.means, self.total, self.types, self.weights = level_means(rules.base), total, types, weights
 
     def probability(self, w: np.ndarray, v: np.ndarray, vw: np.ndarray) -> np.ndarray:
-        word = (self.one.means[w] + 1) / (self.total + self.types + 1)
-        context = np.maximum(self.one.means[v], 1)
+        word = (self.means[w] + 1) / (self.total + self.types + 1)
+        context = np.maximum(self.means[v], 1)
         weight = self.weights[v]
-        return weight * np.minimum(1, self.two.means[vw] / context) + (1 - weight) * word
+        return weight * np.minimum(1, self.means[vw] / context) + (1 - weight) * word
 
 
-def fit_weights(docs: DataFrame, tables, total: int, types: int, rules: Rules) -> np.ndarray:
-    """Weight of the bigram estimate for each level of the context. tables: the filters, broadcast."""
+def fit_weights(described: DataFrame, total: int, types: int, rules: Rules) -> np.ndarray:
+    """Weight of the bigram estimate for each level of the context. described: levels of training documents."""
 
     def run(batches):
-        model, means = Model(tables.value, total, types, np.zeros(LEVELS)), level_means(rules.base)
+        means = level_means(rules.base)
         seen = np.zeros(LEVELS * _RATIOS, np.int64)
         for batch in batches:
-            tokens, before, _ = tokens_of(texts_of(batch))
-            w, v, vw = model.levels(tokens, before)
+            if not batch.num_rows:
+                continue
+            w, v, vw, _ = _unpacked(batch)
             pair = np.maximum(means[vw] - 1, 0) / np.maximum(means[v] - 1, 1)
-            word = np.maximum(means[w], 1) / (model.total + model.types)
-            ratio = np.full(len(tokens), 0)
+            word = np.maximum(means[w], 1) / (total + types)
+            ratio = np.full(len(w), 0)
             some = pair > 0
             ratio[some] = np.clip(np.round(4 * np.log2(np.minimum(pair[some], 1) / word[some])) + _ZERO, 1, _RATIOS - 1)
             seen += np.bincount(v * _RATIOS + ratio, minlength=len(seen))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
 
-    rows = map_rows(docs.select("text"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = map_rows(described.select("levels"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     table = np.zeros(LEVELS * _RATIOS)
     for row in rows:
         table[row["at"]] = row["n"]
@@ -319,6 +360,10 @@ def fit_weights(docs: DataFrame, tables, total: int, types: int, rules: Rules) -
     return weights
 
 
+def forget() -> None:
+    """Nothing is kept for lookups; what counting has freed goes back to the system before them."""
+
+
 def held_out(doc_id) -> F.Column:
     """The fold that is scored but not learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(False))
@@ -336,53 +381,69 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     total, types = int(totals[0] or 0), int(totals[1] or 0)
     by_level = merged.where("n = 1").select(F.posexplode("levels").alias("q", "t")).groupBy("q").agg(F.sum("t").alias("t")).collect()
     exact, others = _frequent(merged, rules, {r["q"]: r["t"] for r in by_level})
-    one = build_filter(merged, 1, rules.unigram_bits, log2, rules)
-    two = build_filter(merged, 2, rules.bigram_bits, log2, rules)
-    tables = spark.sparkContext.broadcast((one, two))
-    weights = fit_weights(train, tables, total, types, rules)
+    one = build_filter(merged, 1, log2, rules.unigram_bits, rules)
+    two = build_filter(merged, 2, log2, rules.bigram_bits, rules)
+    at_once = rules.lookup_bytes if one.log2 or two.log2 else 0
     frequent = spark.sparkContext.broadcast(exact)
-    per_token = np.log10(total + types + 1)
+
+    def describe(row: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        exact = frequent.value
+        tokens, before, ends = tokens_of(texts_of(batch))
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        levels = np.stack(levels_of(one, two, tokens, before)).astype(np.uint8)
+        counts = exact.find(tokens)
+        logs = np.log10(np.maximum(counts, 0) + 1)
+        rest = counts < 0
+        n = len(starts)
+        words, times = [[]] * n, [[]] * n
+        for i in np.flatnonzero(np.add.reduceat(rest, starts)).tolist():
+            own = tokens[starts[i] : ends[i]][rest[starts[i] : ends[i]]]
+            words[i], times[i] = np.unique(own.view(np.int64), return_counts=True)
+        packer = zstandard.ZstdCompressor(level=1)
+        cols = {
+            "row": pa.array(np.arange(row, row + n)),
+            "doc_id": batch.column("doc_id"),
+            "held_out": batch.column("held_out"),
+            "n_tokens": pa.array(ends - starts),
+            "known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
+            "logs": pa.array(np.add.reduceat(logs, starts)),
+            "words": pa.array(words, pa.list_(pa.int64())),
+            "times": pa.array(times, pa.list_(pa.int64())),
+            "levels": pa.array([packer.compress(levels[:, a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(cols)
 
     def run(batches):
         from pyspark import TaskContext
 
-        model, exact = Model(tables.value, total, types, weights), frequent.value
         row = TaskContext.get().partitionId() << 36
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += batch.nbytes
+            if held and (batch is None or size >= at_once):
+                some = pa.concat_batches(held)
+                held, size = [], 0
+                if some.num_rows:
+                    yield describe(row, some)
+                    row += some.num_rows
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, words array<long>, times array<long>, levels binary"
+    described = stage(map_rows(docs, run, schema, forget), "described")
+    model = Model(rules, total, types, fit_weights(described.where("NOT held_out"), total, types, rules))
+    per_token = np.log10(total + types + 1)
+
+    def sum_up(batches):
         for batch in batches:
-            texts = texts_of(batch)
-            if not texts:
-                continue
-            tokens, before, ends = tokens_of(texts)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            logs = np.log10(model.probability(*model.levels(tokens, before)))
-            counts = exact.find(tokens)
-            found = np.log10(np.maximum(counts, 0) + 1)
-            rest = counts < 0
-            words = [[]] * len(texts)
-            times = [[]] * len(texts)
-            for i in np.flatnonzero(np.add.reduceat(rest, starts)).tolist():
-                own = tokens[starts[i] : ends[i]][rest[starts[i] : ends[i]]]
-                words[i], times[i] = np.unique(own.view(np.int64), return_counts=True)
-            n = ends - starts
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + len(texts))),
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(n),
-                    pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(found, starts)),
-                    pa.array(np.add.reduceat(logs, starts)),
-                    pa.array(words, pa.list_(pa.int64())),
-                    pa.array(times, pa.list_(pa.int64())),
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "words", "times"],
-            )
-            row += len(texts)
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, words array<long>, times array<long>"
-    scored = stage(map_rows(docs, run, schema), "scored")
-    rest = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+            if batch.num_rows:
+                w, v, vw, starts = _unpacked(batch)
+                logs = np.log10(model.probability(w, v, vw))
+                yield batch.drop_columns(["levels"]).append_column("score", pa.array(np.add.reduceat(logs, starts)))
+
+    kept = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double"
+    scored = map_rows(described.drop("words", "times"), sum_up, kept)
+    rest = described.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rest = (
         rest.join(others, "word")
         .groupBy("row")
@@ -390,7 +451,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     )
     known = F.col("known") + F.coalesce("more_known", F.lit(0))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return scored.drop("words", "times").join(rest, "row", "left").select(
+    return scored.join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

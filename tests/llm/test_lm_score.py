@@ -107,3 +107,11 @@ def test_exact_counts():
     found = exact.find(keys)
     assert (found[::2] == np.arange(len(keys[::2]))).all() and (found[1::2] == -1).all()
     assert (Exact(keys[:0], np.empty(0)).find(keys) == -1).all()
+
+
+def test_filters_above_the_size_of_a_slice_lose_no_ngram(make, odd):
+    docs = make(odd + [(20 + i, f"The cat sat on the mat number {i} and {i * i} while w{i % 17} ran " * (i % 4 + 1)) for i in range(200)])
+    want = {(r["doc_id"], r["n_tokens"], r["base_score"], r["score"]) for r in score(docs, rules=Rules(unigram_bits=24, bigram_bits=24)).collect()}
+    for one, two in ((10, 10), (24, 10), (10, 24)):
+        rules = Rules(unigram_bits=one, bigram_bits=two, lookup_bytes=3000)
+        assert {(r["doc_id"], r["n_tokens"], r["base_score"], r["score"]) for r in score(docs, rules=rules).collect()} == want
