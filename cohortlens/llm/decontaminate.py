@@ -1,13 +1,16 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
-Words are taken from whole texts, stripped of punctuation and lower-cased. A word with a digit at its start is a number slot, a word of UNITS
+Words are taken from whole texts, stripped of punctuation and lower-cased. A word with a digit at its start or of NUMBERS is a number slot, a word of UNITS
 a unit slot (5kg counts as both), a capitalised word inside a sentence a name slot. Every run of `width` words gives
-two template windows, one with names as slots and one with names as words, so that copies in one case are met, too. Windows with
+two template windows, one with names as slots and one with names as words, so that copies in one case are met, too. A run with a
+capitalised word at the start of a sentence gives a third, wide one, in which that is a name slot as well. Windows with
 fewer than `literals` plain words say nothing and are left out; an item shorter than `width` is one window of its own length.
 
 Windows of documents are joined with those of items by hash. A match has a diagonal, its place in the document minus that in the
 item. On one diagonal each slot value of the item must stand for one value in the document: 3 may become 7, but everywhere. Windows
-of diagonals that break this don't count. A document is contaminated by an item if it matches at least `coverage` of the item's
+of diagonals that break this don't count. Wide windows must agree with all windows of their diagonal; the others are judged
+without them, too, so that a sentence that starts otherwise costs no other window. Sentences of one pattern look alike in wide
+windows, so a wide window of the document counts on one diagonal only, that with the most matches. A document is contaminated by an item if it matches at least `coverage` of the item's
 windows.
 
 Before the join, windows are looked up in a bit table of fixed size that the items' windows set: what is broadcast doesn't grow
@@ -37,6 +40,12 @@ UNITS = (
     "cent cents dollar dollars euro euros usd eur gbp percent % ° °c °f meter meters metre metres kilometer kilometers kilometre "
     "kilometres centimeter centimeters centimetre centimetres hz khz mhz w kw mw v kv a j kj n pa kpa mol k"
 )
+#: Fixed list: spelled-out numbers, also joined by hyphens.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+)
+_NUMBERS = frozenset(NUMBERS.encode().split())
 _UNITS = frozenset(UNITS.encode().split())
 #: Bits of the table of item windows: 4 MB.
 TABLE_BITS = 25
@@ -71,7 +80,7 @@ class _Words(dict):
         kind = _ENDS if word.endswith(_SENTENCE) else 0
         if not bare:
             kind |= _SKIP
-        elif bare[:1].isdigit():
+        elif bare[:1].isdigit() or _NUMBERS.issuperset(bare.split(b"-")):
             kind |= _NUMBER
         elif bare in _UNITS:
             kind |= _UNIT
@@ -104,8 +113,8 @@ def forget() -> None:
     _known.clear()
 
 
-def windows(data: bytes, widths: list[int], rules: Rules) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], int]]:
-    """For each width and variant: (hashes, starts among the words, slot mask of all words, words, width)."""
+def windows(data: bytes, widths: list[int], rules: Rules) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], int, bool]]:
+    """For each width and variant: (hashes, starts among the words, slot mask of all words, words, width, whether they are wide)."""
     if not _known:
         _known.append(_Words())
     words = _GLUED.sub(b" ", data).split()
@@ -118,21 +127,27 @@ def windows(data: bytes, widths: list[int], rules: Rules) -> list[tuple[np.ndarr
     at = np.flatnonzero(stay)
     hashes, kinds, first = hashes[at], kinds[at], first[at]
     number, unit = (kinds & _NUMBER) > 0, (kinds & _UNIT) > 0
-    name = ((kinds & _CAPITAL) > 0) & ~first
+    capital = (kinds & _CAPITAL) > 0
+    name, opening = capital & ~first, capital & first
     base = np.where(number, _SLOT[0], np.where(unit, _SLOT[1], hashes))
+    kept = [words[i] for i in at] if len(at) < len(words) else words
     out = []
-    for named in (True, False):
-        if named and not name.any():
-            continue  # both variants are the same
-        value = np.where(name, _SLOT[2], base) if named else base
-        slots = number | unit | name if named else number | unit
+    for names, wide in ((name, False), (capital, True), (None, False)):
+        if names is not None and not (opening if wide else names).any():
+            continue  # the same as another variant
+        value = base if names is None else np.where(names, _SLOT[2], base)
+        slots = number | unit if names is None else number | unit | names
         before = np.concatenate([[0], np.cumsum(~slots)])
+        opened = np.concatenate([[0], np.cumsum(opening)])
         for width in widths:
             n = len(value) - width + 1
             if n > 0:
                 rolled = roll(value, width)
-                good = np.flatnonzero(before[width:] - before[:n] >= min(rules.literals, width))
-                out.append((rolled[good], good, slots, [words[i] for i in at] if len(at) < len(words) else words, width))
+                good = before[width:] - before[:n] >= min(rules.literals, width)
+                if wide:
+                    good &= opened[width:] > opened[:n]
+                good = np.flatnonzero(good)
+                out.append((rolled[good], good, slots, kept, width, wide))
     return out
 
 
@@ -141,7 +156,7 @@ def _slot_values(words: list[bytes], slots: np.ndarray, start: int, width: int)
 
 
 def item_windows(items: DataFrame, rules: Rules, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, window, width, item_at, item_slots, n_windows)."""
+    """(item_id, window, width, item_at, item_slots, n_windows, item_wide)."""
     rows = columns_of(items, id_col, text_col).where("doc_id IS NOT NULL")
 
     def run(batches):
@@ -152,21 +167,23 @@ def item_windows(items: DataFrame, rules: Rules, id_col: str = "item_id", text_c
                 width = min(rules.width, n_words)
                 found = windows(data, [width], rules) if width else []
                 n = len({int(i) for _, starts, *_ in found for i in starts})
-                for hashes, starts, slots, words, _ in found:
+                for hashes, starts, slots, words, _, wide in found:
                     for h, i in zip(hashes.view(np.int64).tolist(), starts.tolist(), strict=True):
-                        out.append((item, h, width, i, _slot_values(words, slots, i, width), n))
-            yield _rows(out, ["item_id", "window", "width", "item_at", "item_slots", "n_windows"], 4)
+                        out.append((item, h, width, i, _slot_values(words, slots, i, width), n, wide))
+            yield _rows(out, ["item_id", "window", "width", "item_at", "item_slots", "n_windows", "item_wide"], 4)
 
-    return map_rows(rows, run, "item_id long, window long, width long, item_at long, item_slots array<string>, n_windows long", forget)
+    schema = "item_id long, window long, width long, item_at long, item_slots array<string>, n_windows long, item_wide boolean"
+    return map_rows(rows, run, schema, forget)
 
 
 def _rows(out: list[tuple], names: list[str], text_at: int) -> pa.RecordBatch:
-    cols = [pa.array([r[i] for r in out], pa.list_(pa.string()) if i == text_at else pa.int64()) for i in range(len(names))]
+    kinds = {text_at: pa.list_(pa.string()), len(names) - 1: pa.bool_()}
+    cols = [pa.array([r[i] for r in out], kinds.get(i, pa.int64())) for i in range(len(names))]
     return pa.RecordBatch.from_arrays(cols, names)
 
 
 def doc_windows(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
-    """(doc_id, window, doc_at, doc_slots) of documents, only those whose bit an item set. items: from item_windows."""
+    """(doc_id, window, doc_at, doc_slots, doc_wide) of documents, only those whose bit an item set. items: from item_windows."""
     table = bit_table(items.select(F.pmod("window", F.lit(1 << TABLE_BITS))), TABLE_BITS)
     # As many as `width` different ones at most.
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
@@ -178,15 +195,16 @@ def doc_windows(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
         for batch in batches:
             out = []
             for doc, data in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                for hashes, starts, slots, words, width in windows(data, widths, rules):
+                for hashes, starts, slots, words, width, wide in windows(data, widths, rules):
                     bits = (hashes & mask).astype(np.int64)
                     hit = np.flatnonzero(is_set(table, bits))
                     for k in hit.tolist():
                         i = int(starts[k])
-                        out.append((doc, int(hashes[k].astype(np.int64)), i, _slot_values(words, slots, i, width)))
-            yield _rows(out, ["doc_id", "window", "doc_at", "doc_slots"], 3)
+                        out.append((doc, int(hashes[k].astype(np.int64)), i, _slot_values(words, slots, i, width), wide))
+            yield _rows(out, ["doc_id", "window", "doc_at", "doc_slots", "doc_wide"], 3)
 
-    return map_rows(docs.where("doc_id IS NOT NULL"), run, "doc_id long, window long, doc_at long, doc_slots array<string>", forget)
+    schema = "doc_id long, window long, doc_at long, doc_slots array<string>, doc_wide boolean"
+    return map_rows(docs.where("doc_id IS NOT NULL"), run, schema, forget)
 
 
 def consistent_windows(matches: list[dict]) -> set[int]:
@@ -195,12 +213,18 @@ def consistent_windows(matches: list[dict]) -> set[int]:
     for m in matches:
         diagonals.setdefault(m["doc_at"] - m["item_at"], []).append(m)
     out: set[int] = set()
-    for group in diagonals.values():
-        means: dict[str, set] = {}
-        for m in group:
-            for a, b in zip(m["item_slots"], m["doc_slots"], strict=False):
-                means.setdefault(a, set()).add(b)
-        out |= {m["item_at"] for m in group if all(len(means[a]) == 1 for a in m["item_slots"])}
+    taken: set[int] = set()
+    for group in sorted(diagonals.values(), key=lambda g: (-len({m["item_at"] for m in g}), g[0]["doc_at"] - g[0]["item_at"])):
+        plain_ones = [m for m in group if not m.get("wide")]
+        for some in [group] if len(plain_ones) == len(group) else [plain_ones, group]:
+            means: dict[str, set] = {}
+            for m in some:
+                for a, b in zip(m["item_slots"], m["doc_slots"], strict=False):
+                    means.setdefault(a, set()).add(b)
+            good = [m for m in some if all(len(means[a]) == 1 for a in m["item_slots"])]
+            # Sentences of one pattern look alike in wide windows: one of the document counts for one diagonal.
+            out |= {m["item_at"] for m in good if not m.get("wide") or m["doc_at"] not in taken}
+        taken |= {m["doc_at"] for m in group if m.get("wide") and m["item_at"] in out}
     return out
 
 
@@ -213,10 +237,11 @@ def contaminated(
     """
     known = stage(item_windows(items, rules, item_col, item_text), "item-windows")
     hits = doc_windows(columns_of(docs, id_col, text_col), known, rules)
+    wide = (F.col("doc_wide") | F.col("item_wide")).alias("wide")
     pairs = (
         hits.join(known, "window")
         .groupBy("doc_id", "item_id")
-        .agg(F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("doc_at", "item_at", "doc_slots", "item_slots")).alias("matches"))
+        .agg(F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("doc_at", "item_at", "doc_slots", "item_slots", wide)).alias("matches"))
     )
 
     def judge(batches):

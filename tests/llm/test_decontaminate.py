@@ -71,3 +71,14 @@ def test_planted_items_of_the_tables(spark):
     want = {(d, r["item_id"]) for r in items.collect() for d, t in texts.items() if r["text"] in t}
     found = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()}
     assert want <= found
+
+
+def test_names_at_the_start_of_each_sentence(spark, make):
+    item = "Tom has 3 pens. Ann has 4 pens. Sue has 5 pens. Who has the most pens?"
+    renamed = "Jim has 6 pens. Eva has 8 pens. Kay has 9 pens. Who has the most pens?"
+    spelled = "Jim has six pens. Eva has eight pens. Kay has twenty-one pens. Who has the most pens?"
+    mixed = "Jim has 6 pens. Eva has 6 cups. The 2 of us have 9 pens. Who has the most cups?"
+    docs = [(i, filler(i) + ". " + x + " " + filler(10 + i)) for i, x in enumerate((item, renamed, spelled, mixed, OTHER))]
+    found = run(spark, make, docs, [(10, item)])
+    assert set(found) == {(0, 10), (1, 10), (2, 10)}
+    assert found[(1, 10)]["reparameterised"] and found[(1, 10)]["n_matched"] == found[(1, 10)]["n_windows"]
