@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import CENTROIDS, DIMS, ROUNDS, SCALE
 from .quality_rules import ENDS, PHRASES, Rules as QualityRules
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -110,4 +111,45 @@ SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, least(k.doc_id, coalesce(m.c
 FROM k LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = k.doc_id
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1, "op7_warc": OP7, "op9_line_dedup": OP9, "op10_quality_rules": OP10}
+#: Rounds of op12, one set of relations each; integers only, so that no order of summation matters.
+_NEAR = """
+{a} AS MATERIALIZED (
+  SELECT key, arg_min(cluster, ROW(distance, cluster)) AS cluster, min(distance) AS distance FROM (
+    SELECT x.key, c.cluster, CAST(sum((x.v - c.v) * (x.v - c.v)) AS BIGINT) AS distance
+    FROM x JOIN {c} c ON c.d = x.d GROUP BY x.key, c.cluster
+  ) GROUP BY key
+)"""
+_MOVED = """
+{m} AS MATERIALIZED (
+  SELECT c.cluster, c.d, CASE WHEN n IS NULL THEN c.v ELSE (s - ((s % n) + n) % n) // n END AS v
+  FROM {c} c LEFT JOIN (
+    SELECT a.cluster, x.d, CAST(sum(x.v) AS BIGINT) AS s, count(*) AS n FROM x JOIN {a} a ON a.key = x.key GROUP BY a.cluster, x.d
+  ) t ON t.cluster = c.cluster AND t.d = c.d
+)"""
+_ROUNDS = ",".join(_NEAR.format(a=f"a{r}", c=f"c{r}") + "," + _MOVED.format(m=f"c{r + 1}", c=f"c{r}", a=f"a{r}") for r in range(ROUNDS))
+
+OP12 = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS key, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {DIMS}
+), x AS MATERIALIZED (
+  SELECT key, d, CAST(floor({SCALE} * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS v FROM k, range(1, {DIMS + 1}) r(d)
+), f AS (
+  SELECT key, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM k ORDER BY cluster LIMIT {CENTROIDS}
+), c0 AS MATERIALIZED (
+  SELECT f.cluster, x.d, x.v FROM f JOIN x ON x.key = f.key
+),{_ROUNDS},{_NEAR.format(a='z', c=f'c{ROUNDS}')}, h AS (
+  SELECT cluster, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY cluster
+)
+SELECT k.vec_id, CAST(z.cluster AS INTEGER) AS cluster, z.distance, CAST(sum(z.distance) OVER (PARTITION BY z.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(z.distance) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM z JOIN k ON k.key = z.key JOIN h ON h.cluster = z.cluster
+"""
+
+ORACLES = {
+    "op1_minhash_near_dedup": OP1,
+    "op7_warc": OP7,
+    "op9_line_dedup": OP9,
+    "op10_quality_rules": OP10,
+    "op12_centroid_clusters": OP12,
+}

@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator over its whole table, with the digest columns its result is compared by."""
+"""The queries opN: each operator over its whole table, with the digest columns its result is compared by."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, lm_score, minhash, quality_rules, repeats, sentencepiece_codec, token_counts, token_files, warc
+from . import centroids, decontaminate, line_dedup, lm_score, minhash, quality_rules, repeats, sentencepiece_codec, token_counts, token_files, warc
 from .common import read_table
 from .oracles import ORACLES
 from ..session import scratch_path
@@ -76,6 +76,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.clean(read_table(spark, folder, "documents")).drop("text")
 
 
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontaminate,
         op9_line_dedup,
         op10_quality_rules,
+        op12_centroid_clusters,
         pipeline,
     )
 }
