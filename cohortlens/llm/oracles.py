@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .centroids import CENTROIDS, DIMS, ROUNDS, SCALE
 from .quality_rules import ENDS, PHRASES, Rules as QualityRules
+from .ranked_search import TOP
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -146,10 +147,40 @@ SELECT k.vec_id, CAST(z.cluster AS INTEGER) AS cluster, z.distance, CAST(sum(z.d
 FROM z JOIN k ON k.key = z.key JOIN h ON h.cluster = z.cluster
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""
+WITH t AS MATERIALIZED (
+  SELECT doc_id, term, count(*) AS tf FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM documents
+  ) GROUP BY doc_id, term
+), d AS MATERIALIZED (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY doc_id
+), s AS MATERIALIZED (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d
+), q AS MATERIALIZED (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), w AS MATERIALIZED (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM t, s WHERE term IN (SELECT term FROM q) GROUP BY term
+), p AS (
+  SELECT t.doc_id, t.term, w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (100 - 75 + (75 * d.n * s.docs) // s.terms))) AS impact
+  FROM t JOIN w ON w.term = t.term JOIN d ON d.doc_id = t.doc_id, s
+), r AS (
+  SELECT q.item_id, p.doc_id, CAST(sum(q.times * p.impact) AS BIGINT) AS score FROM q JOIN p ON p.term = q.term GROUP BY q.item_id, p.doc_id
+), o AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= {TOP}
+"""
+
 ORACLES = {
     "op1_minhash_near_dedup": OP1,
     "op7_warc": OP7,
     "op9_line_dedup": OP9,
     "op10_quality_rules": OP10,
+    "op11_ranked_search": OP11,
     "op12_centroid_clusters": OP12,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, decontaminate, line_dedup, lm_score, minhash, quality_rules, repeats, sentencepiece_codec, token_counts, token_files, warc
+from . import centroids, decontaminate, line_dedup, lm_score, minhash, quality_rules, ranked_search, repeats, sentencepiece_codec, token_counts, token_files, warc
 from .common import read_table
 from .oracles import ORACLES
 from ..session import scratch_path
@@ -76,6 +76,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.clean(read_table(spark, folder, "documents")).drop("text")
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(read_table(spark, folder, "embeddings"))
 
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontaminate,
         op9_line_dedup,
         op10_quality_rules,
+        op11_ranked_search,
         op12_centroid_clusters,
         pipeline,
     )
