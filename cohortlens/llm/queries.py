@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, decontaminate, line_dedup, lm_score, minhash, quality_rules, ranked_search, repeats, sentencepiece_codec, token_counts, token_files, warc
+from . import centroids, decontaminate, line_dedup, lm_score, minhash, quality_rules, quality_trees, ranked_search, repeats, sentencepiece_codec, token_counts, token_files, warc
 from .common import read_table
 from .oracles import ORACLES
 from ..session import scratch_path
@@ -84,6 +84,10 @@ def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(read_table(spark, folder, "embeddings"))
 
 
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_trees.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_rules,
         op11_ranked_search,
         op12_centroid_clusters,
+        op13_quality_classifier,
         pipeline,
     )
 }
