@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from ..functions import text, vocabulary as v
-from ..operators import quality
+from ..operators import quality, verification
 from ..plans import ingest
+from ..session import occupy, stage
 from .tables import payments, query, shared
 
 NBSP = "\u00a0"
@@ -52,9 +55,9 @@ def _raw_exprs(kind: str):
     return [(n, e.format(text=kind, nbsp=NBSP)) for n, e in RAW_COLUMNS]
 
 
-def raw_rows(t):
+def raw_rows(t, dealt: bool = False):
     """Source-like string rows, one per line item, with every kind of dirt the rules must catch."""
-    base = t.lineitem.select(
+    base = (occupy(t.lineitem) if dealt else t.lineitem).select(
         F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("ln"),
         F.col("l_returnflag").alias("f"), F.month("l_shipdate").alias("mo"), F.day("l_shipdate").alias("dy"),
     )
@@ -156,12 +159,18 @@ def normalized(t):
 
 @shared
 def first_pass(t):
-    """Rows normalised and judged once and written; everything below reads columns of that copy."""
-    return ingest.judge_and_stage(raw_rows(t), "lineitem_2024")
+    """Source rows written once, as a source would be, then normalised, judged and written by verdict."""
+    return ingest.judge_and_stage(stage(raw_rows(t, dealt=True), "source-rows"), "lineitem_2024")
+
+
+@shared
+def parted(t):
+    return quality.part_duplicates(first_pass(t).passing)
 
 
 def judged(t):
-    return quality.quarantine_duplicates(first_pass(t))
+    unique, copies = parted(t)
+    return unique.unionByName(copies).unionByName(first_pass(t).failing)
 
 
 # ------------------------------------------------------------------------------------------------- normalisation
@@ -327,13 +336,12 @@ def _(t):
 
 @query("q11_all_failures_per_row", f"WITH {JUDGED_SQL} SELECT source_row_index, transaction_id, cat1 AS error_category, msg1 AS validation_error, fld1 AS offending_fields FROM judged1 WHERE cat1 IS NOT NULL")
 def _(t):
-    rows = first_pass(t).where(F.col("error_category").isNotNull())
-    return rows.select("source_row_index", "transaction_id", "error_category", "validation_error", F.array_join("offending_fields", ",").alias("offending_fields"))
+    return first_pass(t).failing.select("source_row_index", "transaction_id", "error_category", "validation_error", F.array_join("offending_fields", ",").alias("offending_fields"))
 
 
 @query("q12_duplicate_quarantine", f"WITH {JUDGED_SQL} SELECT source_row_index, transaction_id, validation_error FROM judged WHERE error_category = 'DUPLICATE_ID'")
 def _(t):
-    return judged(t).where("error_category = 'DUPLICATE_ID'").select("source_row_index", "transaction_id", "validation_error")
+    return parted(t)[1].select("source_row_index", "transaction_id", "validation_error")
 
 
 @query(
@@ -341,16 +349,13 @@ def _(t):
     f"""WITH {JUDGED_SQL} SELECT error_category IS NULL AS valid, count(*) AS rows, CAST(sum(amount) FILTER (error_category IS NULL) AS DOUBLE) AS amount FROM judged GROUP BY 1""",
 )
 def _(t):
-    valid, rejected = quality.split_rows(judged(t))
-    both = valid.select(F.lit(True).alias("valid"), "amount").unionByName(
-        rejected.select(F.lit(False).alias("valid"), F.lit(None).cast("decimal(12,2)").alias("amount"))
-    )
-    return both.groupBy("valid").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast("double").alias("amount"))
+    passed = F.col("error_category").isNull()
+    return judged(t).groupBy(passed.alias("valid")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(passed, F.col("amount"))).cast("double").alias("amount"))
 
 
 @query("q14_reject_summary", f"WITH {JUDGED_SQL} SELECT error_category, count(*) AS rows FROM judged WHERE error_category IS NOT NULL GROUP BY 1")
 def _(t):
-    _, rejected = quality.split_rows(judged(t))
+    rejected = first_pass(t).failing.unionByName(parted(t)[1])
     return rejected.groupBy("error_category").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -367,11 +372,19 @@ def _(t):
     "q16_count_invariants",
     f"""WITH {NORM_SQL} SELECT 'p2p_with_category' AS "check", count(*) FILTER (payment_method = 'P2P' AND merchant_category IS NOT NULL) AS broken FROM norm
 UNION ALL SELECT 'category_missing', count(*) FILTER (payment_method <> 'P2P' AND merchant_category IS NULL) FROM norm
-UNION ALL SELECT 'alias_mismatch', 0 FROM (SELECT 1) UNION ALL SELECT 'flagged', count(*) FILTER (fraud_flag) FROM norm
-UNION ALL SELECT 'missing_lineage', count(*) FILTER (source_row_index IS NULL) FROM norm UNION ALL SELECT 'wrong_dataset', 0 FROM (SELECT 1)""",
+UNION ALL SELECT 'alias_mismatch', count(*) FILTER (CASE WHEN source_row_index % 401 = 0 THEN upper(payment_method) ELSE payment_method END IS DISTINCT FROM payment_method) FROM norm
+UNION ALL SELECT 'flagged', count(*) FILTER (fraud_flag) FROM norm
+UNION ALL SELECT 'missing_lineage', count(*) FILTER (source_row_index % 601 = 0) FROM norm
+UNION ALL SELECT 'wrong_dataset', count(*) FILTER (CASE WHEN source_row_index % 307 = 0 THEN 'other' WHEN source_row_index % 509 <> 0 THEN 'lineitem_2024' END IS DISTINCT FROM 'lineitem_2024') FROM norm""",
 )
 def _(t):
-    c = F.col
+    """Over rows some of which were damaged after normalisation: an alias in capitals, another dataset or none, no position."""
+    c, at = F.col, F.col("source_row_index")
+    rows = normalized(t).withColumns({
+        "transaction_type": F.when(at % 401 == 0, F.upper("transaction_type")).otherwise(c("transaction_type")),
+        "source_dataset": F.when(at % 307 == 0, "other").when(at % 509 != 0, c("source_dataset")),
+        "source_row_index": F.when(at % 601 != 0, at),
+    })
     checks = {
         "p2p_with_category": (c("payment_method") == "P2P") & c("merchant_category").isNotNull(),
         "category_missing": (c("payment_method") != "P2P") & c("merchant_category").isNull(),
@@ -380,7 +393,7 @@ def _(t):
         "missing_lineage": c("source_row_index").isNull(),
         "wrong_dataset": ~c("source_dataset").eqNullSafe(F.lit("lineitem_2024")),
     }
-    return quality.check_rows(normalized(t), checks).select("check", "broken")
+    return quality.check_rows(rows, checks).select("check", "broken")
 
 
 @query(
@@ -420,9 +433,8 @@ def _(t):
 
 @query("q20_foreign_key_orphans", f"WITH {NORM_SQL} SELECT count(*) AS orphans FROM norm WHERE sender_bank IS NULL OR receiver_bank IS NULL OR sender_bank NOT IN {_in(v.BANKS)} OR receiver_bank NOT IN {_in(v.BANKS)}")
 def _(t):
-    rows = normalized(t)
-    known = rows.where(F.col("sender_bank").isin(*v.BANKS)).select(F.col("sender_bank").alias("bank"))
-    return quality.orphan_count(rows, ["sender_bank", "receiver_bank"], known, "bank")
+    universe = t.spark.createDataFrame([(b,) for b in v.BANKS], "bank string")
+    return quality.orphan_count(normalized(t), ["sender_bank", "receiver_bank"], universe, "bank")
 
 
 @query("q21_duplicate_surplus", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate HAVING count(*) > 1)")
@@ -449,18 +461,60 @@ def _(t):
     return one.withColumn("passed", (F.col("lowest") >= 0) & (F.col("highest") <= 600000))
 
 
+_Q24_ROWS = [
+    # name, type, expected, actual (SQL aggregate or None where skipped), detail of a failure (SQL aggregate) or the reason of the skip
+    ("keys_distinct", "integer", "'0'", "(count(*) - count(DISTINCT l_orderkey))", "''"),
+    ("amount_positive", "integer", "'0'", "count(*) FILTER (NOT l_extendedprice > 0)", "''"),
+    ("line_in_range", "integer", "'0'", "count(*) FILTER (NOT l_linenumber BETWEEN 1 AND 6)", "'for example ' || min(l_orderkey) FILTER (NOT l_linenumber BETWEEN 1 AND 6)"),
+    ("flag_counts", "text", "'A=1,N=2,R=3,*=0'",
+     "'A=' || count(*) FILTER (l_returnflag = 'A') || ',N=' || count(*) FILTER (l_returnflag = 'N') || ',R=' || count(*) FILTER (l_returnflag = 'R') || ',*=' || count(*) FILTER (coalesce(l_returnflag NOT IN ('A', 'N', 'R'), true))", "''"),
+    ("line_bounds", "text", "'1..7'", "min(l_linenumber) || '..' || max(l_linenumber)", "''"),
+    ("has_returns", "boolean", "'true'", "(count(*) FILTER (l_returnflag = 'R') > 0)", "''"),
+    ("known_total", "decimal", "'0.00'", None, "'the content is not the audited file'"),
+]
+
+
+def _q24_sql() -> str:
+    parts = []
+    for i, (name, kind, expected, actual, detail) in enumerate(_Q24_ROWS):
+        head = f"SELECT {i + 1} AS position, '{name}' AS name"
+        if actual is None:
+            parts.append(f"{head}, 'SKIPPED' AS state, '{kind}' AS value_type, {expected} AS expected, NULL::VARCHAR AS actual, {detail} AS detail")
+            continue
+        shown = f"CAST({actual} AS VARCHAR)"
+        same = f"{shown} = {expected}"
+        parts.append(
+            f"{head}, CASE WHEN {same} THEN 'PASSED' ELSE 'FAILED' END AS state, '{kind}' AS value_type, {expected} AS expected, {shown} AS actual, "
+            f"CASE WHEN {same} THEN '' ELSE coalesce({detail}, '') END AS detail FROM lineitem"
+        )
+    return "\nUNION ALL ".join(parts)
+
+
+def line_item_checks():
+    c = F.col
+    return [
+        verification.all_distinct("keys_distinct", "l_orderkey"),
+        verification.none_of("amount_positive", ~(c("l_extendedprice") > 0)),
+        verification.none_of("line_in_range", ~c("l_linenumber").between(1, 6), c("l_orderkey")),
+        verification.value_counts("flag_counts", c("l_returnflag"), {"A": 1, "N": 2, "R": 3}),
+        verification.bounds("line_bounds", c("l_linenumber"), 1, 7),
+        verification.Check("has_returns", F.count_if(c("l_returnflag") == "R") > 0, True),
+        verification.Check("known_total", F.sum(c("l_extendedprice").cast("decimal(14,2)")), Decimal("0.00"), skipped="the content is not the audited file"),
+    ]
+
+
+@query("q24_verification_report", _q24_sql())
+def _(t):
+    return verification.verify(t.lineitem, line_item_checks())
+
+
 @query(
-    "q24_verification_report",
-    """WITH c AS (SELECT 'a' AS n, count(*) FILTER (NOT l_extendedprice > 0) = 0 AS passed, true AS applies FROM lineitem
-UNION ALL SELECT 'b', count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'R')) = 0, true FROM lineitem UNION ALL SELECT 'c', count(*) FILTER (l_linenumber > 3) = 0, false FROM lineitem)
-SELECT count(*) FILTER (applies) AS checked, count(*) FILTER (NOT applies) AS skipped, bool_and(passed) FILTER (applies) AS passed FROM c""",
+    "q24_verification_verdict",
+    f"""WITH r AS ({_q24_sql()}) SELECT count(*) FILTER (state <> 'SKIPPED') AS checked, count(*) FILTER (state = 'FAILED') AS failed, count(*) FILTER (state = 'SKIPPED') AS skipped,
+  count(*) FILTER (state = 'FAILED') = 0 AS passed, coalesce(string_agg(name, ', ' ORDER BY position) FILTER (state = 'FAILED'), '') AS failures FROM r""",
 )
 def _(t):
-    c = F.col
-    checks = quality.check_rows(t.lineitem, {
-        "amount_positive": ~(c("l_extendedprice") > 0), "flag_vocabulary": ~c("l_returnflag").isin("A", "N", "R"), "dataset_specific": c("l_linenumber") > 3,
-    })
-    return quality.report(checks, F.col("check") != "dataset_specific")
+    return verification.overall(verification.verify(t.lineitem, line_item_checks()))
 
 
 @query(

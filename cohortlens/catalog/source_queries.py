@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import hashing
-from ..operators import fingerprint, quality
-from ..session import scratch_path
-from ..sources import files, publish
-from .quality_queries import JUDGED_SQL, judged
-from .tables import FACT_SQL, payments, query
+from ..operators import fingerprint
+from ..plans import ingest
+from ..session import scratch_path, stage
+from ..sources import files, publish, versions
+from .quality_queries import JUDGED_SQL, first_pass, judged, parted, raw_rows
+from .tables import FACT_SQL, payments, query, shared
 from .metric_queries import ASSIGNED_SQL, assigned
 
 
@@ -86,34 +87,64 @@ def _(t):
     return t.spark.read.schema("o_orderstatus string, n bigint").json(path)
 
 
-def _table_files(t):
-    """Every page as one file: its id as the name, its html as the content."""
-    return files.content_fingerprints(t.pages.select(F.col("page_id").cast("string").alias("name"), F.encode("html", "UTF-8").alias("content")))
+#: Pages are written as so many files, in order of their ids, a newline after each.
+_PAGE_FILES = 16
 
 
-_FILES_SQL = """files AS (SELECT page_id::VARCHAR AS name, CAST(octet_length(encode(html)) AS BIGINT) AS length, sha256(html) AS sha256,
-  CASE WHEN html = '' THEN 'EMPTY' ELSE 'OK' END AS state FROM pages)"""
+@shared
+def _page_files(t) -> str:
+    path = scratch_path(t.spark, "page-files")
+    dealt = t.pages.select((F.col("page_id") % _PAGE_FILES).alias("part"), "page_id", F.coalesce("html", F.lit("")).alias("value"))
+    # One task holds a whole file, so each file has one part.
+    ordered = dealt.repartition(_PAGE_FILES, "part").sortWithinPartitions("part", "page_id")
+    ordered.drop("page_id").write.partitionBy("part").text(path)
+    return path
+
+
+@shared
+def _fingerprints(t):
+    found = files.file_fingerprints(t.spark, _page_files(t))
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("int")
+    return stage(found.where(part.isNotNull() & ~F.col("name").startswith("_")).select(part.alias("part"), "length", "lines", "sha256", "state"), "fingerprints")
+
+
+def _files_sql() -> str:
+    levels, below = [], "l"
+    for i, children in enumerate([files.LEAF_LINES] + [files.FAN] * (files.LEVELS - 1)):
+        n = "count(*)" if i == 0 else "sum(n)"
+        levels.append(
+            f"t{i} AS (SELECT part, up AS place, CAST({n} AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY place)) AS d FROM (SELECT *, place // {children} AS up FROM {below}) GROUP BY part, up)"
+        )
+        below = f"t{i}"
+    return f"""w AS (SELECT CAST(page_id % {_PAGE_FILES} AS INTEGER) AS part, string_agg(coalesce(html, '') || chr(10), '' ORDER BY page_id) AS content FROM pages GROUP BY 1),
+l AS (SELECT part, u.pos - 1 AS place, sha256(u.line) AS d FROM w, LATERAL (SELECT unnest(string_split(left(content, length(content) - 1), chr(10))) AS line, generate_subscripts(string_split(left(content, length(content) - 1), chr(10)), 1) AS pos) u),
+{", ".join(levels)},
+files AS (SELECT w.part, CAST(octet_length(encode(w.content)) AS BIGINT) AS length, {below}.n AS lines,
+  sha256(octet_length(encode(w.content)) || ':' || {below}.n || ':' || {below}.d) AS sha256, 'OK' AS state FROM w JOIN {below} ON {below}.part = w.part)"""
+
+
+_FILES_SQL = _files_sql()
 _REGISTRY_SQL = """registry AS (SELECT DISTINCT sha256, sha256 AS dataset, CASE WHEN substr(sha256, 1, 1) IN ('c', 'd') THEN '0.9.0' ELSE '1.0.0' END AS version
   FROM files WHERE substr(sha256, 1, 1) < 'e')"""
 
 
-@query("s07_file_fingerprints", f"WITH {_FILES_SQL} SELECT name, length, sha256, state FROM files")
+@query("s07_file_fingerprints", f"WITH {_FILES_SQL} SELECT part, length, lines, sha256, state FROM files")
 def _(t):
-    return _table_files(t).select("name", "length", "sha256", "state")
+    return _fingerprints(t)
 
 
 def _registry(t):
     """Most contents are registered under their hash, some of those with an older schema version."""
     lead = F.substring("sha256", 1, 1)
     version = F.when(lead.isin("c", "d"), "0.9.0").otherwise("1.0.0")
-    known = _table_files(t).where(lead < "e").select("sha256", F.col("sha256").alias("dataset_name"), version.alias("schema_version"))
+    known = _fingerprints(t).where(lead < "e").select("sha256", F.col("sha256").alias("dataset_name"), version.alias("schema_version"))
     return known.distinct()
 
 
-@query("s08_dataset_identity", f"""WITH {_FILES_SQL}, {_REGISTRY_SQL} SELECT name, dataset,
+@query("s08_dataset_identity", f"""WITH {_FILES_SQL}, {_REGISTRY_SQL} SELECT part, dataset,
   CASE WHEN dataset IS NULL THEN 'UNKNOWN' WHEN version <> '1.0.0' THEN 'SCHEMA_MISMATCH' ELSE 'RESOLVED' END AS identity FROM files LEFT JOIN registry USING (sha256)""")
 def _(t):
-    return publish.resolve_identity(_table_files(t), _registry(t), "1.0.0").select("name", "dataset", "identity")
+    return publish.resolve_identity(_fingerprints(t), _registry(t), "1.0.0").select("part", "dataset", "identity")
 
 
 @query(
@@ -137,25 +168,40 @@ def _(t):
     return publish.recent(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey")
 
 
-@query("s11_staged_before_publish", f"WITH {JUDGED_SQL} SELECT count(*) AS staged_rows, true AS passed FROM judged WHERE error_category IS NULL")
+@query(
+    "s11_staged_before_publish",
+    f"""WITH {JUDGED_SQL}, copies AS (SELECT 'as_read' AS copy, transaction_id FROM judged WHERE error_category IS NULL
+  UNION ALL SELECT 'with_repeats', transaction_id FROM judged WHERE error_category IS NULL UNION ALL SELECT 'with_repeats', transaction_id FROM judged WHERE error_category IS NULL AND source_row_index % 7 = 0
+  UNION ALL SELECT 'cut_short', transaction_id FROM judged WHERE error_category IS NULL AND source_row_index % 7 <> 0)
+SELECT copy, count(*) AS staged_rows, count(DISTINCT transaction_id) AS distinct_ids,
+  count(*) = (SELECT count(*) FROM judged WHERE error_category IS NULL) AND count(*) = count(DISTINCT transaction_id) AS passed FROM copies GROUP BY copy""",
+)
 def _(t):
-    valid, _ = quality.split_rows(judged(t))
-    return publish.stage_and_verify(valid, scratch_path(t.spark, "stage"), valid.count(), "transaction_id").select("staged_rows", "passed")
+    """The staged copy as it should be, one with rows twice, one with rows missing: only the first may be switched to."""
+    valid = judged(t).where(F.col("error_category").isNull()).select("transaction_id", "source_row_index")
+    seventh = F.col("source_row_index") % 7 == 0
+    copies = {"as_read": valid, "with_repeats": valid.unionByName(valid.where(seventh)), "cut_short": valid.where(~seventh)}
+    expected = first_pass(t).rows_read - first_pass(t).rows_failing - parted(t)[1].count()
+    checked = [publish.stage_and_verify(df, scratch_path(t.spark, "staging"), expected, "transaction_id").withColumn("copy", F.lit(n)) for n, df in copies.items()]
+    return reduce(lambda a, b: a.unionByName(b), checked)
 
 
 @query(
     "s12_atomic_replace",
-    """SELECT o_orderstatus AS source_dataset, count(*) AS rows, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS replaced FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_orderkey % 2 = 0) GROUP BY 1""",
+    """SELECT CASE m WHEN 3 THEN 'before' WHEN 4 THEN 'after' ELSE 'rolled_back' END AS moment, o_orderstatus AS source_dataset, count(*) AS rows, CAST(sum(CASE WHEN m = 4 AND o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS replaced
+FROM orders, (VALUES (3), (4), (5)) v(m) WHERE m <> 4 OR o_orderstatus <> 'F' OR o_orderkey % 2 = 0 GROUP BY 1, 2""",
 )
 def _(t):
+    """Three datasets, one of them replaced, and taken back: each manifest reads as one consistent state."""
     target = scratch_path(t.spark, "published")
     rows = t.orders.select("o_orderkey", F.lit(0).alias("version"), F.col("o_orderstatus").alias("source_dataset"))
     for name in ("F", "O", "P"):
-        publish.publish(rows.where(F.col("source_dataset") == name), target, name)
-    publish.publish(rows.where("source_dataset = 'F' AND o_orderkey % 2 = 0").withColumn("version", F.lit(1)), target, "F")
-    publish.publish(rows.where("1 = 0"), target, "P")
-    stored = t.spark.read.schema("o_orderkey bigint, version int, source_dataset string").parquet(target)
-    return stored.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("version").alias("replaced"))
+        versions.publish(rows.where(F.col("source_dataset") == name), target, name)
+    versions.publish(rows.where("source_dataset = 'F' AND o_orderkey % 2 = 0").withColumn("version", F.lit(1)), target, "F")
+    versions.rollback(t.spark, target, 3)
+    states = [versions.read(t.spark, target, n).withColumn("moment", F.lit(m)) for n, m in ((3, "before"), (4, "after"), (None, "rolled_back"))]
+    stored = reduce(lambda a, b: a.unionByName(b), states)
+    return stored.groupBy("moment", "source_dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("version").alias("replaced"))
 
 
 @query(
@@ -176,12 +222,57 @@ def _(t):
 
 @query(
     "s14_run_record",
-    f"WITH {JUDGED_SQL} SELECT 7 AS run_id, count(*) AS rows_read, count(*) FILTER (error_category IS NULL) AS rows_valid, count(*) FILTER (error_category IS NOT NULL) AS rows_rejected, true AS accounted FROM judged",
+    f"""WITH {JUDGED_SQL}, c AS (SELECT count(*) AS rows_read, count(*) FILTER (error_category IS NULL) AS rows_valid, count(*) FILTER (error_category IS NOT NULL) AS rows_rejected FROM judged)
+SELECT 7 AS run_id, *, rows_valid + rows_rejected = rows_read AS accounted FROM c""",
 )
 def _(t):
     return publish.run_record(judged(t), F.lit(7))
 
 
+@shared
+def _source_csv(t) -> dict[str, str]:
+    """The dirty rows as CSV files, once as they are and once without a required column."""
+    rows = raw_rows(t).drop("source_row_index")
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return {"whole": _written_csv(t, rows, "source", **keep), "cut": _written_csv(t, rows.drop("sender_bank"), "source-cut", **keep)}
+
+
+@query(
+    "s13_ingestion_runs",
+    f"""WITH {JUDGED_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (error_category IS NULL) AS v FROM judged)
+SELECT position, step, status, CASE WHEN loads THEN n ELSE rest END AS rows_read, CASE WHEN loads THEN v ELSE rest END AS rows_valid, CASE WHEN loads THEN n - v ELSE rest END AS rows_rejected,
+  prior, CASE WHEN position = 1 THEN 0 ELSE v END AS published
+FROM c, (VALUES (1, 'unregistered', 'REFUSED', false, NULL::BIGINT, NULL::INTEGER), (2, 'first', 'SUCCEEDED', true, NULL, NULL), (3, 'again', 'SKIPPED_IDEMPOTENT', false, 0, 2),
+  (4, 'forced', 'SUCCEEDED', true, NULL, 2), (5, 'drifted', 'REFUSED', false, NULL, NULL), (6, 'again', 'SKIPPED_IDEMPOTENT', false, 0, 4)) s(position, step, status, loads, rest, prior)""",
+)
+def _(t):
+    """The whole job over CSV files, six times: each run's ledger state, which earlier run it rests on, and the rows readers see after it."""
+    spark, sources, house = t.spark, _source_csv(t), ingest.Warehouse(scratch_path(t.spark, "warehouse"))
+    seen = []
+
+    def attempt(step: str, source: str, **how):
+        try:
+            ingest.run_ingestion(spark, source, house, **how)
+        except ingest.IngestionError:
+            pass  # the ledger has it
+        published = versions.manifest(spark, house.folder("facts")).datasets.get("payments")
+        seen.append((len(seen) + 1, step, published.rows if published else 0))
+
+    attempt("unregistered", sources["whole"])
+    house.register(spark, sources["whole"], "payments")
+    house.register(spark, sources["cut"], "payments_cut")
+    for step, source, how in (("first", "whole", {}), ("again", "whole", {}), ("forced", "whole", {"force": True}), ("drifted", "cut", {}), ("again", "whole", {})):
+        attempt(step, sources[source], **how)
+    # Run ids sort by time, so a run's place among them is its position; a handful of runs.
+    runs = house.ledger(spark).runs().drop("step").withColumn("position", F.row_number().over(Window.orderBy("run_id")))
+    steps = spark.createDataFrame(seen, "position int, step string, published long")
+    before = runs.select(F.col("run_id").alias("prior_run_id"), F.col("position").alias("prior"))
+    return (
+        runs.join(steps, "position").join(before, "prior_run_id", "left")
+        .select("position", "step", "status", "rows_read", "rows_valid", "rows_rejected", F.when(F.col("step") != "drifted", F.col("prior")).alias("prior"), "published")
+    )
+
+
 @query("s15_event_log", "SELECT event_type, CAST(2 * count(*) AS BIGINT) AS rows FROM events GROUP BY 1")
 def _(t):
     path = scratch_path(t.spark, "event-log")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions import text, vocabulary as v
 from ..functions.stats import binomial_error, rate
@@ -16,7 +16,7 @@ def normalize_rows(raw: DataFrame, dataset: str) -> DataFrame:
     """Source strings to canonical columns in one projection.
 
     `normalization_error` is NULL or the first field that cannot be converted, the payment method first and the
-    rest in field order; the raw row travels along as a map for the quarantine.
+    rest in field order; the raw row travels along as a struct, whose columns are only read for what is quarantined.
     """
     c = F.col
     method = text.clean_text(c("`transaction type`"))
@@ -34,8 +34,8 @@ def normalize_rows(raw: DataFrame, dataset: str) -> DataFrame:
         "receiver_bank": text.clean_text(c("receiver_bank")),
         "fraud_flag": text.flag(c("fraud_flag")),
     }
-    raw_map = F.create_map(*[x for n in v.SOURCE_COLUMNS if n in raw.columns for x in (F.lit(n), c(f"`{n}`"))])
-    rows = raw.select(*[e.alias(n) for n, e in fields.items()], "source_row_index", raw_map.alias("raw_record"))
+    raw_row = F.struct(*[c(f"`{n}`").alias(n) for n in v.SOURCE_COLUMNS if n in raw.columns])
+    rows = raw.select(*[e.alias(n) for n, e in fields.items()], "source_row_index", raw_row.alias("raw_record"))
     required = ["payment_method", "transaction_id", "timestamp", "amount", "status", "region", "device", "network",
                 "sender_bank", "receiver_bank", "fraud_flag"]
     error = F.coalesce(*[F.when(c(n).isNull(), F.lit(n)) for n in required])
@@ -96,8 +96,8 @@ def payment_rules() -> list[Rule]:
         Rule("MERCHANT", lit("row needs a category"), both, ~p2p & category.isNull()),
         Rule("MERCHANT", cat(lit("unknown category: "), shown("merchant_category")), ("merchant_category",),
              F.coalesce(~p2p & ~category.isin(*v.CATEGORIES), lit(False))),
-        Rule("PROVENANCE", lit("source_dataset is missing"), ("source_dataset",), F.coalesce(c("source_dataset") == "", lit(True))),
-        Rule("PROVENANCE", lit("source_row_index is missing"), ("source_row_index",), c("source_row_index").isNull()),
+        Rule("PROVENANCE", lit("row names no dataset"), ("source_dataset",), F.coalesce(c("source_dataset") == "", lit(True))),
+        Rule("PROVENANCE", lit("row has no position in its source"), ("source_row_index",), c("source_row_index").isNull()),
     ]
 
 
@@ -146,26 +146,60 @@ def judge_rows(normalized: DataFrame, rules: list[Rule] | None = None) -> DataFr
     )
 
 
-def quarantine_duplicates(judged: DataFrame, id_: str = "transaction_id") -> DataFrame:
-    """Mark every copy of an id that more than one passing row carries, with the count in the message.
+@dataclass(frozen=True)
+class Judged:
+    """One judged write: rows that passed the row rules and rows that failed them, as two folders, and the write's own counts."""
+
+    passing: DataFrame
+    failing: DataFrame
+    rows_read: int
+    rows_failing: int
+
+
+def write_judged(judged: DataFrame, path: str) -> Judged:
+    """Write judged rows once, to a folder by verdict. The write counts what it writes, so no pass is made for counters."""
+    seen = Observation()
+    failing = F.col("error_category").isNotNull()
+    counted = judged.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(failing).alias("failing"))
+    counted.withColumn("verdict", F.when(failing, "failing").otherwise("passing")).write.partitionBy("verdict").parquet(path)
+    spark, counts = judged.sparkSession, seen.get
+    stored = spark.read.schema(f"{_ddl(judged)}, verdict string").parquet(path)
+    sides = [stored.where(F.col("verdict") == x).drop("verdict") for x in ("passing", "failing")]
+    return Judged(*sides, counts["rows"], counts["failing"])
+
+
+def _ddl(df: DataFrame) -> str:
+    return df.schema.toDDL()
 
-    Counts come from a partial aggregation and only repeated ids survive it, so the join back carries few rows
-    and a hot id is never gathered in one task.
+
+def repeated_ids(passing: DataFrame, id_: str) -> DataFrame:
+    """(id, _copies) of ids on more than one row, from a partial aggregation over the id column alone."""
+    counted = passing.where(F.col(id_).isNotNull()).groupBy(id_).agg(F.count(F.lit(1)).alias("_copies"))
+    return stage(counted.where("_copies > 1"), "repeated-ids")
+
+
+def part_duplicates(passing: DataFrame, id_: str = "transaction_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is theirs alone, every copy of a repeated id marked with the count in the message).
+
+    Repeated ids are few or many, but one row each: Catalyst broadcasts them where their written size is small, and adaptive execution
+    splits a hot id otherwise. Rows without an id can't be copies.
     """
-    valid = F.col("error_category").isNull()
-    repeated = judged.where(valid).groupBy(id_).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    # Only passing rows with an id can be copies; all others, however many have no id, stay where they are.
-    asked = valid & F.col(id_).isNotNull()
-    joined = judged.where(asked).join(stage(repeated, "repeated-ids"), id_, "left").select(*judged.columns, "_copies")
-    joined = joined.unionByName(judged.where(~asked).withColumn("_copies", F.lit(None).cast("long")))
-    copied = F.col("_copies").isNotNull()
+    repeated = repeated_ids(passing, id_)
     text_ = F.format_string("transaction_id %s appears %d times", F.col(id_), F.col("_copies"))
-    return joined.select(
-        *[c for c in judged.columns if c not in ("error_category", "validation_error", "offending_fields")],
-        F.when(copied, "DUPLICATE_ID").otherwise(F.col("error_category")).alias("error_category"),
-        F.when(copied, text_).otherwise(F.col("validation_error")).alias("validation_error"),
-        F.when(copied, F.array(F.lit(id_))).otherwise(F.col("offending_fields")).alias("offending_fields"),
-    )
+    marks = {
+        "error_category": F.lit("DUPLICATE_ID"),
+        "validation_error": text_,
+        "offending_fields": F.array(F.lit(id_)),
+    }
+    copies = passing.join(repeated, id_).select(*[marks.get(c, F.col(c)).alias(c) for c in passing.columns])
+    return passing.join(repeated, id_, "left_anti"), copies
+
+
+def quarantine_duplicates(judged: DataFrame, id_: str = "transaction_id") -> DataFrame:
+    """Mark every copy of an id that more than one passing row carries, with the count in the message."""
+    valid = F.col("error_category").isNull()
+    unique, copies = part_duplicates(judged.where(valid), id_)
+    return unique.unionByName(copies).unionByName(judged.where(~valid))
 
 
 CANONICAL = (
@@ -174,13 +208,19 @@ CANONICAL = (
 )
 
 
+def quarantine_rows(failing: DataFrame) -> DataFrame:
+    """The quarantine's columns, with the raw row as a map: built here, for rows that failed, and nowhere else."""
+    names = failing.schema["raw_record"].dataType.names
+    payload = F.create_map(*[x for n in names for x in (F.lit(n), F.col("raw_record")[n])])
+    return failing.select(
+        "source_row_index", "transaction_id", "validation_error", "error_category", "offending_fields", payload.alias("raw_record")
+    )
+
+
 def split_rows(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid canonical rows, and the quarantine with its full raw payload."""
     valid = judged.where(F.col("error_category").isNull()).select(*CANONICAL)
-    rejected = judged.where(F.col("error_category").isNotNull()).select(
-        "source_row_index", "transaction_id", "validation_error", "error_category", "offending_fields", "raw_record"
-    )
-    return valid, rejected
+    return valid, quarantine_rows(judged.where(F.col("error_category").isNotNull()))
 
 
 # ------------------------------------------------------------------------------------------------ schema drift
@@ -305,13 +345,3 @@ def staleness(run: DataFrame) -> DataFrame:
         .otherwise("CURRENT")
     )
     return run.withColumn("state", state)
-
-
-def report(checks: DataFrame, applies: Column | None = None) -> DataFrame:
-    """Overall verdict of a check table; checks that do not apply are skipped explicitly, not passed."""
-    used = applies if applies is not None else F.lit(True)
-    return checks.agg(
-        F.count_if(used).alias("checked"),
-        F.count_if(~used).alias("skipped"),
-        F.coalesce(F.bool_and(F.when(used, F.col("passed"))), F.lit(True)).alias("passed"),
-    )

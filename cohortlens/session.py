@@ -38,6 +38,9 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # A write into a few folders keeps one open file each instead of sorting its rows by folder first.
+    if spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0":
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "4")
     return spark
 
 
@@ -77,3 +80,9 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Stage an aggregated table (metrics, candidates, verdicts) that several later steps read."""
     return stage(df)
+
+
+def occupy(df: DataFrame) -> DataFrame:
+    """A plain scan with fewer input splits than cores, such as one small or unsplittable file, dealt to all cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,9 +1,7 @@
-"""Dataset identity, idempotent runs, and publishing one dataset without touching the others."""
+"""Dataset identity, idempotent runs, checks of staged copies, views. `versions` switches what is published."""
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ranking import latest_per_key
@@ -59,25 +57,20 @@ def run_record(judged: DataFrame, run_id: Column) -> DataFrame:
     return counted.select(run_id.alias("run_id"), "*", (F.col("rows_valid") + F.col("rows_rejected") == F.col("rows_read")).alias("accounted"))
 
 
-def publish(staging: DataFrame, target: str, dataset: str, dataset_column: str = "source_dataset") -> None:
-    """Replace one dataset's partition by the rows of staging, which are all of that dataset; the others stay as they are.
-
-    The partition is written by its own path, so a dataset without rows ends up empty instead of keeping its old rows.
-    """
-    name = quote(dataset, safe=" ._-")
-    staging.drop(dataset_column).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{dataset_column}={name}")
-
-
-def stage_and_verify(valid: DataFrame, staging_path: str, expected_rows: int, key: str) -> DataFrame:
-    """Write staging, read it back and check it: row count as expected, ids distinct. One row; publish only if it passed."""
-    valid.write.mode("overwrite").parquet(staging_path)
-    staged = valid.sparkSession.read.parquet(staging_path)
+def verify_staged(staged: DataFrame, expected_rows: int, key: str) -> DataFrame:
+    """Check a written copy: row count as expected, ids distinct. One row; switch to the copy only if it passed."""
     per_key = staged.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return per_key.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("staged_rows"), F.count(F.lit(1)).alias("distinct_ids")
     ).withColumn("passed", (F.col("staged_rows") == F.lit(expected_rows)) & (F.col("distinct_ids") == F.col("staged_rows")))
 
 
+def stage_and_verify(valid: DataFrame, staging_path: str, expected_rows: int, key: str) -> DataFrame:
+    """Write staging, read it back and check it."""
+    valid.write.mode("overwrite").parquet(staging_path)
+    return verify_staged(valid.sparkSession.read.parquet(staging_path), expected_rows, key)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append-only log of pointers to what happened."""
     events.write.mode("append").parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import text
 from cohortlens.operators import quality
 from cohortlens.plans import ingest
-from cohortlens.sources import files, publish
+from cohortlens.sources import files, publish, versions
 
 from fixtures import raw
 
@@ -89,13 +89,13 @@ def test_ingest_publishes_only_its_partition(spark):
     first = ingest.ingest(raw(spark, [{}, {}, {"sender_bank": "Canara"}]), "one", target, bad, 1)
     ingest.ingest(raw(spark, [{}] * 4), "two", target, bad, 2)
     ingest.ingest(raw(spark, [{}] * 5), "one", target, bad, 3)
-    counts = {r["source_dataset"]: r["count"] for r in spark.read.parquet(target).groupBy("source_dataset").count().collect()}
+    counts = {r["source_dataset"]: r["count"] for r in versions.read(spark, target).groupBy("source_dataset").count().collect()}
     assert first.published and counts == {"one": 5, "two": 4}
     assert spark.read.parquet(bad).count() == 1
     ingest.ingest(raw(spark, [{}, {}, {"sender_bank": "Canara"}]), "one", target, bad, 1)  # a retry
     assert spark.read.parquet(bad).count() == 1
     ingest.ingest(raw(spark, [{"sender_bank": "Canara"}]), "two", target, bad, 4)
-    assert {r["source_dataset"] for r in spark.read.parquet(target).select("source_dataset").distinct().collect()} == {"one"}
+    assert {r["source_dataset"] for r in versions.read(spark, target).select("source_dataset").distinct().collect()} == {"one"}
 
 
 def test_files_are_read_by_their_own_headers(spark):
