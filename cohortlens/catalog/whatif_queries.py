@@ -170,7 +170,14 @@ def candidate_table(t):
     g = gateways(t)
     p = g.select(F.col("gateway").alias("target_gateway"), F.col("failure_probability").alias("p_target"))
     options = whatif.build_candidates(incidents(t), g)
-    return options.join(p, "target_gateway", "left").withColumn("multiplier", F.lit(MULTIPLIER))
+    # A moved row's latency changes as the mean latencies of its old and new gateway do; a segment moves from all of them.
+    rows = payments(t).where(metrics.in_window(F.col("ts"), *CURRENT)).groupBy("gateway").agg(F.sum("latency_ms").alias("_s"), F.count("latency_ms").alias("_n"))
+    means = materialize(rows.unionByName(rows.agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")).withColumn("gateway", F.lit("*"))).withColumn("_m", F.col("_s") / F.col("_n")))
+    to = means.select(F.col("gateway").alias("target_gateway"), F.col("_m").alias("_to"))
+    of = means.select(F.col("gateway").alias("_source"), F.col("_m").alias("_of"))
+    options = options.join(p, "target_gateway", "left").join(to, "target_gateway", "left").withColumn("_from", F.coalesce("source_gateway", F.lit("*")))
+    options = options.join(of, F.col("_from") == F.col("_source"), "left").withColumn("latency_factor", F.col("_to") / F.col("_of"))
+    return options.drop("_to", "_of", "_from", "_source").withColumn("multiplier", F.lit(MULTIPLIER))
 
 
 def swept(t):
@@ -204,8 +211,11 @@ candidate AS (
   SELECT i.incident_id, i.source_gateway, 'REROUTE_TRAFFIC', g.gateway, p.pct, 'REROUTE_TRAFFIC:' || g.gateway || ':' || CAST(p.pct AS INTEGER), g.failure_probability
   FROM incident i CROSS JOIN (VALUES (10.0::DOUBLE), (20.0::DOUBLE), (30.0::DOUBLE)) p(pct) JOIN gw g ON g.is_eligible AND g.gateway IS DISTINCT FROM i.source_gateway
 ),
+mean_latency AS (SELECT gateway, sum(latency_ms) / count(latency_ms) AS m FROM fact WHERE {NOW_SQL} GROUP BY 1 UNION ALL SELECT '*', sum(latency_ms) / count(latency_ms) FROM fact WHERE {NOW_SQL}),
+moved_latency AS (SELECT c.incident_id, c.candidate_key, a.m / b.m AS factor FROM candidate c LEFT JOIN mean_latency a ON a.gateway = c.target_gateway LEFT JOIN mean_latency b ON b.gateway = coalesce(c.source_gateway, '*')),
 paired AS (
-  SELECT c.incident_id, c.candidate_key, r.amount, r.current_status, r.latency_ms,
+  SELECT c.incident_id, c.candidate_key, r.amount,
+    CASE WHEN c.action_type <> 'NO_ACTION' AND r.pos <= floor(r.population * c.pct / 100.0) THEN floor(r.latency_ms * coalesce(x.factor, 1.0)) ELSE r.latency_ms END AS latency_after, r.current_status, r.latency_ms,
     c.action_type <> 'NO_ACTION' AND r.pos <= floor(r.population * c.pct / 100.0) AS moved,
     1.0::DOUBLE - r.p_current AS p_now,
     CASE WHEN c.action_type <> 'NO_ACTION' AND r.pos <= floor(r.population * c.pct / 100.0) THEN
@@ -213,7 +223,7 @@ paired AS (
         WHEN r.elsewhere THEN (least(1.0::DOUBLE, c.p_target * 2.0::DOUBLE) - c.p_target) / (1.0::DOUBLE - c.p_target) ELSE 0.0::DOUBLE END
       ELSE CASE WHEN r.current_status = 'FAILED' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS p_fails,
     1.0::DOUBLE - CASE WHEN r.elsewhere THEN least(1.0::DOUBLE, c.p_target * 2.0::DOUBLE) ELSE c.p_target END AS p_then
-  FROM candidate c JOIN cohort r USING (incident_id)
+  FROM candidate c JOIN cohort r USING (incident_id) JOIN moved_latency x ON x.incident_id = c.incident_id AND x.candidate_key = c.candidate_key
 ),
 traffic AS (SELECT gateway, count(*) AS rows, sum(count(*)) OVER ()::DOUBLE AS total, max(count(*)) OVER () AS largest FROM fact WHERE {NOW_SQL} GROUP BY 1),
 impact AS MATERIALIZED (
@@ -222,7 +232,9 @@ impact AS MATERIALIZED (
     count(*) FILTER (p.current_status = 'FAILED') AS baseline_failures, sum(p.p_fails) AS projected_failures,
     CAST(sum(p.amount) AS DOUBLE) AS value_total, CAST(sum(p.amount) FILTER (p.current_status = 'FAILED') AS DOUBLE) AS baseline_at_risk,
     sum(p.amount::DOUBLE * p.p_fails) AS projected_at_risk,
-    round(coalesce(sum(p.amount::DOUBLE * (p.p_then - p.p_now)) FILTER (p.moved), 0.0), 2) AS expected_retained
+    round(coalesce(sum(p.amount::DOUBLE * (p.p_then - p.p_now)) FILTER (p.moved), 0.0), 2) AS expected_retained,
+    list_sort(list(p.latency_ms))[CAST(floor(0.5 * (count(*) - 1)) AS BIGINT) + 1] AS baseline_latency_p50, list_sort(list(p.latency_ms))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS baseline_latency_p95,
+    list_sort(list(p.latency_after))[CAST(floor(0.5 * (count(*) - 1)) AS BIGINT) + 1] AS projected_latency_p50, list_sort(list(p.latency_after))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS projected_latency_p95
   FROM candidate c JOIN paired p USING (incident_id, candidate_key) GROUP BY 1, 2
 ),
 option AS MATERIALIZED (
@@ -350,30 +362,38 @@ def _(t):
 @query(
     "c10_candidate_sweep",
     f"""WITH {SWEEP_SQL} SELECT incident_id, candidate_key, population, rerouted, baseline_failures, round(projected_failures, 6) AS projected_failures, round(success_delta, 6) AS success_delta,
-  value_total, baseline_at_risk, projected_at_risk, expected_retained, round(concentration_after, 6) AS concentration_after, invalid_reason FROM option""",
+  value_total, baseline_at_risk, projected_at_risk, expected_retained, round(concentration_after, 6) AS concentration_after, invalid_reason,
+  baseline_latency_p50, baseline_latency_p95, projected_latency_p50, projected_latency_p95, projected_latency_p95 - baseline_latency_p95 AS latency_delta_ms FROM option""",
 )
 def _(t):
     return judged(t).select(
         "incident_id", "candidate_key", "population", "rerouted", "baseline_failures", F.round("projected_failures", 6).alias("projected_failures"), F.round("success_delta", 6).alias("success_delta"),
         *[F.col(c).cast("double").alias(c) for c in ("value_total", "baseline_at_risk", "projected_at_risk")], "expected_retained",
         F.round("concentration_after", 6).alias("concentration_after"), "invalid_reason",
+        "baseline_latency_p50", "baseline_latency_p95", "projected_latency_p50", "projected_latency_p95", "latency_delta_ms",
     )
 
 
 @query(
     "c09_risk_components",
     f"""WITH {SWEEP_SQL}, r AS (SELECT incident_id, candidate_key, least(1.0, concentration_after / 0.40) AS concentration_risk,
-  CASE WHEN action_type = 'NO_ACTION' OR target_health = 'HEALTHY' THEN 0.0 ELSE 1.0 END AS target_health_risk, 0.0::DOUBLE AS latency_risk,
-  least(1.0, greatest(0.0, 1.0 - population / 400.0)) AS simulation_quality_risk, 0.5::DOUBLE AS evidence_uncertainty_risk, 0.25::DOUBLE AS routing_uncertainty_risk FROM option)
-SELECT incident_id, candidate_key, round(concentration_risk, 6) AS concentration_risk, CAST(target_health_risk AS DOUBLE) AS target_health_risk,
+  CASE WHEN action_type = 'NO_ACTION' OR target_health = 'HEALTHY' THEN 0.0 ELSE 1.0 END AS target_health_risk, 
+  least(1.0, greatest(0.0, projected_latency_p95 - baseline_latency_p95) / 400.0) AS latency_risk,
+  least(1.0, greatest(0.0, 1.0 - population / 400.0)) AS simulation_quality_risk, 
+  CASE WHEN source_gateway IS NULL THEN 0.5 ELSE greatest(0.0, 1.0 - baseline_failures / (SELECT count(*) FROM cohort WHERE NOT elsewhere AND current_status = 'FAILED')) END AS evidence_uncertainty_risk,
+  0.25::DOUBLE AS routing_uncertainty_risk FROM option)
+SELECT round(CAST(latency_risk AS DOUBLE), 6) AS latency_risk, round(CAST(evidence_uncertainty_risk AS DOUBLE), 6) AS evidence_uncertainty_risk, incident_id, candidate_key, round(concentration_risk, 6) AS concentration_risk, CAST(target_health_risk AS DOUBLE) AS target_health_risk,
   round(CAST(simulation_quality_risk AS DOUBLE), 6) AS simulation_quality_risk,
   round((2 * concentration_risk + 2 * target_health_risk + latency_risk + simulation_quality_risk + evidence_uncertainty_risk + routing_uncertainty_risk)::DOUBLE / 8.0, 6) AS risk_score,
   'UNAVAILABLE' AS capacity_risk FROM r""",
 )
 def _(t):
-    table = judged(t).withColumn("latency_delta_ms", F.lit(0.0)).withColumn("rca_confidence", F.lit(None).cast("double"))
+    """Confidence in an incident's gateway is the share of all gateways' failures that it accounts for; a segment has named none."""
+    failed = cohort(t).where("NOT degraded_elsewhere AND current_status = 'FAILED'").agg(F.count(F.lit(1)).alias("_failed"))
+    table = judged(t).crossJoin(failed)  # one row
+    table = table.withColumn("rca_confidence", F.when(F.col("source_gateway").isNotNull(), F.col("baseline_failures") / F.col("_failed")))
     return whatif.assess_risk(table).select(
-        "incident_id", "candidate_key", F.round("concentration_risk", 6).alias("concentration_risk"), "target_health_risk",
+        F.round("latency_risk", 6).alias("latency_risk"), F.round("evidence_uncertainty_risk", 6).alias("evidence_uncertainty_risk"), "incident_id", "candidate_key", F.round("concentration_risk", 6).alias("concentration_risk"), "target_health_risk",
         F.round("simulation_quality_risk", 6).alias("simulation_quality_risk"), F.round("risk_score", 6).alias("risk_score"), "capacity_risk",
     )
 

@@ -239,33 +239,59 @@ def pair_verdicts(cells: DataFrame, reported: DataFrame, spec: FactSpec, config:
     return verdicts.join(pairs.select("cohort_key", "confounder_key", "rank", "conf_rank"), ["cohort_key", "confounder_key"])
 
 
-def classify_roles(reported: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """PRIMARY or DERIVATIVE for every reported cohort, strongest first.
+def settle_roles(keys: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(cohort_key, alert_role) of every key, and the rounds it took. edges: cohort_key, to_key (an explainer of stronger rank).
 
-    A cohort is DERIVATIVE when an earlier single-dimension PRIMARY explains it. That is a walk over a graph whose
-    edges (cohort -> earlier explainer) always point to stronger ranks: each round settles everything whose
-    explainers are settled, so it ends after the longest chain, and only keys and roles are carried between rounds.
+    A cohort is DERIVATIVE if one of its explainers is PRIMARY, else PRIMARY. A cohort with one open explainer left points to it: its role is
+    the opposite of that one's. Pointers are doubled, with their parity, so a chain of n takes log2(n) rounds and not n; cohorts with several open
+    explainers lose those that turn out DERIVATIVE, until they are settled or point themselves. One written table a round.
     """
-    edges = materialize(
-        verdicts.where(~F.col("still_anomalous")).select("cohort_key", F.col("confounder_key").alias("to_key"), "conf_rank")
-    )
-    roles = materialize(
-        reported.select("cohort_key")
-        .join(edges.select("cohort_key").distinct().withColumn("_waits", F.lit(True)), "cohort_key", "left")
-        .select("cohort_key", F.when(F.col("_waits").isNull(), F.lit("PRIMARY")).alias("alert_role"))
+    out = edges.groupBy("cohort_key").agg(F.count(F.lit(1)).alias("_n"), F.min("to_key").alias("_to"))
+    single = F.col("_n") == 1
+    state = materialize(
+        keys.select("cohort_key").join(out, "cohort_key", "left").select(
+            "cohort_key",
+            F.when(F.col("_n").isNull(), "PRIMARY").alias("alert_role"),
+            F.when(single, F.col("_to")).alias("to_key"),
+            F.when(single, True).alias("opposite"),
+        )
     )
-    while not roles.where(F.col("alert_role").isNull()).isEmpty():
-        known = roles.select(F.col("cohort_key").alias("to_key"), F.col("alert_role").alias("to_role"))
-        seen = edges.join(known, "to_key").groupBy("cohort_key").agg(
-            F.count_if(F.col("to_role") == "PRIMARY").alias("_primary"),
-            F.count_if(F.col("to_role").isNull()).alias("_open"),
+    rounds = 0
+    while not state.where(F.col("alert_role").isNull()).isEmpty():
+        rounds += 1
+        seen = state.select(
+            F.col("cohort_key").alias("to_key"), F.col("alert_role").alias("_role"), F.col("to_key").alias("_next"), F.col("opposite").alias("_turn")
+        )
+        several = state.where("alert_role IS NULL AND to_key IS NULL").select("cohort_key")
+        left = edges.join(several, "cohort_key", "left_semi").join(seen, "to_key").groupBy("cohort_key").agg(
+            F.count_if(F.col("_role") == "PRIMARY").alias("_primary"),
+            F.count_if(F.col("_role").isNull()).alias("_open"),
+            F.min(F.when(F.col("_role").isNull(), F.col("to_key"))).alias("_last"),
         )
-        settled = (
+        joined = state.join(seen, "to_key", "left").join(left, "cohort_key", "left")
+        turned = F.when((F.col("_role") == "PRIMARY") != F.col("opposite"), "PRIMARY").otherwise("DERIVATIVE")
+        role = (
             F.when(F.col("alert_role").isNotNull(), F.col("alert_role"))
+            .when(F.col("_role").isNotNull(), turned)
             .when(F.col("_primary") > 0, "DERIVATIVE")
             .when(F.col("_open") == 0, "PRIMARY")
         )
-        roles = materialize(roles.join(seen, "cohort_key", "left").select("cohort_key", settled.alias("alert_role")))
+        points = F.col("_open") == 1
+        doubled = F.col("_next").isNotNull()
+        target = F.when(points, F.col("_last")).when(doubled, F.col("_next")).otherwise(F.col("to_key"))
+        parity = F.when(points, True).when(doubled, F.col("opposite") != F.col("_turn")).otherwise(F.col("opposite"))
+        state = materialize(joined.select("cohort_key", role.alias("alert_role"), target.alias("to_key"), parity.alias("opposite")))
+    return state.select("cohort_key", "alert_role"), rounds
+
+
+def classify_roles(reported: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """PRIMARY or DERIVATIVE for every reported cohort, strongest first.
+
+    A cohort is DERIVATIVE when an earlier single-dimension PRIMARY explains it: edges (cohort -> earlier explainer) always point to stronger
+    ranks, so the graph has no cycle.
+    """
+    edges = materialize(verdicts.where(~F.col("still_anomalous")).select("cohort_key", F.col("confounder_key").alias("to_key")).distinct())
+    roles, _ = settle_roles(reported, edges)
 
     known = roles.select(F.col("cohort_key").alias("confounder_key"), F.col("alert_role").alias("conf_role"))
     tested = verdicts.join(known, "confounder_key").where(F.col("conf_role") == "PRIMARY")

@@ -8,6 +8,7 @@ from ..functions.hashing import digest, lane_uniform, weighted_choice
 from ..functions.stats import clamp, rate
 from ..session import stage
 from ..spec import FactSpec
+from . import asof
 from .metrics import in_window, member_of
 from .ranking import nearest_rank_low, sample_cutoffs
 
@@ -156,19 +157,17 @@ def health_over_span(targets: DataFrame, health: DataFrame, key: str, start: str
     )
 
 
-def health_at(points: DataFrame, health: DataFrame, key: str, at: str) -> DataFrame:
+#: Time bucket of the as-of join below: a month holds few points and intervals of a target.
+HEALTH_BUCKET_SECONDS = 30 * 86_400
+
+
+def health_at(points: DataFrame, health: DataFrame, key: str, at: str, bucket=None) -> DataFrame:
     """Health state at an instant, the key's last window where none covers it, `none` for a key without any."""
-    covers = (F.col("valid_from") <= F.col(at)) & (F.col("valid_to") >= F.col(at))
-    order = F.struct("valid_from", "valid_to")
-    return (
-        points.join(health, key, "left")
-        .groupBy(key, at)
-        .agg(
-            F.min_by(F.when(covers, F.col("health_state")), F.when(covers, order)).alias("_covering"),
-            F.max_by("health_state", order).alias("_last"),
-        )
-        .select(key, at, F.coalesce("_covering", "_last", F.lit("none")).alias("health_state"))
-    )
+    wanted = points.select(key, at).distinct()
+    numeric = dict(points.dtypes)[at] not in ("timestamp", "timestamp_ntz", "date")
+    own = bucket or (asof.numbers(1000) if numeric else asof.seconds(HEALTH_BUCKET_SECONDS))
+    found = asof.state_as_of(wanted, health, key, at, "valid_from", "valid_to", "health_state", own, "health_state")
+    return found.withColumn("health_state", F.coalesce("health_state", F.lit("none")))
 
 
 def build_candidates(incidents: DataFrame, gateways: DataFrame) -> DataFrame:
@@ -224,13 +223,15 @@ def selection_digest(id_: Column, incident: Column) -> Column:
     return digest(SELECTION_DOMAIN, id_, incident)
 
 
-def moved_groups(cohort: DataFrame, candidates: DataFrame) -> DataFrame:
-    """What each candidate moves, as groups of equal rows: n, amount, p_fails (expected failure of a moved row), gain.
+#: Tier of rows that no candidate moves.
+NEVER = 101.0
+
+
+def tier_groups(cohort: DataFrame) -> DataFrame:
+    """Cohort rows as counts: incident, tier (the smallest percentage that moves them, NEVER for the rest), outcome, probability, latency.
 
-    `cohort` has incident_id, txn_id, amount, observed_status, current_status, p_current, degraded_elsewhere; `candidates` also
-    carries p_target and multiplier. Samples nest, so a row has the smallest percentage that includes it as its tier. All figures
-    depend on tier, outcome and probability only, so rows are aggregated to those before candidates are joined: nothing is
-    expanded by candidate but a few dozen groups. Outcomes are expected values; nothing is drawn.
+    `cohort` has incident_id, txn_id, amount, observed_status, current_status, p_current, degraded_elsewhere and maybe latency_ms. Samples
+    nest, so a tier says which candidates move a row. All figures of a candidate come from these counts; no row is expanded by candidate.
     """
     keyed = cohort.withColumn("_digest", selection_digest(F.col("txn_id"), F.col("incident_id").cast("string")))
     cuts = sample_cutoffs(keyed, ["incident_id"], "_digest", "txn_id", TRAFFIC_PERCENTAGES)
@@ -241,10 +242,22 @@ def moved_groups(cohort: DataFrame, candidates: DataFrame) -> DataFrame:
     for p in TRAFFIC_PERCENTAGES:
         inside = F.col("_digest") <= F.col(f"_cut{int(p)}")
         tier = F.when(inside, F.lit(p)) if tier is None else tier.when(inside, F.lit(p))
+    latency = F.col("latency_ms") if "latency_ms" in cohort.columns else F.lit(None)
     # One row per incident: written, so that its size is known and the cohort isn't shuffled on so few keys.
-    tiers = keyed.join(stage(wide, "cut-offs"), "incident_id").withColumn("_tier", tier).where(F.col("_tier").isNotNull())
-    groups = tiers.groupBy("incident_id", "_tier", "observed_status", "current_status", "p_current", "degraded_elsewhere").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")
+    tiers = keyed.join(stage(wide, "cut-offs"), "incident_id", "left").withColumn("_tier", tier.otherwise(F.lit(NEVER)))
+    return tiers.groupBy(
+        "incident_id", "_tier", "observed_status", "current_status", "p_current", "degraded_elsewhere", latency.cast("double").alias("latency_ms")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+
+
+def moved_groups(cohort: DataFrame, candidates: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
+    """What each candidate moves, as groups of equal rows: n, amount, p_fails (expected failure of a moved row), gain.
+
+    `candidates` also carries p_target and multiplier. Outcomes are expected values; nothing is drawn. `tiers` is tier_groups(cohort), if at hand.
+    """
+    tiers = tier_groups(cohort) if tiers is None else tiers
+    groups = tiers.where(F.col("_tier") < NEVER).groupBy("incident_id", "_tier", "observed_status", "current_status", "p_current", "degraded_elsewhere").agg(
+        F.sum("n").alias("n"), F.sum("amount").alias("amount")
     )
     moves = candidates.where(F.col("action_type") != "NO_ACTION").select(
         "incident_id", "candidate_key", "traffic_percentage", "p_target", "multiplier"
@@ -259,6 +272,29 @@ def moved_groups(cohort: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+#: Percentiles of the latencies before and after, nearest rank.
+LATENCY_RANKS = {"p50": 0.50, "p95": 0.95}
+
+
+def latency_impact(tiers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Latency percentiles of each candidate's cohort before and after: every row is paired with itself, moved or not.
+
+    A moved row takes floor(latency * latency_factor) of its candidate, a row that stays keeps its own. Both sides are counts per value, so
+    what a candidate multiplies is the incident's different latencies (by tier), and percentiles are located by rank.
+    """
+    counts = stage(tiers.groupBy("incident_id", "_tier", "latency_ms").agg(F.sum("n").alias("n")), "latency-counts")
+    before = nearest_rank_low(counts, ["incident_id"], "latency_ms", {f"baseline_latency_{n}": f for n, f in LATENCY_RANKS.items()}, F.col("n"))
+    factor = F.col("latency_factor") if "latency_factor" in candidates.columns else F.lit(1.0)
+    options = candidates.select("incident_id", "candidate_key", "traffic_percentage", F.coalesce(factor, F.lit(1.0)).alias("_factor"))
+    moved = F.col("_tier") <= F.col("traffic_percentage")
+    paired = counts.join(options, "incident_id").withColumn(
+        "_after", F.when(moved, F.floor(F.col("latency_ms") * F.col("_factor")).cast("double")).otherwise(F.col("latency_ms"))
+    )
+    keys = ["incident_id", "candidate_key"]
+    after = nearest_rank_low(paired, keys, "_after", {f"projected_latency_{n}": f for n, f in LATENCY_RANKS.items()}, F.col("n"))
+    return after.join(before, "incident_id").withColumn("latency_delta_ms", F.col("projected_latency_p95") - F.col("baseline_latency_p95"))
+
+
 def sweep(cohort: DataFrame, candidates: DataFrame, window_traffic: DataFrame) -> DataFrame:
     """Every candidate of every incident in one job: shared totals once, plus what the moved rows change in expectation.
 
@@ -273,8 +309,9 @@ def sweep(cohort: DataFrame, candidates: DataFrame, window_traffic: DataFrame) -
     )
     flip = F.col("p_fails") - (F.col("current_status") == "FAILED").cast("double")
     amount = F.col("amount").cast("double")
+    tiers = stage(tier_groups(cohort), "tier-groups")
     change = (
-        moved_groups(cohort, candidates)
+        moved_groups(cohort, candidates, tiers)
         .groupBy("incident_id", "candidate_key")
         .agg(
             F.sum("n").alias("rerouted"),
@@ -285,6 +322,7 @@ def sweep(cohort: DataFrame, candidates: DataFrame, window_traffic: DataFrame) -
     )
     zero = F.lit(0)
     joined = candidates.join(base, "incident_id", "left").join(change, ["incident_id", "candidate_key"], "left")
+    joined = joined.join(latency_impact(tiers, candidates), ["incident_id", "candidate_key"], "left")
     target = window_traffic.select(F.col("gateway").alias("target_gateway"), F.col("window_rows").alias("_target_rows"))
     joined = joined.join(target, "target_gateway", "left")
     joined = joined.crossJoin(window_traffic.agg(F.max("window_rows").alias("_largest"), F.max("window_total").alias("window_total")))  # one row
@@ -312,6 +350,8 @@ def sweep(cohort: DataFrame, candidates: DataFrame, window_traffic: DataFrame) -
         .otherwise(rate(F.coalesce(F.col("_target_rows"), zero), F.col("window_total")))
         .alias("concentration_before"),
         rate(F.col("population"), F.col("window_total")).alias("blast_radius"),
+        *[f"{side}_latency_{n}" for side in ("baseline", "projected") for n in LATENCY_RANKS],
+        "latency_delta_ms",
     )
 
 
