@@ -211,6 +211,15 @@ def _open_links(buckets: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
     return found.where("u <> v").distinct()
 
 
+def _shared_ids(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the nodes of different texts under one id: such rows are one document. named: doc_id, digest."""
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("doc_id")
+    texts = named.select("doc_id", "digest").join(stage(several, "ids-of-several-texts"), "doc_id", "left_semi").distinct()
+    nodes = texts.join(classes, "digest").select("doc_id", "node").distinct()
+    hubs = nodes.groupBy("doc_id").agg(F.min("node").alias("v"))
+    return nodes.join(hubs, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per input row; kept where doc_id is the smallest of its component."""
     docs = columns_of(docs, id_col, text_col)
@@ -225,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(confirmed(pairs, docs, rules), "links")
     labelled = buckets.drop("hub").join(connected(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = stage(confirmed(stage(_open_links(stage(labelled, "labelled"), docs, rules), "open-links"), docs, rules), "links")
-    stars = connected(links.union(found))
+    stars = connected(links.union(found).union(_shared_ids(named, classes)))
     member = classes.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     # Documents without a shingle, however many, don't take part in the join.
     rows = signed.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(stage(member, "members"), "digest", "left")

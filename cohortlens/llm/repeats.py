@@ -18,7 +18,8 @@ All shuffles carry anchors, digests, places or contexts; texts move by document
 to remove, as far as the pre-filter can tell.
 
 Null texts are empty. Rows without an id count as one document before all others; rows that share an id count as one document, so
-equal strings at equal places in them are not earlier than each other. Each row gives a row.
+equal strings at equal places in them are not earlier than each other. Each row gives a row, and what is found in one text is removed
+from that text only: texts are told apart by id and a digest (`text_key`).
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def repeated_anchors(docs: DataFrame, rules: Rules, log2: int) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, rules: Rules, table: np.ndarray) -> DataFrame:
-    """(anchor, context, doc_id, place, ahead, more) of contexts whose anchor may be repeated.
+    """(anchor, context, doc_id, text_key, place, ahead, more) of contexts whose anchor may be repeated.
 
     context is a 64-bit digest, which with the anchor's makes 128 bits. The first window starts `ahead` bytes before the
     anchor's place, and `more` windows follow it.
@@ -134,7 +135,7 @@ def occurrences(docs: DataFrame, rules: Rules, table: np.ndarray) -> DataFrame:
         table = shared.value
         for batch in batches:
             out = []
-            for doc, data in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+            for doc, key, data in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts_of(batch), strict=True):
                 anchor, place, first, last = contexts(data, rules)
                 own = np.flatnonzero(is_set(table, (anchor >> np.uint64(64 - rules.bits)).astype(np.int64)))
                 if len(own):
@@ -144,13 +145,13 @@ def occurrences(docs: DataFrame, rules: Rules, table: np.ndarray) -> DataFrame:
                         xxhash.xxh3_64_intdigest(data[a:b], p)
                         for a, b, p in zip(first.tolist(), (last + rules.size).tolist(), (place - first).tolist(), strict=True)
                     ]
-                    out.append((np.full(len(own), doc), anchor.view(np.int64), place, place - first, last - first, np.array(digests, np.uint64).view(np.int64)))
+                    out.append((np.full(len(own), doc), np.full(len(own), key), anchor.view(np.int64), place, place - first, last - first, np.array(digests, np.uint64).view(np.int64)))
             if out:
-                doc, anchor, place, ahead, more, digests = (np.concatenate([x[i] for x in out]) for i in range(6))
-                cols = [pa.array(x) for x in (anchor, digests, doc)] + [pa.array(x.astype(np.int32)) for x in (place, ahead, more)]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "doc_id", "place", "ahead", "more"])
+                doc, key, anchor, place, ahead, more, digests = (np.concatenate([x[i] for x in out]) for i in range(7))
+                cols = [pa.array(x) for x in (anchor, digests, doc, key)] + [pa.array(x.astype(np.int32)) for x in (place, ahead, more)]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "doc_id", "text_key", "place", "ahead", "more"])
 
-    return map_rows(docs, run, "anchor long, context long, doc_id long, place int, ahead int, more int")
+    return map_rows(docs, run, "anchor long, context long, doc_id long, text_key long, place int, ahead int, more int")
 
 
 class RunIndex:
@@ -214,8 +215,12 @@ class RunIndex:
             new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
             rank, width = new, 2 * width
 
-    def earlier(self):
-        """Streams all strings from their ends: yields (string numbers, start) of windows that an earlier string holds."""
+    def earlier(self, rank: np.ndarray | None = None):
+        """Streams all strings from their ends: yields (string numbers, start) of windows that an earlier string holds.
+
+        rank: never decreasing numbers of the strings; those of the same number are not earlier than each other.
+        """
+        rank = np.arange(len(self.lengths)) if rank is None else rank
         strings = np.arange(len(self.lengths))
         row, left = strings.copy(), self.lengths.copy()
         step = 0
@@ -226,22 +231,24 @@ class RunIndex:
             step += 1
             if step >= self.size:
                 first = self.holder[np.searchsorted(self.interval, row, "right") - 1]
-                hit = first < strings
+                hit = rank[first] < rank[strings]
                 yield strings[hit], left[hit]
             more = left > 0
             strings, row, left = strings[more], row[more], left[more]
 
 
 def _index(table: pa.Table, size: int) -> pa.Table:
-    """Windows (doc_id, from, to) of one bucket's contexts that occur earlier."""
-    doc = table["doc_id"].to_numpy()
+    """Windows (doc_id, text_key, from, to) of one bucket's contexts that occur earlier."""
+    doc, key = table["doc_id"].to_numpy(), table["text_key"].to_numpy()
     place = table["place"].to_numpy()
     order = np.lexsort([place, doc])
+    by_place = np.stack([doc[order], place[order]])
+    rank = np.cumsum(np.concatenate([[0], (by_place[:, 1:] != by_place[:, :-1]).any(axis=0)]))
     data = table["data"].to_pylist()
     first = table["first"].to_numpy()
     index = RunIndex([data[i] for i in order.tolist()], size)
     whose, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for strings, start in index.earlier():
+    for strings, start in index.earlier(rank):
         whose.append(order[strings])
         starts.append(start)
     whose = np.concatenate(whose)
@@ -251,61 +258,60 @@ def _index(table: pa.Table, size: int) -> pa.Table:
     # Neighbouring windows become one interval.
     new = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)])
     last = np.concatenate([new[1:] - 1, [len(at) - 1]])[: len(new)]
-    return pa.table({"doc_id": pa.array(doc[whose[new]]), "from": pa.array(at[new].astype(np.int32)), "to": pa.array(at[last].astype(np.int32))})
+    return pa.table({"doc_id": pa.array(doc[whose[new]]), "text_key": pa.array(key[whose[new]]), "from": pa.array(at[new].astype(np.int32)), "to": pa.array(at[last].astype(np.int32))})
 
 
 def repeated_windows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(doc_id, from, to): starts of windows that occur earlier, as intervals. docs: doc_id (not null), text."""
+    """(doc_id, text_key, from, to): starts of windows that occur earlier, as intervals. docs: doc_id (not null), text_key, text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log2 = min(max(4, (size // rules.segment_bytes).bit_length()), rules.bits - 3)
     found = stage(occurrences(docs, rules, repeated_anchors(docs, rules, log2)), "occurrences")
-    place = F.struct("doc_id", "place", "ahead", "more")
+    place = F.struct("doc_id", "place", "text_key", "ahead", "more")
     kinds = stage(found.groupBy("anchor", "context").agg(F.min(place).alias("at"), F.count("*").alias("n")), "contexts")
 
     # All but the first of equal contexts.
     again = kinds.where("n > 1").select("anchor", "context", F.col("at.doc_id").alias("d"), F.col("at.place").alias("p"))
     later = (F.col("doc_id") > F.col("d")) | ((F.col("doc_id") == F.col("d")) & (F.col("place") > F.col("p")))
     first = F.col("place") - F.col("ahead")
-    whole = found.join(again, ["anchor", "context"]).where(later).select("doc_id", first.alias("from"), (first + F.col("more")).alias("to"))
+    whole = found.join(again, ["anchor", "context"]).where(later).select("doc_id", "text_key", first.alias("from"), (first + F.col("more")).alias("to"))
 
     # The first of each, for anchors that have several.
     several = kinds.select("anchor").groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
     firsts = stage(kinds.join(several, "anchor").select("anchor", "m", "at.*"), "firsts")
     buckets = max(1, firsts.where(F.col("m") <= rules.hot).count() // rules.bucket)
-    by_doc = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "m", "place", "ahead", "more")).alias("own"))
+    by_doc = firsts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "m", "place", "ahead", "more")).alias("own"))
     by_doc = stage(by_doc, "firsts-by-document")
-    texts = maybe(docs, "doc_id", by_doc.select("doc_id")).where("maybe").drop("maybe").join(by_doc, "doc_id")
+    texts = maybe(docs, "doc_id", by_doc.select("doc_id")).where("maybe").drop("maybe").join(by_doc, ["doc_id", "text_key"])
 
     def read(batches):
         for batch in batches:
             out = []
-            for doc, data, own in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("own").to_pylist(), strict=True):
+            names = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "own"))
+            for doc, key, own, data in zip(*names, texts_of(batch), strict=True):
                 for x in own:
                     a = x["place"] - x["ahead"]
                     b = a + x["more"]
-                    if b + rules.size > len(data):
-                        continue  # another text under the same id
                     if x["m"] <= rules.hot:
-                        out.append((x["anchor"], True, doc, x["place"], a, data[a : b + rules.size]))
+                        out.append((x["anchor"], True, doc, key, x["place"], a, data[a : b + rules.size]))
                     else:
-                        out += [(x["anchor"], False, doc, x["place"], s, xxhash.xxh3_128_digest(data[s : s + rules.size])) for s in range(a, b + 1)]
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                        out += [(x["anchor"], False, doc, key, x["place"], s, xxhash.xxh3_128_digest(data[s : s + rules.size])) for s in range(a, b + 1)]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols, ["anchor", "indexed", "doc_id", "place", "first", "data"])
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "indexed", "doc_id", "text_key", "place", "first", "data"])
 
-    pieces = stage(map_rows(texts, read, "anchor long, indexed boolean, doc_id long, place int, first int, data binary"), "pieces")
+    pieces = stage(map_rows(texts, read, "anchor long, indexed boolean, doc_id long, text_key long, place int, first int, data binary"), "pieces")
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets))
     length = rules.size
 
     def index(table):
         return _index(table, length)
 
-    indexed = pieces.where("indexed").groupBy(bucket.alias("bucket")).applyInArrow(index, "doc_id long, from int, to int")
+    indexed = pieces.where("indexed").groupBy(bucket.alias("bucket")).applyInArrow(index, "doc_id long, text_key long, from int, to int")
 
     hot = pieces.where("NOT indexed").withColumn("off", F.col("place") - F.col("first"))
     same = hot.groupBy("anchor", "off", "data").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count("*").alias("n")).where("n > 1")
     same = same.select("anchor", "off", "data", F.col("at.doc_id").alias("d"), F.col("at.place").alias("p"))
-    single = hot.join(same, ["anchor", "off", "data"]).where(later).select("doc_id", F.col("first").alias("from"), F.col("first").alias("to"))
+    single = hot.join(same, ["anchor", "off", "data"]).where(later).select("doc_id", "text_key", F.col("first").alias("from"), F.col("first").alias("to"))
     return whole.union(indexed).union(single)
 
 
@@ -313,8 +319,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and kept binary if asked for: one row per input row."""
     docs = columns_of(docs, id_col, text_col)
     nothing = -(1 << 63)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(nothing)).alias("doc_id"), "text")
-    by_doc = stage(repeated_windows(keyed, rules).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("marks")), "windows-by-document")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(nothing)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    by_doc = stage(repeated_windows(keyed, rules).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("from", "to")).alias("marks")), "windows-by-document")
     split = maybe(keyed, "doc_id", by_doc.select("doc_id"))
     kept = ", kept binary" if keep_bytes else ""
 
@@ -324,9 +330,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for doc, data, marks in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("marks").to_pylist(), strict=True):
                 cover = np.zeros(len(data) + 1, np.int64)
                 for x in marks or ():
-                    if x["to"] + rules.size <= len(data):
-                        cover[x["from"]] += 1
-                        cover[x["to"] + rules.size] -= 1
+                    cover[x["from"]] += 1
+                    cover[x["to"] + rules.size] -= 1
                 gone = np.cumsum(cover[:-1]) > 0
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and bool(gone[0])))
                 rest = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -335,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if keep_bytes else 5]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(len(names))], names)
 
-    touched = split.where("maybe").drop("maybe").join(by_doc, "doc_id", "left")
+    touched = split.where("maybe").drop("maybe").join(by_doc, ["doc_id", "text_key"], "left")
     touched = map_rows(touched, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + kept)
     text = F.coalesce("text", F.lit(""))
     rest = split.where("NOT maybe").select(

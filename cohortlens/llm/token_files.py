@@ -12,12 +12,13 @@ the single bits. High planes are nearly constant, so they almost vanish when com
 Records end in one newline byte, because Spark's text writer puts the files down: they go wherever Spark can write, through its
 commit protocol, and a lost task leaves no half file. Files in name order hold documents in ascending id order, null ids first, equal
 ids by text. Reading goes through the binaryFile source and decodes block by block, so memory is bounded by the file as
-stored, which the partitioning bounds. A file over 2 GB cannot be read by that source; raise the shuffle partitions then.
+stored. Ranges hold about FILE_BYTES of text at most, so files stay far below the 2 GB that source can read; only rows
+that share one id, or have none, are not parted, and could make a larger file.
 
 Null texts are empty; each document has at least its end id. An empty table writes no file, and reads back as no document.
 
 Encoding uses the tokenizers library. If the tokenizer drops white space before it merges (checked in its file), the words between
-spaces and newlines are independent, and a worker keeps the ids of words in a table of fixed size; else whole texts are encoded.
+spaces and newlines are independent, and a worker keeps the ids of words in two tables of fixed size; else whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -36,7 +37,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import columns_of, map_rows, texts_of
 
 BLOCK = 1 << 16
-REMEMBERED = 600_000
+#: Words of the young half of the table.
+REMEMBERED = 300_000
+#: Text of a file, about: more shuffle partitions are asked for where the session's would hold more.
+FILE_BYTES = 1 << 27
+#: Put between words that are encoded together; one token by itself.
+_MARK = "\x01"
 MAGIC = b"IDPLANE1"
 _TRAILER = struct.Struct("<Q8s")
 
@@ -72,25 +78,32 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        #: Ids of words, in two generations: a full young table becomes the old one, and what is met again moves up. So frequent
+        #: words are encoded once a worker, and rare ones are forgotten.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        alone = self.model.encode(_MARK, add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of single words: many are encoded as one text, and tokens go to words by their offsets."""
+        """Ids of single words: many are encoded as one text, with a mark between them whose token tells where the next one begins."""
         out = []
         for start in range(0, len(words), 512):
             some = words[start : start + 512]
-            encoded = self.model.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4").tobytes()
-            begins = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
-            at = np.fromiter((x[0] for x in encoded.offsets), np.int64, len(ids) // 4)
-            ends = np.append(np.searchsorted(at, begins[1:]), len(at)) * 4
-            first = 0
-            for end in ends.tolist():
-                out.append(ids[first:end])
-                first = end
+            ids = np.array(self.model.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark) if self.mark is not None else ()
+            if len(cuts) != len(some) - 1:
+                # A word that holds the mark itself, or a tokenizer that splits it.
+                out += self._ids(some)
+                continue
+            data, first = ids.tobytes(), 0
+            for cut in (4 * cuts).tolist():
+                out.append(data[first:cut])
+                first = cut + 4
+            out.append(data[first:])
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -99,7 +112,8 @@ class Encoder:
             return self._ids([x.decode() for x in texts])
         known = self.known
         if len(known) > REMEMBERED:
-            known.clear()
+            self.old, self.known = known, {}
+            known = self.known
         known[""] = b""
         if self.lower:
             # Fewer different words; a special token's string must not come about by it.
@@ -109,9 +123,15 @@ class Encoder:
         found = list(map(known.get, words))
         missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
         if missing:
+            again = missing & self.old.keys()
+            known.update((w, self.old[w]) for w in again)
+            missing -= again
             # A full stop or comma behind a letter is split off by the pattern, so the word before it may be known already.
             ended = [w for w in missing if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()] if self.by_letters else []
-            wanted = list((missing.difference(ended) | {w[:-1] for w in ended} | {".", ","}).difference(known))
+            wanted = (missing.difference(ended) | {w[:-1] for w in ended} | {".", ","}).difference(known)
+            again = wanted & self.old.keys()
+            known.update((w, self.old[w]) for w in again)
+            wanted = list(wanted - again)
             known.update(zip(wanted, self._words(wanted), strict=True))
             known.update((w, known[w[:-1]] + known[w[-1]]) for w in ended)
             found = [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
@@ -238,8 +258,13 @@ def write_ids(
 ) -> None:
     """Encode every text, append end_id, and write the files to `folder`, which must not exist."""
     end = np.array([end_id], "<u4").tobytes()
+    texts = columns_of(docs, id_col, text_col)
+    # Files follow bytes, not records: as many ranges as the text needs, where that is more than the session asks for.
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    needed = -(-size // FILE_BYTES)
+    asked = [needed] if needed > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
     # Sampling for the ranges reads the ids only; the texts are encoded once, behind the exchange.
-    rows = columns_of(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = texts.repartitionByRange(*asked, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         model, out = encoder(tokenizer), FileWriter(bits, block)

@@ -72,6 +72,15 @@ def test_large_group_in_blocks(make):
     assert found(make(docs), rules) == brute(docs, 4)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_texts_that_share_an_id_are_one_document(make, parts):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = [(3, a), (5, a), (5, b), (9, b), (9, c), (12, c), (20, "alone"), (21, a + " end")]
+    got = found(make(docs, parts), Rules(width=4))
+    assert got == brute(docs, 4)
+    assert {r[0]: r[2] for r in got} == {3: 3, 5: 3, 9: 3, 12: 3, 20: 20, 21: 3}
+
+
 def test_chain_is_linked_through_its_members(make):
     words = [f"w{i}" for i in range(200)]
     docs = [(i, " ".join(words[6 * i : 6 * i + 100])) for i in range(10)]

@@ -83,6 +83,19 @@ def test_odd_rows(make, odd):
     assert bytes(row["kept"]) == b"abc"
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_texts_that_share_an_id(make, parts):
+    """Marks of one text stay off the other texts of its id, whatever the order of the rows."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    x, y, z = noise(300), noise(300), noise(120)
+    docs = [(1, x), (2, x), (2, y), (2, x), (3, y[50:200] + z), (3, z + y[100:250]), (None, z), (None, noise(40) + z), (4, x[:150] + noise(30) + y[:150])]
+    for seed in range(3):
+        random.Random(seed).shuffle(docs)
+        assert found(make(docs, parts), SMALL) == brute(docs, 20)
+    assert {r[2] for r in found(make([(1, x), (2, x), (2, y)], parts), SMALL) if r[0] == 2} == {0, 300}
+
+
 def test_contexts_cover_every_window_once():
     rng = random.Random(4)
     data = bytes(rng.choice(b"abcd") for _ in range(3000))

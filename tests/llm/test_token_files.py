@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from cohortlens.llm import token_files
 from cohortlens.llm.token_files import FileReader, FileWriter, encoder, ids_of, planes_of, read_digests, read_ids, write_ids
 from cohortlens.session import scratch_path
 
-TEXTS = ["The Quick  brown\tfox's 123 jumps.\n", "<|startoftext|>x <|endoftext|>", "é é 日本語😀", "a b c\x1fd", "word " * 5000, "I'M they'Re", "<|STARTOFTEXT|> A<|endoftext|>B", "ΣΑΣ Σ İstanbul A\u0301 e\u0301\u00a0x\u2003y", "\u0301 \u0301a \u200b"]
+TEXTS = ["The Quick  brown\tfox's 123 jumps.\n", "<|startoftext|>x <|endoftext|>", "é é 日本語😀", "a b c\x1fd", "word " * 5000, "I'M they'Re", "<|STARTOFTEXT|> A<|endoftext|>B", "ΣΑΣ Σ İstanbul A\u0301 e\u0301\u00a0x\u2003y", "\u0301 \u0301a \u200b", "\x01 a\x01b \x01\x01 c"]
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -46,6 +47,30 @@ def test_word_table_gives_the_ids_of_whole_texts(spark, files):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_forgotten_by_generations(spark, files, monkeypatch):
+    path = files("word_bpe_49k.json")
+    monkeypatch.setattr(token_files, "REMEMBERED", 40)
+    model, whole = token_files.Encoder(path), Tokenizer.from_file(path)
+    asked = []
+    plain = model._words
+    monkeypatch.setattr(model, "_words", lambda words: asked.extend(words) or plain(words))
+    texts = [f"often seen words, and w{i} x{i}y. z{i}, \x01 q{i}\x01" for i in range(400)]
+    for i in range(0, len(texts), 5):
+        for text, ids in zip(texts[i : i + 5], model.encode([x.encode() for x in texts[i : i + 5]]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(model.known) < 100 and len(model.old) < 100
+    assert asked.count("often") == 1 and asked.count("words") == 1
+
+
+def test_ranges_follow_bytes(spark, make, files, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
+    to = scratch_path(spark, "ids")
+    docs = [(i, "some words here " * 20) for i in range(100)]
+    write_ids(make(docs), files("word_bpe_49k.json"), to)
+    assert 10 <= read_ids(spark, to).select("file").distinct().count() <= 17
+    assert [r["doc_id"] for r in read_digests(spark, to).orderBy("start").collect()] == list(range(100))
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_written_and_read_back(spark, make, odd, files, name):
     path = files(name)
