@@ -9,8 +9,8 @@ from ..functions.hashing import cohort_key
 from ..operators import detect, metrics, ranking, whatif
 from ..session import materialize
 from .tables import (
-    FACT, FACT_SQL, IN_CURRENT, P_BASE, PLANTED_FACT, PRIOR_START, WINDOWS, lane_sql, metrics_sql, payments, planted, planted_sql,
-    query, scored_sql, shared, windowed_sql, z_sql,
+    FACT, FACT_SQL, IN_CURRENT, OVERLAY_SQL, PLANTED_FACT, PRIOR_START, WINDOWS, lane_sql, metrics_sql, payments, planted, planted_sql,
+    query, scored_sql, shared, windowed_sql, z_sql, stored_overlay,
 )
 
 BASE_SQL = f"WITH {FACT_SQL},{windowed_sql()},{metrics_sql()}"
@@ -155,14 +155,12 @@ def _(t):
 
 @query(
     "j02_effective_outcomes",
-    f"""WITH {planted_sql((('gateway', 'gateway_C', 2.0, 'incident-1'),))}
-SELECT {IN_CURRENT.replace('f.ts', 'ts')} = 1 AS overlaid, CASE WHEN {NOW_SQL} THEN 'SIMULATED' ELSE 'OBSERVED' END AS source_layer,
-  status, response_code, count(*) AS rows FROM planted GROUP BY ALL""",
+    f"""WITH {FACT_SQL},{OVERLAY_SQL}
+SELECT o.txn_id IS NOT NULL AS overlaid, CASE WHEN o.txn_id IS NOT NULL THEN 'SIMULATED' ELSE 'OBSERVED' END AS source_layer,
+  coalesce(o.status, f.status) AS status, coalesce(o.response_code, f.response_code) AS response_code, count(*) AS rows FROM fact f LEFT JOIN overlay o USING (txn_id) GROUP BY ALL""",
 )
 def _(t):
-    fact = payments(t)
-    overlay = whatif.stress_overlay(fact, FACT, {"gateway": "gateway_C"}, F.lit(P_BASE), 2.0, "incident-1", *CURRENT)
-    return metrics.effective_outcomes(fact, overlay, FACT).groupBy("overlaid", "source_layer", "status", "response_code").agg(
+    return metrics.effective_outcomes(payments(t), stored_overlay(t), FACT).groupBy("overlaid", "source_layer", "status", "response_code").agg(
         F.count(F.lit(1)).alias("rows")
     )
 
@@ -197,20 +195,18 @@ def _(t):
 
 @query(
     "j12_cohort_rows_current_outcome",
-    f"""WITH {planted_sql((('gateway', 'gateway_C', 2.0, 'incident-1'),))}
-SELECT f.txn_id, CAST(f.amount AS DOUBLE) AS amount, f.status AS observed_status, p.status AS current_status
-FROM fact f JOIN planted p USING (txn_id) WHERE f.ts >= TIMESTAMP '1997-01-01' AND f.ts < TIMESTAMP '1998-01-01' AND f.gateway = 'gateway_C'""",
+    f"""WITH {FACT_SQL},{OVERLAY_SQL}
+SELECT f.txn_id, CAST(f.amount AS DOUBLE) AS amount, f.status AS observed_status, o.status AS current_status
+FROM fact f JOIN overlay o USING (txn_id) WHERE f.ts >= TIMESTAMP '1997-01-01' AND f.ts < TIMESTAMP '1998-01-01' AND o.in_affected_cohort""",
 )
 def _(t):
     fact = payments(t).where(metrics.in_window(F.col("ts"), *CURRENT))
-    overlay = whatif.stress_overlay(fact, FACT, {"gateway": "gateway_C"}, F.lit(P_BASE), 2.0, "incident-1", *CURRENT)
-    side = overlay.where("in_affected_cohort").select("txn_id", F.col("status").alias("current_status"))
+    side = stored_overlay(t).where("in_affected_cohort").select("txn_id", F.col("status").alias("current_status"))
     return fact.join(side, "txn_id").select(
         "txn_id", F.col("amount").cast("double").alias("amount"), F.col("status").alias("observed_status"), "current_status"
     )
 
 
-# ----------------------------------------------------------------------------------------------------- aggregates
 @query("a01_cohort_metric_block", f"""{BASE_SQL} SELECT "window", dim_set, cohort_key, {SHOWN} FROM metrics""")
 def _(t):
     return fresh_table(t).selectExpr("window", "dim_set", "cohort_key", *MEASURES)

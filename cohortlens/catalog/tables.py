@@ -252,6 +252,30 @@ def planted_sql(causes=CAUSES) -> str:
     return text
 
 
+# --------------------------------------------------------------------------------------------------------------
+# An overlay as stored by some earlier run: outcomes of the current window, every third order of gateway_C's failing. By rule, no draw.
+
+OVERLAY_SQL = """overlay AS (
+  SELECT txn_id, order_id, status AS observed_status, latency_ms, gateway = 'gateway_C' AS in_affected_cohort,
+    gateway = 'gateway_C' AND status <> 'FAILED' AND order_id % 3 = 0 AS outcome_changed,
+    CASE WHEN gateway = 'gateway_C' AND order_id % 3 = 0 THEN 'FAILED' ELSE status END AS status,
+    CASE WHEN gateway = 'gateway_C' AND status <> 'FAILED' AND order_id % 3 = 0 THEN 'TIMEOUT' ELSE response_code END AS response_code
+  FROM fact WHERE ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1998-01-01'
+)"""
+
+
+def stored_overlay(t: Tables) -> DataFrame:
+    from ..operators.metrics import in_window
+
+    rows = payments(t).where(in_window(F.col("ts"), WINDOWS.current_start, WINDOWS.current_end))
+    member = F.col("gateway") == "gateway_C"
+    changed = member & (F.col("status") != "FAILED") & (F.col("order_id") % 3 == 0)
+    return rows.select(
+        "txn_id", "order_id", F.col("status").alias("observed_status"), "latency_ms", member.alias("in_affected_cohort"), changed.alias("outcome_changed"),
+        F.when(changed, "FAILED").otherwise(F.col("status")).alias("status"), F.when(changed, "TIMEOUT").otherwise(F.col("response_code")).alias("response_code"),
+    )
+
+
 IN_CURRENT = "CASE WHEN f.ts >= TIMESTAMP '1997-01-01' AND f.ts < TIMESTAMP '1998-01-01' THEN 1 ELSE 0 END"
 
 

@@ -85,24 +85,6 @@ def _stress_columns(spec: FactSpec, definition: dict[str, str], p_base: Column,
     return member, changed, p_added, code
 
 
-def stress_overlay(
-    fact: DataFrame, spec: FactSpec, definition: dict[str, str], p_base: Column, multiplier: float, key: str, start, end
-) -> DataFrame:
-    """Overlay rows for one window slice. Members that succeeded may fail; failures never change; the rest is copied."""
-    rows = fact.where(in_window(F.col(spec.time), start, end))
-    member, changed, p_added, code = _stress_columns(spec, definition, p_base, multiplier, key)
-    return rows.select(
-        F.col(spec.id),
-        F.col(spec.outcome).alias("observed_status"),
-        F.when(changed, spec.failed_value).otherwise(F.col(spec.outcome)).alias(spec.outcome),
-        F.when(changed, code).otherwise(F.col(spec.code)).alias(spec.code),
-        F.col(spec.latency),
-        member.alias("in_affected_cohort"),
-        changed.alias("outcome_changed"),
-        F.when(member, p_added).otherwise(F.lit(0.0)).alias("added_probability"),
-    )
-
-
 def expected_failures(fact: DataFrame, spec: FactSpec, definition: dict[str, str], p_base: Column, multiplier: float, start, end) -> DataFrame:
     """Rows of one window slice by membership and outcome, and how many of them fail in expectation under the stress."""
     member = member_of(definition)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.functions import vocabulary as v
 from cohortlens.functions.hashing import digest, lane_uniform
+from cohortlens.operators import metrics, whatif
+from cohortlens.spec import FactSpec
 
 VALID = {
     "transaction id": "TXN0000000001", "timestamp": "2024-06-15 12:30:45", "transaction type": "P2M", "merchant_category": "Grocery",
@@ -48,3 +50,21 @@ def payments(spark: SparkSession, n: int = 8000, base: float = 0.05) -> DataFram
         pick("device", v.DEVICES).alias("device"),
         pick("net", v.NETWORKS).alias("network"),
     )
+
+
+def stress_overlay(
+    fact: DataFrame, spec: FactSpec, definition: dict[str, str], p_base, multiplier: float, key: str, start, end
+) -> DataFrame:
+    """Overlay rows for one window slice. Members that succeeded may fail; failures never change; the rest is copied."""
+    rows = fact.where(metrics.in_window(F.col(spec.time), start, end))
+    member, changed, p_added, code = whatif._stress_columns(spec, definition, p_base, multiplier, key)
+    return rows.select(
+        F.col(spec.id),
+        F.col(spec.outcome).alias("observed_status"),
+        F.when(changed, spec.failed_value).otherwise(F.col(spec.outcome)).alias(spec.outcome),
+        F.when(changed, code).otherwise(F.col(spec.code)).alias(spec.code),
+        F.col(spec.latency),
+        member.alias("in_affected_cohort"),
+        changed.alias("outcome_changed"),
+        F.when(member, p_added).otherwise(F.lit(0.0)).alias("added_probability"),
+    )

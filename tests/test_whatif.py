@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import whatif
 from cohortlens.spec import FactSpec
 
-from fixtures import payments
+from fixtures import payments, stress_overlay
 
 NOW = (datetime(2024, 3, 10), datetime(2024, 3, 13))
 
@@ -35,7 +35,7 @@ def test_overlay_changes_only_members_and_equals_inline_stress(spark):
     spec = FactSpec()
     fact = payments(spark, 3000)
     args = ({"gateway": "gateway_C"}, F.lit(0.05), 6.0, "i", *NOW)
-    overlay = whatif.stress_overlay(fact, spec, *args)
+    overlay = stress_overlay(fact, spec, *args)
     assert overlay.where("outcome_changed AND NOT in_affected_cohort").count() == 0
     assert overlay.where("observed_status = 'FAILED' AND status <> 'FAILED'").count() == 0
     inline = whatif.stress(fact, spec, *args).where("overlaid").select("txn_id", "status", "response_code")
