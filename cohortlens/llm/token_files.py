@@ -29,6 +29,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,21 @@ def _independent_words(spec: dict) -> bool:
     return bool(plain and split and rest and added and "[^\\s" in pattern and " " not in pattern)
 
 
+#: Letters up to here stay as they are under NFC, and every version of Unicode knows them as letters.
+_PLAIN_END = "\u0250"
+
+
+def _letters(spec: dict) -> dict[int, str] | None:
+    """What the model is given for each plain lower-case letter, where a word of such letters reaches it in one piece; else None."""
+    pres = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if spec["model"].get("type") != "BPE" or spec["model"].get("dropout") or len(pres) != 2 or pres[1].get("use_regex"):
+        return None
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {ord(c): bytes_of.pre_tokenize_str(c)[0][0] for c in map(chr, range(ord(_PLAIN_END))) if c.isalpha() and c == c.lower()}
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,6 +98,7 @@ class Encoder:
         #: words are encoded once a worker, and rare ones are forgotten.
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.letters = _letters(spec) if self.by_letters and self.lower else None
         alone = self.model.encode(_MARK, add_special_tokens=False).ids
         self.mark = alone[0] if len(alone) == 1 else None
 
@@ -89,7 +106,18 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of single words: many are encoded as one text, with a mark between them whose token tells where the next one begins."""
+        """Ids of single words. Those of plain lower-case letters go to the library's model at once, the others through its whole course."""
+        if self.letters is None:
+            return self._marked(words)
+        plain = [w.isalpha() and max(w) < _PLAIN_END and w == w.lower() for w in words]
+        rest = iter(self._marked([w for w, own in zip(words, plain, strict=True) if not own]))
+        split, letters = self.model.model.tokenize, self.letters
+        return [
+            array("I", [x.id for x in split(w.translate(letters))]).tobytes() if own else next(rest) for w, own in zip(words, plain, strict=True)
+        ]
+
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """Ids of single words of any kind: many are encoded as one text, with a mark between them whose token tells where the next one begins."""
         out = []
         for start in range(0, len(words), 512):
             some = words[start : start + 512]

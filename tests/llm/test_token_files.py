@@ -47,6 +47,19 @@ def test_word_table_gives_the_ids_of_whole_texts(spark, files):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_plain_letters_skip_nothing(files):
+    """Words that go to the model at once have the ids of the whole course."""
+    path = files("word_bpe_49k.json")
+    model, whole = token_files.Encoder(path), Tokenizer.from_file(path)
+    assert model.letters and token_files.Encoder(files("byte_bpe_50k.json")).letters is None
+    rng = random.Random(8)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "aäöüßéèñçœøðþªºµŉǆǅ", "".join(map(chr, range(0xAA, 0x280))), "aAzZ09'", "e\u0301ïΣσς日"]
+    words = ["".join(rng.choice(kinds[min(i % 7, 4)]) for _ in range(rng.randint(1, 14))) for i in range(4000)]
+    words = [w for w in words if w.split() == [w]]
+    for word, ids in zip(words, model._words(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(word, add_special_tokens=False).ids, word
+
+
 def test_words_are_forgotten_by_generations(spark, files, monkeypatch):
     path = files("word_bpe_49k.json")
     monkeypatch.setattr(token_files, "REMEMBERED", 40)
