@@ -171,7 +171,8 @@ def candidate_table(t):
     p = g.select(F.col("gateway").alias("target_gateway"), F.col("failure_probability").alias("p_target"))
     options = whatif.build_candidates(incidents(t), g)
     # A moved row's latency changes as the mean latencies of its old and new gateway do; a segment moves from all of them.
-    rows = payments(t).where(metrics.in_window(F.col("ts"), *CURRENT)).groupBy("gateway").agg(F.sum("latency_ms").alias("_s"), F.count("latency_ms").alias("_n"))
+    # Every row of the window is in the cohort of its own gateway's incident, so the written cohort has them all.
+    rows = cohort(t).where("NOT degraded_elsewhere").groupBy("gateway").agg(F.sum("latency_ms").alias("_s"), F.count("latency_ms").alias("_n"))
     means = materialize(rows.unionByName(rows.agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")).withColumn("gateway", F.lit("*"))).withColumn("_m", F.col("_s") / F.col("_n")))
     to = means.select(F.col("gateway").alias("target_gateway"), F.col("_m").alias("_to"))
     of = means.select(F.col("gateway").alias("_source"), F.col("_m").alias("_of"))
