@@ -6,13 +6,14 @@ digest and the id of the response. Record ids are derived from page ids, so a re
 writer puts the records down with CRLF CRLF between them, so archives can be written wherever Spark can.
 
 Reading. The magic line that starts a record can also stand inside a payload, so finding it proves nothing. For each place where it stands
-and a header with a content length follows, a task emits the offset and the offset of the record that would follow. Inside a range
+behind two line ends and a header with a content length follows, a task emits the offset and the offset of the record that would follow. Inside a range
 of `range_bytes`, such links are followed at once to the first offset beyond the range. Pointer jumping then doubles the known ranges: from
 the offsets that file starts lead to, each round goes twice as far, so rounds grow with the logarithm of the ranges in a
 file. Only records that the chain from offset 0 reaches are kept. A chain that breaks (truncated or damaged file) ends there.
 
-Archives are read through the binaryFile source: one file is one cell and must be below 2 GB; the writer keeps files
-to `file_records` records. Bytes are kept as they are, so payloads in other encodings survive.
+Archives are read through the binaryFile source: one file is one cell and must be below 2 GB. The writer therefore bounds files by bytes:
+pages below `large_bytes` go at most `file_bytes` / `large_bytes` to a file, the others are written apart, as many to a file as the largest
+of them allows. Bytes are kept as they are, so payloads in other encodings survive.
 
 Null html is an empty payload, a null url an empty one; tabs and line ends in urls are percent-encoded, other
 control characters become question marks. Repeated rows are written as often as they come; those that repeat the response's id are
@@ -31,7 +32,10 @@ from .common import map_rows, stage
 
 MAGIC = b"WARC/1.0\r\n"
 MIN_BYTES = 1000
-FILE_RECORDS = 2000
+#: A file holds about this many payload bytes at most, or one record.
+FILE_BYTES = 1 << 29
+#: Payloads from here on are written to files of their own.
+LARGE_BYTES = 1 << 19
 RANGE_BYTES = 1 << 22
 #: Archives carry this date; the pages have none.
 DATE = "2000-01-01T00:00:00Z"
@@ -60,6 +64,12 @@ def choose_responses(pages: DataFrame, id_col: str, url_col: str, html_col: str,
     return found.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
+def _weight() -> F.Column:
+    """Bytes of a record's parts that have no bound of their own: the payload and the url, of which a byte may become three."""
+    html, url = (F.coalesce(F.octet_length(c).cast("long"), F.lit(0)) for c in ("html", "url"))
+    return html + 3 * url
+
+
 def _record_id(page_id) -> F.Column:
     return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))
 
@@ -106,30 +116,54 @@ def write_warc(
     url_col: str = "url",
     html_col: str = "html",
     min_bytes: int = MIN_BYTES,
-    file_records: int = FILE_RECORDS,
+    file_bytes: int = FILE_BYTES,
+    large_bytes: int = LARGE_BYTES,
 ) -> None:
     rows = choose_responses(pages, id_col, url_col, html_col, min_bytes)
-    writer = record_text(rows).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records)
-    writer.text(folder)
+    texts = pages.select(pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
+    largest = texts.agg(F.max(_weight())).first()[0] or 0
+
+    def put(some: DataFrame, most: int, mode: str) -> None:
+        writer = record_text(some).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, file_bytes // most))
+        writer.mode(mode).text(folder)
+
+    if largest < large_bytes:
+        put(rows, large_bytes, "error")
+    else:
+        put(rows.where(_weight() < large_bytes), large_bytes, "error")
+        put(rows.where(_weight() >= large_bytes), largest, "append")
 
 
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.I)
 
 
 def candidates(content: bytes) -> list[tuple[int, int, int]]:
-    """(offset, end of header, offset behind the record) wherever the magic stands and a header follows."""
-    out, at = [], content.find(MAGIC)
+    """(offset, end of header, offset behind the record) wherever a record may start and a header with a length follows.
+
+    A record starts the file or stands behind the two line ends that close the one before it. So no header
+    reaches into the next candidate, and the work follows the bytes however many magic lines a payload holds.
+    """
+    out, at = [], 0 if content.startswith(MAGIC) else -1
+    if at < 0:
+        at = _next_start(content, 0)
     while at >= 0:
         end = content.find(b"\r\n\r\n", at)
-        found = _LENGTH.search(content, at, end + 2) if end > 0 else None
+        if end < 0:
+            break
+        found = _LENGTH.search(content, at, end + 2)
         if found:
             after = end + 4 + int(found[1]) + 4
             if after <= len(content):
                 out.append((at, end + 4, after))
-        at = content.find(MAGIC, at + 1)
+        at = _next_start(content, end)
     return out
 
 
+def _next_start(content: bytes, since: int) -> int:
+    at = content.find(b"\r\n\r\n" + MAGIC, since)
+    return at + 4 if at >= 0 else -1
+
+
 _FOUND = (
     "file string, offset long, next long, exit long, record_type string, record_id string, url string, digest string, "
     "refers_to string, payload_bytes long, payload binary, block_digest string"

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -57,7 +58,7 @@ def test_round_trip_with_magic_inside_payloads(spark, archive, range_bytes):
 
 def test_one_large_file_of_many_ranges(spark, archive):
     rows = [(i, f"http://x/{i}", TRAP if i % 3 else f"page {i} " * 150) for i in range(1, 200)]
-    to = archive(rows, file_records=1000)
+    to = archive(rows, file_bytes=1 << 30)
     assert pages_of(read_warc(spark, to, range_bytes=1000, payloads=False)) == brute(rows)
 
 
@@ -76,3 +77,31 @@ def test_null_ids_repeats_and_empty(spark, archive):
     got = pages_of(read_warc(spark, archive(rows)))
     assert [r[3] for r in got] == ["response"] * 4 and [r[0] for r in got] == ["", "", "3", "3"]
     assert read_warc(spark, archive([])).count() == 0
+
+
+def _sizes(spark, to):
+    return sorted(r["length"] for r in spark.read.format("binaryFile").load(to).where("path LIKE '%part-%'").select("length").collect())
+
+
+def test_files_are_bounded_by_bytes(spark, archive):
+    rows = [(i, "u", f"{i} " * 200) for i in range(1, 60)] + [(100 + i, "u", f"{i}" * 3_000_000) for i in range(1, 4)] + [(200, "v" * 5000, "t")]
+    to = archive(rows, file_bytes=20_000, large_bytes=2_000)
+    sizes = _sizes(spark, to)
+    assert len(sizes) > 8 and sizes[-4] < 30_000 and sizes[-3] > 2_900_000 and sizes[-1] < 3_100_000
+    assert pages_of(read_warc(spark, to, range_bytes=1 << 16)) == brute(rows)
+
+
+def test_many_magic_lines_take_linear_time():
+    record = lambda body: MAGIC + b"WARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    open_ended = record(MAGIC * 100_000)
+    closed = record((b"\r\n\r\n" + MAGIC) * 100_000)
+    started = time.process_time()
+    for content in (open_ended, closed):
+        links = candidates(content + record(b"next"))
+        assert links[0][0] == 0 and links[0][2] == len(content) and links[-1][0] == len(content)
+    assert time.process_time() - started < 5
+
+
+def test_a_header_may_name_the_magic():
+    content = MAGIC + b"WARC-Target-URI: http://x/WARC/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert candidates(content) == [(0, len(content) - 6, len(content))]
