@@ -5,6 +5,8 @@ a unit slot (5kg counts as both), a capitalised word inside a sentence a name sl
 two template windows, one with names as slots and one with names as words, so that copies in one case are met, too. A run with a
 capitalised word at the start of a sentence gives a third, wide one, in which that is a name slot as well. Windows with
 fewer than `literals` plain words say nothing and are left out; an item shorter than `width` is one window of its own length.
+An item without any template window (arithmetic, for example) has literal windows instead, in which numbers, units and names are
+words as they stand: it is found by copies only. Such an item has words of `shortest` bytes together or is left out, as `5 kg` stands anywhere.
 
 Windows of documents are joined with those of items by hash. A match has a diagonal, its place in the document minus that in the
 item. On one diagonal each slot value of the item must stand for one value in the document: 3 may become 7, but everywhere. Windows
@@ -17,7 +19,7 @@ Before the join, windows are looked up in a bit table of fixed size that the ite
 with the benchmark, and windows of clean documents never leave their task. A passage that many documents hold is
 a hot key of the join; adaptive execution splits it, and matches are gathered per document and item.
 
-Null and empty texts match nothing, nor do items without any window. Rows without an id are not reported. Documents or items
+Null and empty texts match nothing, nor do items without any window (no words, or too short for literal ones). Rows without an id are not reported. Documents or items
 that share an id are one; copies give the same matches. Columns other than ids and texts are not looked at.
 """
 
@@ -54,6 +56,8 @@ _STRIP = "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…"
 _SENTENCE = (b".", b"!", b"?", b":", b'."', b'!"', b'?"')
 _CAPITAL, _ENDS, _NUMBER, _UNIT, _SKIP = 1, 2, 4, 8, 16
 _SLOT = np.array([0x6E756D62, 0x756E6974, 0x6E616D65], np.uint64)
+#: Keeps literal windows apart from templates that happen to have no slot.
+_LITERAL = np.uint64(0x6C69746572616C73)
 REMEMBERED = 250_000
 
 
@@ -62,6 +66,7 @@ class Rules:
     width: int = 6
     literals: int = 2
     coverage: float = 0.4
+    shortest: int = 8
 
 
 class _Words(dict):
@@ -113,8 +118,13 @@ def forget() -> None:
     _known.clear()
 
 
-def windows(data: bytes, widths: list[int], rules: Rules) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], int, bool]]:
-    """For each width and variant: (hashes, starts among the words, slot mask of all words, words, width, whether they are wide)."""
+def windows(
+    data: bytes, widths: list[int], rules: Rules, literal: list[int] = ()
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], int, bool]]:
+    """For each width and variant: (hashes, starts among the words, slot mask of all words, words, width, whether they are wide).
+
+    literal: widths of literal windows, which have no slots.
+    """
     if not _known:
         _known.append(_Words())
     words = _GLUED.sub(b" ", data).split()
@@ -148,6 +158,10 @@ def windows(data: bytes, widths: list[int], rules: Rules) -> list[tuple[np.ndarr
                     good &= opened[width:] > opened[:n]
                 good = np.flatnonzero(good)
                 out.append((rolled[good], good, slots, kept, width, wide))
+    for width in literal:
+        n = len(hashes) - width + 1
+        if n > 0:
+            out.append((roll(hashes, width) ^ _LITERAL, np.arange(n), np.zeros(len(hashes), bool), kept, width, False))
     return out
 
 
@@ -156,28 +170,31 @@ def _slot_values(words: list[bytes], slots: np.ndarray, start: int, width: int)
 
 
 def item_windows(items: DataFrame, rules: Rules, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, window, width, item_at, item_slots, n_windows, item_wide)."""
+    """(item_id, window, width, item_at, item_slots, n_windows, item_wide, literal)."""
     rows = columns_of(items, id_col, text_col).where("doc_id IS NOT NULL")
 
     def run(batches):
         for batch in batches:
             out = []
             for item, data in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                n_words = sum(1 for w in _GLUED.sub(b" ", data).split() if plain(w))
-                width = min(rules.width, n_words)
+                words = [w for w in map(plain, _GLUED.sub(b" ", data).split()) if w]
+                width = min(rules.width, len(words))
                 found = windows(data, [width], rules) if width else []
+                literal = not any(len(starts) for _, starts, *_ in found)
+                if literal and sum(map(len, words)) >= rules.shortest:
+                    found = windows(data, [], rules, [width])
                 n = len({int(i) for _, starts, *_ in found for i in starts})
                 for hashes, starts, slots, words, _, wide in found:
                     for h, i in zip(hashes.view(np.int64).tolist(), starts.tolist(), strict=True):
-                        out.append((item, h, width, i, _slot_values(words, slots, i, width), n, wide))
-            yield _rows(out, ["item_id", "window", "width", "item_at", "item_slots", "n_windows", "item_wide"], 4)
+                        out.append((item, h, width, i, _slot_values(words, slots, i, width), n, wide, literal))
+            yield _rows(out, ["item_id", "window", "width", "item_at", "item_slots", "n_windows", "item_wide", "literal"], 4, (6, 7))
 
-    schema = "item_id long, window long, width long, item_at long, item_slots array<string>, n_windows long, item_wide boolean"
+    schema = "item_id long, window long, width long, item_at long, item_slots array<string>, n_windows long, item_wide boolean, literal boolean"
     return map_rows(rows, run, schema, forget)
 
 
-def _rows(out: list[tuple], names: list[str], text_at: int) -> pa.RecordBatch:
-    kinds = {text_at: pa.list_(pa.string()), len(names) - 1: pa.bool_()}
+def _rows(out: list[tuple], names: list[str], text_at: int, flags: tuple[int, ...]) -> pa.RecordBatch:
+    kinds = {text_at: pa.list_(pa.string())} | {i: pa.bool_() for i in flags}
     cols = [pa.array([r[i] for r in out], kinds.get(i, pa.int64())) for i in range(len(names))]
     return pa.RecordBatch.from_arrays(cols, names)
 
@@ -185,8 +202,9 @@ def _rows(out: list[tuple], names: list[str], text_at: int) -> pa.RecordBatch:
 def doc_windows(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
     """(doc_id, window, doc_at, doc_slots, doc_wide) of documents, only those whose bit an item set. items: from item_windows."""
     table = bit_table(items.select(F.pmod("window", F.lit(1 << TABLE_BITS))), TABLE_BITS)
-    # As many as `width` different ones at most.
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())
+    # As many as `width` different ones at most, of each kind.
+    kinds = items.select("width", "literal").distinct().collect()
+    widths, literal = (sorted(r["width"] for r in kinds if r["literal"] is kind) for kind in (False, True))
     shared = docs.sparkSession.sparkContext.broadcast(table)
     mask = np.uint64((1 << TABLE_BITS) - 1)
 
@@ -195,13 +213,13 @@ def doc_windows(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
         for batch in batches:
             out = []
             for doc, data in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                for hashes, starts, slots, words, width, wide in windows(data, widths, rules):
+                for hashes, starts, slots, words, width, wide in windows(data, widths, rules, literal):
                     bits = (hashes & mask).astype(np.int64)
                     hit = np.flatnonzero(is_set(table, bits))
                     for k in hit.tolist():
                         i = int(starts[k])
                         out.append((doc, int(hashes[k].astype(np.int64)), i, _slot_values(words, slots, i, width), wide))
-            yield _rows(out, ["doc_id", "window", "doc_at", "doc_slots", "doc_wide"], 3)
+            yield _rows(out, ["doc_id", "window", "doc_at", "doc_slots", "doc_wide"], 3, (4,))
 
     schema = "doc_id long, window long, doc_at long, doc_slots array<string>, doc_wide boolean"
     return map_rows(docs.where("doc_id IS NOT NULL"), run, schema, forget)
@@ -239,7 +257,7 @@ def contaminated(
     hits = doc_windows(columns_of(docs, id_col, text_col), known, rules)
     wide = (F.col("doc_wide") | F.col("item_wide")).alias("wide")
     pairs = (
-        hits.join(known, "window")
+        hits.join(known.drop("literal"), "window")
         .groupBy("doc_id", "item_id")
         .agg(F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("doc_at", "item_at", "doc_slots", "item_slots", wide)).alias("matches"))
     )
