@@ -416,14 +416,13 @@ def _(t):
 
 
 # ----------------------------------------------------------------------------------------------------- fingerprints
-def _tree_sql(source: str, line: str, levels=(6, 3, 0)) -> str:
-    """SQL text of the digest tree over `source`, ending in one row."""
-    text_ = f"""d AS (SELECT sha256({line}) AS d, count(*) AS n FROM {source} GROUP BY 1),
-t{levels[0]} AS (SELECT substr(d, 1, {levels[0]}) AS prefix, sum(n) AS n, sha256(string_agg(d || ':' || n, chr(10) ORDER BY d || ':' || n)) AS digest FROM d GROUP BY 1)"""
-    for below, i in zip(levels, levels[1:]):
-        text_ += f""",
-t{i} AS (SELECT substr(prefix, 1, {i}) AS prefix, sum(n) AS n, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix || ':' || digest)) AS digest FROM t{below} GROUP BY 1)"""
-    return text_
+def _tree_sql(source: str, line: str) -> str:
+    """SQL text of the content fingerprint of `source`, ending in one row of t0."""
+    size, words = fingerprint.WORD_DIGITS, range(fingerprint.WORDS)
+    sums = ", ".join(f"sum(CAST('0x' || substr(d, {1 + size * i}, {size}) AS BIGINT)) AS w{i}" for i in words)
+    shown = " || ':' || ".join(["leaf", "n", *(f"w{i}" for i in words)])
+    return f"""leaves AS (SELECT substr(d, 1, {fingerprint.LEAF_DIGITS}) AS leaf, count(*) AS n, {sums} FROM (SELECT sha256({line}) AS d FROM {source}) GROUP BY 1),
+t0 AS (SELECT coalesce(sum(n), 0) AS n, sha256(coalesce(string_agg({shown}, chr(10) ORDER BY {shown}), '')) AS digest FROM leaves)"""
 
 
 FINGERPRINT_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "price", "placed")

@@ -101,3 +101,10 @@ def test_fingerprint_ignores_order_and_sees_content(spark):
     assert fingerprint.content_fingerprint(shuffled).first() == base and base["rows"] == 2000
     assert fingerprint.content_fingerprint(spark.createDataFrame(rows[:-1] + [(1, "x")], "a int, b string")).first()["fingerprint"] != base["fingerprint"]
     assert fingerprint.content_fingerprint(spark.createDataFrame(rows[:-1], "a int, b string")).first()["fingerprint"] != base["fingerprint"]
+
+
+def test_fingerprint_counts_repeats_and_takes_empty_tables(spark):
+    of = lambda rows: fingerprint.content_fingerprint(spark.createDataFrame(rows, "a int, b string"), None).first()
+    once, twice, other = of([(1, "x")]), of([(1, "x")] * 2), of([(1, None)])
+    assert len({r["fingerprint"] for r in (once, twice, other, of([]))}) == 4
+    assert of([])["rows"] == 0 and twice["rows"] == 2
