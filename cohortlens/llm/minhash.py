@@ -14,7 +14,8 @@ intersection of their sets is at least `percent` hundredths of the union.
    links in number of its documents; these are confirmed like the others. So no pair that shares a bucket is left open.
 
 With 32 bands of 4, a pair at 0.8 misses all buckets with probability 5e-8. Step 4 asks for an estimate from the minima of at least the
-threshold less 0.16, which is over four standard deviations, and allows for two chance matches among the cut shingles.
+threshold less MARGIN, which a pair at 0.8 misses with less than 1e-9, and allows for as many chance matches among the cut shingles as their
+numbers make likely, so a pair near the threshold never hides another one.
 
 A null text is empty. A document without an id is never linked: its component is null and it is kept. Rows that share an id
 count as one document with all their texts; each gives a row. Column names other than id and text are of no importance.
@@ -50,6 +51,9 @@ class Rules:
         return self.bands * self.rows
 
 
+#: How far below the threshold the estimate from the minima may lie in step 4: seven standard deviations.
+MARGIN = 0.25
+
 #: What the contract of op1 asks for.
 FOUR_WORDS = Rules(width=4)
 
@@ -159,13 +163,18 @@ def _sketches(nodes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _compare_block(table: pa.Table, rules: Rules) -> tuple[list[int], list[int]]:
-    """Links (u, v) between different components in a pair of blocks, no more than join them."""
+    """Links (u, v) between different components in a pair of blocks: those that join them, and those that may not hold.
+
+    Sets are compared by 32 bits of a hash. By chance some x * y / 2^32 values of sets of x and y match, or fall together inside
+    a set, so an intersection is known up to `slack`. A pair that could be a link is handed on; its components count as one,
+    and pairs between them are left out from there on, only where it is a link in any case.
+    """
     part, node, comp, size = (table[c].to_numpy() for c in ("own", "node", "component", "size"))
     low = np.frombuffer(b"".join(table["minima"].to_pylist()), "<u4").reshape(len(part), -1)
     cut = [np.frombuffer(x, "<u4") for x in table["cut"].to_pylist()]
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    close = (rules.percent / 100 - 0.16) * rules.hashes
+    close = (rules.percent / 100 - MARGIN) * rules.hashes
     names, comp = np.unique(comp, return_inverse=True)
     home = np.arange(len(names))  # component -> the one it has been joined to
     us, vs = [], []
@@ -180,10 +189,12 @@ def _compare_block(table: pa.Table, rules: Rules) -> tuple[list[int], list[int]]
                 continue
             both = len(np.intersect1d(cut[x], cut[y], assume_unique=True))
             total = int(size[x] + size[y])
-            if 100 * (both + 2) >= rules.percent * (total - both - 2):
+            chance = float(size[x]) * float(size[y]) / 2**32
+            slack = 2 + int(chance + 6 * chance**0.5)
+            if 100 * (both + slack) >= rules.percent * (total - both - slack):
                 us.append(max(int(node[x]), int(node[y])))
                 vs.append(min(int(node[x]), int(node[y])))
-                if 100 * (both - 2) >= rules.percent * (total - both + 2):
+                if 100 * (both - slack) >= rules.percent * (total - both + slack):
                     home[home == a] = b
     return us, vs
 

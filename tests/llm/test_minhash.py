@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortlens.llm import minhash
@@ -105,3 +107,27 @@ def test_components_of_random_links(spark, seed):
 
 def test_no_links(spark):
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_pair_just_below_the_threshold_hides_no_link_of_large_sets():
+    rules = Rules()
+    rng = np.random.default_rng(3)
+    n = 450_000
+    base = rng.integers(0, 1 << 63, n, np.uint64)
+    fresh = lambda m: rng.integers(1 << 63, (1 << 64) - 1, m, np.uint64)
+    # Sets of one size that share 8 / 9 of it are at exactly 0.8.
+    def sharing(common):
+        return np.unique(np.concatenate([base[:common], fresh(n - common)]))
+
+    family = {1: np.sort(base), 2: sharing(n * 8 // 9 - 1), 3: sharing(n * 8 // 9)}
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert jaccard(family[1], family[2]) < 0.8 <= jaccard(family[1], family[3])
+
+    def row(node, part, component):
+        own = family[node]
+        cut = np.unique((own >> np.uint64(32)).astype("<u4")).tobytes()
+        return {"own": part, "i": 0, "j": 1, "node": node, "component": component, "size": len(own), "minima": minhash.minima(own, rules).tobytes(), "cut": cut}
+
+    # 2 and 3 are one component, so a false merge of 1 with 2 would leave out 1 and 3.
+    us, vs = minhash._compare_block(pa.Table.from_pylist([row(1, 0, 1), row(2, 1, 2), row(3, 1, 2)]), rules)
+    assert (3, 1) in set(zip(us, vs))
