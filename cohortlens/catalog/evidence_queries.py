@@ -16,26 +16,26 @@ CONFIG = DetectionConfig()
 DIMS = FACT.dims
 
 SUBJECT_SQL = f"""
-best AS (SELECT * FROM reported WHERE depth = 1 QUALIFY row_number() OVER (PARTITION BY dim_set ORDER BY rank) = 1),
-subj AS (
+best AS MATERIALIZED (SELECT * FROM reported WHERE depth = 1 QUALIFY row_number() OVER (PARTITION BY dim_set ORDER BY rank) = 1),
+subj AS MATERIALIZED (
   SELECT r.*, CAST(CASE WHEN r.rank <= 5 THEN r.rank ELSE CASE r.dim_set
     {' '.join(f"WHEN '{d}' THEN {6 + i}" for i, d in enumerate(DIMS))} END END AS INTEGER) AS subject_order
   FROM reported r WHERE r.rank <= 5 OR r.cohort_key IN (SELECT cohort_key FROM best)
 ),
-lead_conf AS (
+lead_conf AS MATERIALIZED (
   SELECT s.cohort_key, {', '.join(f's.{d} AS s_{d}' for d in DIMS)}, s.absolute_delta, b.cohort_key AS confounder_key,
     b.dim_set AS conf_dim, string_split(b.cohort_key, '=')[2] AS conf_value
   FROM subj s JOIN best b ON b.dim_set <> s.dim_set
   QUALIFY row_number() OVER (PARTITION BY s.cohort_key ORDER BY b.rank) = 1
 ),
 {residual_sql('lead_conf').strip()},
-ctl AS (
+ctl AS MATERIALIZED (
   SELECT s.cohort_key,
     sum(m.volume) FILTER (m."window" = 'baseline') AS b_volume, sum(m.failures) FILTER (m."window" = 'baseline') AS b_failures,
     sum(m.volume) FILTER (m."window" = 'current') AS c_volume, sum(m.failures) FILTER (m."window" = 'current') AS c_failures
   FROM subj s JOIN metrics m ON m.dim_set = s.dim_set AND m.cohort_key <> s.cohort_key GROUP BY s.cohort_key
 ),
-peer AS (
+peer AS MATERIALIZED (
   SELECT s.cohort_key, count(*) FILTER (o.b_volume > 0) AS comparable, count(*) FILTER (o.absolute_delta >= 0.02) AS moved
   FROM subj s JOIN scored o ON o.dim_set = s.dim_set AND o.cohort_key <> s.cohort_key GROUP BY s.cohort_key
 ),
@@ -52,7 +52,7 @@ wide AS MATERIALIZED (
   LEFT JOIN metrics p ON p.cohort_key = s.cohort_key AND p."window" = 'prior' AND p.volume > 0
   LEFT JOIN (SELECT * FROM residual WHERE NOT residual_missing) r ON r.cohort_key = s.cohort_key
 ),
-tall AS (
+tall AS MATERIALIZED (
   SELECT subject_order, 0 AS type_order, 'failure_rate' AS evidence_type, 'failure_rate' AS metric_name, cohort_key,
     b_failure_rate AS baseline_value, c_failure_rate AS current_value, absolute_delta AS delta, relative_delta, sigma, c_source_layer AS source_layer FROM wide
   UNION ALL SELECT subject_order, 1, 'latency', 'latency_p95', cohort_key, b_latency_p95, c_latency_p95, c_latency_p95 - b_latency_p95,
@@ -70,7 +70,7 @@ tall AS (
     (c_value_at_risk - b_value_at_risk)::DOUBLE,
     CASE WHEN b_value_at_risk <> 0 THEN (c_value_at_risk::DOUBLE - b_value_at_risk::DOUBLE) / b_value_at_risk::DOUBLE ELSE 0 END, NULL, 'OBSERVED' FROM wide
 ),
-evid AS (SELECT row_number() OVER (ORDER BY subject_order, type_order) AS evidence_id, * FROM tall)"""
+evid AS MATERIALIZED (SELECT row_number() OVER (ORDER BY subject_order, type_order) AS evidence_id, * FROM tall)"""
 EVIDENCE_SQL = f"{DETECT_SQL},{SUBJECT_SQL}"
 VALUES = ("baseline_value", "current_value", "delta", "relative_delta", "sigma")
 
@@ -129,10 +129,10 @@ def _clamp(x: str, low: str = "0.0", high: str = "1.0") -> str:
 
 _KINDS = ("failure_rate", "response_mix", "control_comparison", "blast_radius", "temporal_alignment", "confounding_check")
 HYPOTHESIS_SQL = f"""
-ids AS (SELECT cohort_key, {', '.join(f"max(evidence_id) FILTER (evidence_type = '{k}') AS id_{k}" for k in _KINDS)} FROM evid GROUP BY cohort_key),
+ids AS MATERIALIZED (SELECT cohort_key, {', '.join(f"max(evidence_id) FILTER (evidence_type = '{k}') AS id_{k}" for k in _KINDS)} FROM evid GROUP BY cohort_key),
 frame(hypothesis_type, dim) AS (VALUES ('gateway_degradation', 'gateway'), ('issuer_degradation', 'sender_bank'),
   ('payment_method_degradation', 'payment_method'), ('network_segment_degradation', 'network')),
-part AS (
+part AS MATERIALIZED (
   SELECT f.hypothesis_type, f.dim, w.*, i.* EXCLUDE (cohort_key), {_clamp('w.sigma / 12.0')} AS signal,
     {_clamp('(w.absolute_delta - (w.ctl_c - w.ctl_b)) / w.absolute_delta')} AS divergence,
     greatest(0.0, 1.0 - w.radius) AS localisation,
@@ -142,7 +142,7 @@ part AS (
       * CASE WHEN f.hypothesis_type IN ('gateway_degradation', 'network_segment_degradation') THEN 1 ELSE -1 END AS alignment
   FROM frame f LEFT JOIN best b ON b.dim_set = f.dim LEFT JOIN wide w ON w.cohort_key = b.cohort_key LEFT JOIN ids i ON i.cohort_key = w.cohort_key
 ),
-local_h AS (
+local_h AS MATERIALIZED (
   SELECT hypothesis_type, string_split(cohort_key, '=')[2] AS subject_value,
     CASE WHEN cohort_key IS NULL THEN 0.0 ELSE {_clamp("0.30 * signal + 0.20 * divergence + 0.15 * localisation + 0.05 * temporal + 0.30 * retained + 0.15 * " + _clamp('alignment / 0.10', '-1.0', '1.0'))} END AS h_score,
     CASE WHEN cohort_key IS NULL THEN 0.0 ELSE {_clamp('score / 12.0')} END AS strength, coalesce(severity, 'NONE') AS severity, coalesce(sigma, 0.0) AS sigma,
@@ -154,20 +154,20 @@ local_h AS (
       CASE WHEN alignment < -0.01 THEN id_response_mix END], lambda x: x IS NOT NULL), ',') AS contradicting
   FROM part
 ),
-pop AS (
+pop AS MATERIALIZED (
   SELECT b.volume AS b_volume, b.failures AS b_failures, c.volume AS c_volume, c.failures AS c_failures,
     c.failure_rate - b.failure_rate AS delta, {z_sql('b.failures', 'b.volume', 'c.failures', 'c.volume')} AS sigma,
     (SELECT count(*) FILTER (absolute_delta >= 0.02) / count(*)::DOUBLE FROM scored WHERE dim_set = 'gateway') AS breadth
   FROM metrics b, metrics c WHERE b.dim_set = 'ALL' AND c.dim_set = 'ALL' AND b."window" = 'baseline' AND c."window" = 'current'
 ),
-without AS (
+without AS MATERIALIZED (
   SELECT count(*) FILTER (ts >= TIMESTAMP '1997-01-01' AND status = 'FAILED') / count(*) FILTER (ts >= TIMESTAMP '1997-01-01')::DOUBLE
        - count(*) FILTER (ts < TIMESTAMP '1997-01-01' AND status = 'FAILED') / count(*) FILTER (ts < TIMESTAMP '1997-01-01')::DOUBLE AS left_delta
   FROM planted pf WHERE ts < TIMESTAMP '1998-01-01' AND NOT EXISTS (
     SELECT 1 FROM reported r WHERE r.rank = 1 AND r.depth = 1 AND string_split(r.cohort_key, '=')[2] =
       CASE r.dim_set {' '.join(f"WHEN '{d}' THEN pf.{d}" for d in DIMS)} END)
 ),
-systemic AS (
+systemic AS MATERIALIZED (
   SELECT 'systemic_degradation' AS hypothesis_type, NULL AS subject_value,
     CASE WHEN delta < 0.02 THEN least(0.15, s) ELSE s END AS h_score,
     {_clamp('CASE WHEN round(sigma, 4) > 0 AND round(delta, 6) > 0 THEN round(sigma, 4) * least(1.0, round(delta, 6) / 0.15) ELSE 0.0 END / 12.0')} AS strength,
@@ -177,14 +177,14 @@ systemic AS (
     coalesce((SELECT string_agg(evidence_id::VARCHAR, ',' ORDER BY evidence_id) FROM evid WHERE evidence_type = 'blast_radius' AND current_value < 0.6), '') AS contradicting
   FROM (SELECT *, {_clamp(f"(0.5 * {_clamp('sigma / 12.0')} + 0.5 * breadth) * CASE WHEN delta > 0 THEN {_clamp('left_delta / delta')} ELSE 1.0 END")} AS s FROM pop, without)
 ),
-every AS (SELECT * FROM local_h UNION ALL SELECT * FROM systemic),
-ordered AS (SELECT *, row_number() OVER (ORDER BY h_score DESC, hypothesis_type) AS h_rank, lead(h_score) OVER (ORDER BY h_score DESC, hypothesis_type) AS nxt FROM every),
-hyps AS (
+every AS MATERIALIZED (SELECT * FROM local_h UNION ALL SELECT * FROM systemic),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY h_score DESC, hypothesis_type) AS h_rank, lead(h_score) OVER (ORDER BY h_score DESC, hypothesis_type) AS nxt FROM every),
+hyps AS MATERIALIZED (
   SELECT *, CASE WHEN h_rank = 1 AND h_score > 0 THEN (h_score - nxt) / h_score ELSE 0.0 END AS margin,
     CASE WHEN h_rank = 1 AND h_score > 0 THEN {_clamp('h_score * (0.5 + 0.5 * (h_score - nxt) / h_score)')} ELSE {_clamp('h_score * 0.5')} END AS attribution
   FROM ordered
 ),
-final_h AS (SELECT *, round(sqrt(strength * attribution), 4) AS confidence FROM hyps)"""
+final_h AS MATERIALIZED (SELECT *, round(sqrt(strength * attribution), 4) AS confidence FROM hyps)"""
 HYPS_SQL = f"{EVIDENCE_SQL},{HYPOTHESIS_SQL}"
 
 

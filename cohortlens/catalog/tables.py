@@ -286,23 +286,23 @@ def planted_metrics_sql() -> str:
 
 
 SUPPRESS_SQL = """
-cand AS (SELECT * EXCLUDE (verdict) FROM scored WHERE verdict = 'ANOMALOUS'),
-contains AS (
+cand AS MATERIALIZED (SELECT * EXCLUDE (verdict) FROM scored WHERE verdict = 'ANOMALOUS'),
+contains AS MATERIALIZED (
   SELECT n.cohort_key, b.cohort_key AS p_key, b.depth AS p_depth, b.score AS p_score
   FROM cand n JOIN cand b ON b.depth < n.depth AND n.sigma <= b.sigma + 2.0
    AND len(list_filter(string_split(b.cohort_key, '|'), lambda x: NOT list_contains(string_split(n.cohort_key, '|'), x))) = 0
 ),
-lost2 AS (SELECT DISTINCT c.cohort_key FROM contains c JOIN cand n USING (cohort_key) WHERE n.depth = 2),
-parent AS (
+lost2 AS MATERIALIZED (SELECT DISTINCT c.cohort_key FROM contains c JOIN cand n USING (cohort_key) WHERE n.depth = 2),
+parent AS MATERIALIZED (
   SELECT cohort_key, arg_min(p_key, (p_depth, -p_score, p_key)) AS suppressed_by
   FROM contains WHERE p_key NOT IN (SELECT cohort_key FROM lost2) GROUP BY cohort_key
 ),
-ranked AS (
+ranked AS MATERIALIZED (
   SELECT cand.*, parent.suppressed_by, parent.suppressed_by IS NOT NULL AS suppressed,
     row_number() OVER (ORDER BY parent.suppressed_by IS NOT NULL, score DESC, sigma DESC, cand.cohort_key) AS rank
   FROM cand LEFT JOIN parent USING (cohort_key)
 ),
-reported AS (SELECT * FROM ranked WHERE NOT suppressed)"""
+reported AS MATERIALIZED (SELECT * FROM ranked WHERE NOT suppressed)"""
 
 
 def residual_sql(pairs: str, source: str = "planted") -> str:
@@ -312,7 +312,7 @@ def residual_sql(pairs: str, source: str = "planted") -> str:
     z = z_sql("rb_failures", "rb_volume", "rc_failures", "rc_volume")
     delta = "(rc_failures / rc_volume::DOUBLE - rb_failures / rb_volume::DOUBLE)"
     return f"""
-residual_counts AS (
+residual_counts AS MATERIALIZED (
   SELECT p.cohort_key, p.confounder_key, any_value(p.absolute_delta) AS absolute_delta,
     count(*) FILTER (f.ts < TIMESTAMP '1997-01-01' AND other) AS rb_volume,
     count(*) FILTER (f.ts < TIMESTAMP '1997-01-01' AND other AND status = 'FAILED') AS rb_failures,
@@ -322,7 +322,7 @@ residual_counts AS (
   CROSS JOIN LATERAL (SELECT (CASE p.conf_dim {dim_of} END) <> p.conf_value AS other) o
   GROUP BY p.cohort_key, p.confounder_key
 ),
-residual AS (
+residual AS MATERIALIZED (
   SELECT *, rb_volume = 0 OR rc_volume = 0 AS residual_missing,
     CASE WHEN rb_volume = 0 OR rc_volume = 0 THEN 0.0
          ELSE greatest(0.0, {delta} / absolute_delta) END AS independence,
@@ -336,7 +336,7 @@ residual AS (
 
 
 PAIRS_SQL = f"""
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT c.cohort_key, {', '.join(f'c.{d} AS s_{d}' for d in FACT.dims)}, c.absolute_delta, c.rank AS rank, p.rank AS conf_rank,
     p.cohort_key AS confounder_key, p.dim_set AS conf_dim, string_split(p.cohort_key, '=')[2] AS conf_value
   FROM reported c JOIN reported p ON p.depth = 1 AND p.rank < c.rank
