@@ -76,22 +76,25 @@ def _scanned_rows(fact: DataFrame, spec: FactSpec, windows: Windows) -> DataFram
 
 
 def scanned_rows(fact: DataFrame, spec: FactSpec, windows: Windows) -> DataFrame:
-    """The narrow rows both passes of `measure` read: slice, dimensions, outcome, amount, latency, code."""
+    """The narrow rows `measure` reads: slice, dimensions, outcome, amount, latency, code."""
     columns = [*spec.dims, spec.outcome, spec.amount, spec.latency, spec.code, *([spec.simulated] if spec.simulated else [])]
     return _scanned_rows(fact, spec, windows).select("slice", *columns)
 
 
-def cohort_cells(rows: DataFrame, spec: FactSpec) -> DataFrame:
-    """Collapse scanned rows to one row per (slice, all dimensions).
+def bucket_cells(rows: DataFrame, spec: FactSpec) -> DataFrame:
+    """Collapse scanned rows to one row per (slice, latency bucket, all dimensions); `_b` is NULL where there is no latency.
 
     Partial aggregation runs before the only shuffle, so a hot cohort travels as a few rows. Everything downstream (grouping
-    sets, windows, residuals) expands cells, not facts. Latency is not part of the key: it would make nearly every fact a cell.
+    sets, windows, residuals, the latency histogram) expands these rows, not facts. Their number is bounded by the dimensions' combinations
+    and the buckets, and never exceeds the facts'.
     """
     failed = F.col(spec.outcome) == F.lit(spec.failed_value)
     amount = F.col(spec.amount).cast("decimal(12,2)")
     zero = F.lit(0).cast("decimal(12,2)")
+    value = F.col(spec.latency).cast("double")
     simulated = F.count_if(F.col(spec.simulated)) if spec.simulated else F.lit(0).cast("long")
-    return rows.groupBy("slice", *spec.dims).agg(
+    bucketed = rows.withColumn("_v", value).withColumn("_b", F.when(F.col("_v").isNotNull(), coarse_bucket(F.col("_v"))))
+    return bucketed.groupBy("slice", "_b", *spec.dims).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(failed).alias("n_failed"),
         F.sum(amount).alias("amount_total"),
@@ -99,9 +102,17 @@ def cohort_cells(rows: DataFrame, spec: FactSpec) -> DataFrame:
         F.count_if(F.col(spec.code).isin(*spec.timeout_codes)).alias("n_timeout"),
         F.count_if(F.col(spec.code).isin(*spec.infrastructure_codes)).alias("n_infra"),
         simulated.alias("n_simulated"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
     )
 
 
+def cohort_cells(buckets: DataFrame, spec: FactSpec) -> DataFrame:
+    """One row per (slice, all dimensions): the cells of all buckets together."""
+    counts = ("n", "n_failed", "amount_total", "amount_failed", "n_timeout", "n_infra", "n_simulated")
+    return buckets.groupBy("slice", *spec.dims).agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def with_windows(cells: DataFrame, keep: tuple[str, ...] = ("baseline", "prior", "current")) -> DataFrame:
     """One row per (cell, window it belongs to)."""
     names = (
@@ -128,26 +139,50 @@ def _label(spec: FactSpec, sets, value_of) -> Column:
     return chosen
 
 
-def cohort_latency(rows: DataFrame, spec: FactSpec, sets) -> DataFrame:
-    """Exact interpolating latency percentiles per (window, cohort_key).
+_LATENCY_KEYS = ["window", "gid", "cohort_key"]
 
-    A histogram over coarse buckets, for all dimension sets at once, says which bucket holds each rank. Rows are aggregated before they
-    move, so its size follows cohorts and buckets. Buckets with one value are settled by it; values of the others are read in
-    a second pass, in which a row only survives the join with those buckets.
+
+def values_in_open_buckets(rows: DataFrame, wanted: DataFrame, spec: FactSpec, sets) -> DataFrame:
+    """Counts per value (slice, gid, cohort_key, _b, _v, _w) of the facts that some set's open bucket may hold.
+
+    wanted: window, gid, cohort_key, _b. Facts first meet the buckets open in their slice, a table bounded by slices and buckets, which names the
+    sets; a fact is repeated for those sets only, and aggregated before it moves.
     """
-    keys = ["window", "cohort_key"]
+    inside = (
+        F.when(F.col("window") == "current", F.array(F.lit("current")))
+        .when(F.col("window") == "prior", F.array(F.lit("prior")))
+        .otherwise(F.array(F.lit("early"), F.lit("prior")))
+    )
+    places = wanted.select(F.explode(inside).alias("slice"), "_b", "gid").groupBy("slice", "_b").agg(F.collect_set("gid").alias("_gids"))
     value = F.col(spec.latency).cast("double")
-    rows = rows.where(value.isNotNull()).select("slice", *spec.dims, value.alias("_v"), coarse_bucket(value).alias("_b"))
-    histogram = rows.groupingSets([["slice", "_b", *dims] for dims in sets], "slice", "_b", *spec.dims).agg(
-        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    narrow = rows.where(value.isNotNull()).select("slice", *spec.dims, value.alias("_v"), coarse_bucket(value).alias("_b"))
+    spread = narrow.join(places, ["slice", "_b"]).withColumn("gid", F.explode("_gids"))
+    named = spread.select("slice", "gid", _label(spec, sets, cohort_key).alias("cohort_key"), "_b", "_v")
+    return named.groupBy("slice", "gid", "cohort_key", "_b", "_v").agg(F.count(F.lit(1)).alias("_w"))
+
+
+def cohort_latency(buckets: DataFrame, rows: DataFrame, spec: FactSpec, sets) -> DataFrame:
+    """Exact interpolating latency percentiles per (window, cohort_key). buckets: bucket_cells(rows).
+
+    A histogram over coarse buckets, for all dimension sets at once, says which bucket holds each rank. Buckets with one value are settled by
+    it. Facts are read a second time only where a rank fell into a bucket with several values.
+    """
+    keys = _LATENCY_KEYS
+    filled = buckets.where(F.col("_b").isNotNull())
+    histogram = filled.groupingSets([["slice", "_b", *dims] for dims in sets], "slice", "_b", *spec.dims).agg(
+        F.grouping_id().cast("long").alias("gid"), F.sum("n").alias("_c"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
     )
     named = with_windows(histogram).withColumn("cohort_key", _label(spec, sets, cohort_key))
-    buckets = named.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-    holding = materialize(holding_buckets(buckets, keys, percentile_ranks(dict(PERCENTILES))))
-    wide = with_windows(rows).withColumn("cohort_key", F.explode(F.array(*[cohort_key(dims) for dims in sets])))
-    edge = wide.join(materialize(open_buckets(holding, keys)), [*keys, "_b"], "left_semi").withColumn("_w", F.lit(1))
-    found = settle_ranks(holding, edge, keys, [n for n, _ in percentile_ranks(dict(PERCENTILES))])
-    return found.select(*keys, *[interpolated(n, p) for n, p in PERCENTILES])
+    totals = named.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    ranks = percentile_ranks(dict(PERCENTILES))
+    holding = materialize(holding_buckets(totals, keys, ranks))
+    if holding.where(F.col("_low") != F.col("_high")).isEmpty():
+        edge = holding.select(*keys, "_b", F.col("_low").alias("_v"), F.lit(1).cast("long").alias("_w")).limit(0)
+    else:
+        wanted = materialize(open_buckets(holding, keys))
+        edge = with_windows(values_in_open_buckets(rows, wanted, spec, sets)).join(wanted, [*keys, "_b"], "left_semi")
+    found = settle_ranks(holding, edge, keys, [n for n, _ in ranks])
+    return found.select("window", "cohort_key", *[interpolated(n, p) for n, p in PERCENTILES])
 
 
 def cohort_metrics(cells: DataFrame, latency: DataFrame, spec: FactSpec, sets=None, population: bool = True) -> DataFrame:
@@ -199,10 +234,14 @@ def scanned_sets(spec: FactSpec, sets=None, population: bool = True):
 
 
 def measure(fact: DataFrame, spec: FactSpec, windows: Windows, sets=None, population: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Cells (materialised) and the metric table. The fact may be a join, so its rows are computed once and kept narrow."""
-    rows = materialize(scanned_rows(fact, spec, windows))
-    cells = materialize(cohort_cells(rows, spec))
-    latency = cohort_latency(rows, spec, scanned_sets(spec, sets, population))
+    """Cells (materialised) and the metric table.
+
+    The fact is read once, into bucket cells, and once more only for latencies that buckets can't settle; it must give the same rows both times.
+    """
+    rows = scanned_rows(fact, spec, windows)
+    buckets = materialize(bucket_cells(rows, spec))
+    cells = materialize(cohort_cells(buckets, spec))
+    latency = cohort_latency(buckets, rows, spec, scanned_sets(spec, sets, population))
     return cells, cohort_metrics(cells, latency, spec, sets, population)
 
 

@@ -145,3 +145,28 @@ def test_located_percentiles_equal_buffered_ones(fact):
     assert got.keys() == want.keys() and len(want) > 100
     assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
     assert cells.columns[0] == "slice" and "latency_value" not in cells.columns
+
+
+def test_only_facts_of_open_buckets_are_spread_over_sets(fact):
+    """One window, one set and one bucket are open: each fact of that bucket is repeated once, all others never."""
+    rows = metrics.scanned_rows(fact.withColumn("latency_ms", F.col("latency_ms") + F.lit(0.25)), SPEC, WINDOWS)
+    sets = (*SPEC.dimension_sets, ())
+    value = rows.select("slice", F.col("latency_ms").alias("v"), metrics.coarse_bucket(F.col("latency_ms")).alias("b"))
+    bucket = value.where("slice = 'current'").groupBy("b").count().orderBy(F.desc("count")).first()["b"]
+    everyone = (1 << len(SPEC.dims)) - 1
+    wanted = fact.sparkSession.createDataFrame([("current", everyone, "ALL", bucket)], "window string, gid long, cohort_key string, _b long")
+    got = metrics.values_in_open_buckets(rows, wanted, SPEC, sets)
+    held = value.where((F.col("slice") == "current") & (F.col("b") == bucket)).count()
+    assert held > 1 and got.agg(F.sum("_w")).first()[0] == held
+    assert {r["cohort_key"] for r in got.select("cohort_key").distinct().collect()} == {"ALL"}
+    assert got.count() <= held < rows.count()
+
+
+def test_facts_without_latency_stay_in_the_counts(fact):
+    some = F.when(F.substring("txn_id", -1, 1) != "7", F.col("latency_ms"))
+    table = metrics.measure(fact.withColumn("latency_ms", some), SPEC, WINDOWS, sets=[("gateway",)])[1]
+    whole = metrics.measure(fact, SPEC, WINDOWS, sets=[("gateway",)])[1]
+    counts = ["window", "cohort_key", "volume", "failures", "value_total"]
+    assert sorted(map(tuple, table.select(*counts).collect())) == sorted(map(tuple, whole.select(*counts).collect()))
+    none = metrics.measure(fact.withColumn("latency_ms", F.lit(None).cast("double")), SPEC, WINDOWS, sets=[("gateway",)])[1]
+    assert {r["latency_p95"] for r in none.collect()} == {0.0}
