@@ -122,6 +122,7 @@ def verifications(t):
 
 
 # ----------------------------------------------------------------------------------------------------------- gates
+# Gate names, reason codes and bounds, in the order they are reported.
 _GATES = [
     ("simulation_status", "SIMULATION_INVALID", "simulation_status = 'VALID'", True),
     ("simulation_freshness", "STALE_SIMULATION", "current_fingerprint = input_fingerprint", True),
@@ -175,6 +176,7 @@ def _(t):
     return decide.expire_pending(approvals(t), F.col("now_at")).groupBy("status", "expired_now").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# Rejection codes, in the order they are tested.
 _CHECKS = [
     ("RECOMMENDATION_NOT_APPROVED", "rec_status = 'APPROVED'"), ("APPROVAL_NOT_FOUND", "has_approval"), ("APPROVAL_NOT_APPROVED", "approval_status = 'APPROVED'"),
     ("APPROVAL_EXPIRED", "now_at <= approval_expires_at"), ("RECOMMENDATION_EXPIRED", "now_at <= rec_expires_at"), ("APPROVAL_FINGERPRINT_MISMATCH", "approval_fingerprint = rec_fingerprint"),

@@ -8,6 +8,7 @@ from ..functions.stats import rate
 from ..functions.text import is_placeholder
 from .ranking import exact_percentiles
 
+# Reported percentiles, length of a value list, formats a date may have.
 PERCENTS = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 TOP_VALUES = 15
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MMM-yyyy")

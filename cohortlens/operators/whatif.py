@@ -180,7 +180,7 @@ def build_candidates(incidents: DataFrame, gateways: DataFrame) -> DataFrame:
 
 
 def invalid_reason() -> Column:
-    """First reason a controlled comparison cannot be built, in the fixed order; NULL when it can.
+    """First reason a controlled comparison cannot be built; NULL when it can. Codes and their order are fixed values.
 
     Reads population, action_type, traffic_percentage, source_gateway, target_gateway, target_known, is_eligible
     and target_health.
