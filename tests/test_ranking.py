@@ -108,3 +108,25 @@ def test_fingerprint_counts_repeats_and_takes_empty_tables(spark):
     once, twice, other = of([(1, "x")]), of([(1, "x")] * 2), of([(1, None)])
     assert len({r["fingerprint"] for r in (once, twice, other, of([]))}) == 4
     assert of([])["rows"] == 0 and twice["rows"] == 2
+
+
+def test_input_fingerprint_is_a_digest_tree_over_every_row(spark):
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def tree(lines):
+        nodes = {}
+        for d in map(sha, lines):
+            nodes[d] = nodes.get(d, 0) + 1
+        nodes = [(d, str(n)) for d, n in nodes.items()]
+        for digits in (6, 3, 0):
+            groups = {}
+            for key, rest in nodes:
+                groups.setdefault(key[:digits], []).append(f"{key}:{rest}")
+            nodes = [(k, sha("\n".join(sorted(v)))) for k, v in groups.items()]
+        return nodes[0][1] if nodes else sha("")
+
+    rows = [(i % 50, f"v{i % 7}") for i in range(400)] + [(1, "v1")] * 3
+    some, none = spark.createDataFrame(rows, "a int, b string"), spark.createDataFrame([], "a int")
+    got = fingerprint.input_fingerprint({"some": some.repartition(3), "none": none}, {"seed": "s"}).first()["input_fingerprint"]
+    assert got == sha(f"none={tree([])}|some={tree([f'{a}|{b}' for a, b in rows])}|seed=s")
