@@ -140,3 +140,24 @@ def test_encoding_detection(spark, encoding, want):
         out.write("name\ncafé – “x”\n")
     rows, used = files.read_csv_detecting_encoding(spark, path)
     assert used == want and rows.first()["name"] == "café – “x”"
+
+
+def test_messages_are_counted_with_one_evaluation_of_a_row(spark):
+    rows = [("-5", 0, None), ("5", 1, None), ("5", 2, None), ("100", 3, None), ("5", 4, "region")]
+    df = spark.createDataFrame(rows, "paid string, source_row_index long, stuck string").select(
+        text.money(F.col("paid")).alias("amount"), F.col("stuck").alias("normalization_error"), "source_row_index"
+    )
+    rules = [r for r in quality.payment_rules() if r.category == "AMOUNT"]
+    counted = quality.count_messages(quality.collect_failures(df, rules))
+    assert {tuple(r) for r in counted.collect()} == {("amount not positive: -5.00", 1), ("amount outside the audited range: 5.00", 2)}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "amount" in x]
+
+
+def test_text_with_visible_ends_is_kept_and_white_space_at_one_end_is_not(spark):
+    values = ["a", "a b", "!~", " a", "a ", "é", "　é", "a\x1f", "\x7fa", "", " ", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "v string").select(text.clean_text(F.col("v"))).collect()]
+    assert got == ["a", "a b", "!~", "a", "a", "é", "é", "a", "\x7fa", None, None, None]
+    odd = ["2024-02-30 10:00:00", "2024-3-1 4:5:6", "2024-03-01T04:05:06", "2024-03-01 24:00:00", "2024-03-01 4:5:60", "2024-13-01 1:1:1", "24-03-01 1:1:1", "2024-03-01 1:1:1 UTC"]
+    times = [r[0] for r in spark.createDataFrame([(x,) for x in odd], "v string").select(text.local_time(F.col("v")).cast("string")).collect()]
+    assert times == [None, "2024-02-29 22:35:06", None, None, None, None, None, None]
