@@ -170,3 +170,33 @@ def test_facts_without_latency_stay_in_the_counts(fact):
     assert sorted(map(tuple, table.select(*counts).collect())) == sorted(map(tuple, whole.select(*counts).collect()))
     none = metrics.measure(fact.withColumn("latency_ms", F.lit(None).cast("double")), SPEC, WINDOWS, sets=[("gateway",)])[1]
     assert {r["latency_p95"] for r in none.collect()} == {0.0}
+
+
+def test_cells_are_bounded_by_dimensions_and_few_latency_buckets(spark):
+    """A doubling of the latency gives as many cells as there are steps, however many values and facts it holds."""
+    df = spark.range(256, 2048).select(
+        F.col("id").cast("string").alias("txn_id"), F.lit(WINDOWS.current_start).alias("ts"), F.lit(1).cast("decimal(12,2)").alias("amount"),
+        F.lit("SUCCESS").alias("status"), F.col("id").cast("double").alias("latency_ms"), F.lit("APPROVED").alias("response_code"),
+        F.lit(False).alias("overlaid"), *[F.lit("x").alias(d) for d in SPEC.dims],
+    )
+    assert metrics.bucket_cells(metrics.scanned_rows(df, SPEC, WINDOWS), SPEC).count() <= 3 * 8 + 1
+    row = metrics.measure(df, SPEC, WINDOWS, sets=[("gateway",)])[1].where("cohort_key = 'ALL'").first()
+    assert (row["volume"], row["latency_p50"], row["latency_p99"]) == (1792, 1151.5, pytest.approx(256 + 0.99 * 1791))
+
+
+def test_fact_is_computed_once(spark):
+    """Latencies that are drawn anew whenever the fact is computed: percentiles fit the cells only if both come from one draw."""
+    df = spark.range(3000).select(
+        F.col("id").cast("string").alias("txn_id"), F.lit(WINDOWS.current_start).alias("ts"), F.lit(1).cast("decimal(12,2)").alias("amount"),
+        F.lit("SUCCESS").alias("status"), F.expr("1000D + abs(hash(uuid()) % 100000) / 1000D").alias("latency_ms"), F.lit("APPROVED").alias("response_code"),
+        F.lit(False).alias("overlaid"), *[F.lit("x").alias(d) for d in SPEC.dims],
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    metrics.measure(df.mapInPandas(count, df.schema), SPEC, WINDOWS, sets=[("gateway",)])[1].collect()
+    assert seen.value == 3000
